@@ -8,7 +8,7 @@ is null or has no letter (then the language is `und` and the score 0).
 Dictionaries are built from a bounded sample of the labelled rows: about SAMPLE documents of each language, chosen by a hash
 of doc_id, each giving one block of BLOCK characters at a place that the same hash chooses, DICTIONARY bytes in all. At most
 SAMPLE x languages blocks reach the driver. Without labelled rows every text is `und` and rejected. Ties go to the language
-that sorts first. Repeated rows give repeated results; an empty table gives no rows.
+with more labelled rows, then to the one that sorts first. Repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +25,16 @@ from pyspark.sql import types as T
 
 from .common import read
 
-SAMPLE, BLOCK, DICTIONARY, LEVEL = 160, 1200, 120_000, 6
+SAMPLE, BLOCK, DICTIONARY = 160, 1200, 120_000
+#: zstandard's level for texts of SHORT bytes and more, and for shorter ones.
+LEVEL, SHORT_LEVEL, SHORT = 6, 15, 600
+#: Ends every dictionary and starts every block: zstandard stores what it can't shrink by some bytes, and the saving on this
+#: text lets the matches of very short texts count.
+FILLER = bytes(33 + (i * 37) % 90 for i in range(90))
 #: Characters of a text that are compressed at a time; all blocks of a text count.
 WINDOW = 6000
 #: The least margin that is accepted, and the margin at which the score is one half.
-MARGIN, HALF = 0.004, 0.03
+MARGIN, HALF = 0.002, 0.03
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -43,7 +48,7 @@ def held_out() -> Column:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionary content by language, from rows (doc_id, text, lang); null languages are left out."""
+    """Dictionary content by language, the most frequent first, from rows (doc_id, text, lang); null languages are left out."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)).alias("h"))
     found = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     wanted = F.lit(False)
@@ -55,18 +60,21 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     content: dict[str, list[str]] = {}
     for r in blocks.select("lang", "h", F.substring("plain", starts, F.lit(BLOCK)).alias("block")).orderBy("lang", "h", "block").collect():
         content.setdefault(r.lang, []).append(r.block)
-    return {lang: " ".join(x).encode()[:DICTIONARY] for lang, x in sorted(content.items())}
+    return {lang: " ".join(content[lang]).encode()[:DICTIONARY] for lang in sorted(content, key=lambda x: (-found[x], x))}
 
 
 @functools.lru_cache(maxsize=2)
-def compressors(content: tuple[tuple[str, bytes], ...], level: int):
+def compressors(content: tuple[tuple[str, bytes], ...]):
+    """For each language its name and two compressors: for longer texts, for short ones."""
     import zstandard
 
     out = []
     for lang, data in content:
-        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        d = zstandard.ZstdCompressionDict(data + FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        bare = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+        sizes = ((LEVEL, WINDOW), (SHORT_LEVEL, SHORT))
+        params = [zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(data), source_size=size, **bare) for level, size in sizes]
+        out.append((lang, *(zstandard.ZstdCompressor(dict_data=d, compression_params=p) for p in params)))
     return out
 
 
@@ -77,21 +85,21 @@ def classify(text: str | None, coders, margin: float = MARGIN) -> tuple[str, flo
         return "und", 0.0, True
     sizes = [0] * len(coders)
     for a in range(0, len(plain), WINDOW):
-        block = plain[a : a + WINDOW].encode()
-        for i, (_, coder) in enumerate(coders):
-            sizes[i] += len(coder.compress(block))
+        block = FILLER + plain[a : a + WINDOW].encode()
+        for i, (_, long, short) in enumerate(coders):
+            sizes[i] += len((long if len(block) >= SHORT else short).compress(block))
     order = sorted(range(len(coders)), key=lambda i: (sizes[i], i))
     best = order[0]
     gap = (sizes[order[1]] - sizes[best]) / sizes[best] if len(order) > 1 else 1.0
     return coders[best][0], gap / (gap + HALF), gap < margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], level: int = LEVEL) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The given columns, which must include text, and lang_pred, score and rejected; text itself decides, no other column."""
-    content, kept = tuple(sorted(dictionaries.items())), [c for c in docs.columns if c not in RESULT.names]
+    content, kept = tuple(dictionaries.items()), [c for c in docs.columns if c not in RESULT.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = compressors(content, level)
+        coders = compressors(content)
         at = kept.index("text")
         for batch in batches:
             got = [classify(t.as_py(), coders) for t in batch.column(at)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .op6_language import op6_language
 from .op7_packing import op7_packing
+from .op9_secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op7_packing,)}
+QUERIES = {f.__name__: f for f in (op6_language, op7_packing, op9_secrets)}
 ORACLES: dict[str, str] = {}
