@@ -65,3 +65,14 @@ BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A fixed random word for each byte value.
 BYTE_WORDS = mix(np.arange(256, dtype=U64) * U64(0x5851F42D4C957F2D))
+
+
+def block_keys(spark: SparkSession, n: int) -> list[int]:
+    """n whole numbers of which repartition(n, key) deals one to each partition; n is a number of partitions, not of rows."""
+    found: dict[int, int] = {}
+    start, step = 0, 16 * n + 64
+    while len(found) < n:
+        for k, h in spark.range(start, start + step, 1, 1).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))).collect():
+            found.setdefault(h, k)
+        start += step
+    return [found[i] for i in range(n)]
