@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +55,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.empty(max(n, 1), U64)
     out[0] = 1
-    have, step = 1, U64(base)
+    have = 1
     while have < n:
         m = min(have, n - have)
-        out[have : have + m] = out[:m] * step
+        out[have : have + m] = out[:m] * U64(pow(base, have, 1 << 64))
         have += m
-        step = step * step
     return out[:n]
 
 
@@ -76,3 +79,44 @@ def block_keys(spark: SparkSession, n: int) -> list[int]:
             found.setdefault(h, k)
         start += step
     return [found[i] for i in range(n)]
+
+
+def blocks(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """Rows (block, data): compressed documents, dealt over len(keys) blocks by a hash of doc_id. The texts are shuffled once, here.
+
+    Every later pass over a block's texts reads the same exchange, so what is found elsewhere about a block comes to the texts.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            parts: dict[int, list] = {}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.setdefault(zlib.crc32(b"%d" % (-1 if doc is None else doc)) % len(keys), []).append((doc, text.as_py()))
+            coder = zstandard.ZstdCompressor(level=3)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in parts], pa.int32()), pa.array([coder.compress(pickle.dumps(v)) for v in parts.values()], pa.binary())], names=["block", "data"])
+
+    return doc_texts(docs).mapInArrow(pack, "block int, data binary").repartition(len(keys), "block")
+
+
+def unpack(data) -> Iterator[tuple[int, str]]:
+    """doc_id and text of a block's rows."""
+    import zstandard
+
+    for x in data:
+        yield from pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes; the bytes of equal significance lie together, which compresses numbers of a narrow range well."""
+    import zstandard
+
+    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
+
+
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    return [np.frombuffer(raw, np.uint8).reshape(-1, n).T.copy().view(kind).ravel() if n else np.empty(0, kind) for kind, n, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data))]

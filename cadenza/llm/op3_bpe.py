@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, doc_texts, mix, read
+from .common import block_keys, blocks, mix, partitions, read, unpack
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
@@ -141,36 +139,13 @@ def splitter(pattern: str):
     return regex.compile(pattern).findall
 
 
-def blocks(docs: DataFrame, keys: list[int]) -> DataFrame:
-    """Rows (block, data): compressed documents, dealt over len(keys) blocks by a hash of doc_id. The texts are shuffled once, here."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            parts: dict[int, list] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.setdefault(zlib.crc32(b"%d" % (-1 if doc is None else doc)) % len(keys), []).append((doc, text.as_py()))
-            coder = zstandard.ZstdCompressor(level=3)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in parts], pa.int32()), pa.array([coder.compress(pickle.dumps(v)) for v in parts.values()], pa.binary())], names=["block", "data"])
-
-    return doc_texts(docs).mapInArrow(pack, "block int, data binary").repartition(len(keys), "block")
-
-
-def documents(data) -> Iterator[tuple[int, str]]:
-    import zstandard
-
-    for x in data:
-        yield from pickle.loads(zstandard.ZstdDecompressor().decompress(x))
-
-
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes), one row per document.
 
     A block holds a share of the documents that spark.sql.shuffle.partitions sets; a task holds the distinct words of one block.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    keys = block_keys(docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = block_keys(docs.sparkSession, partitions(docs.sparkSession))
     texts = blocks(docs, keys)
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +154,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = seen.setdefault(block, set())
-                for _, text in documents([data]):
+                for _, text in unpack([data]):
                     own.update(split(text))
         for block, own in seen.items():
             order = sorted(own)
@@ -195,7 +170,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         split, piece = splitter(pattern), pieces(path)
         data = left.column("data").to_pylist()
-        order = sorted({w for _, text in documents(data) for w in split(text)})
+        order = sorted({w for _, text in unpack(data) for w in split(text)})
         ids: list[bytes] = [b""] * len(order)
         text_of: list[bytes] = [b""] * len(order)
         column = right.column("ids").combine_chunks()
@@ -207,7 +182,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         code = dict(zip(order, ids))
         plain = dict(zip(order, text_of))
         out: list[list] = [[], [], [], []]
-        for doc, text in documents(data):
+        for doc, text in unpack(data):
             found = split(text)
             packed = b"".join([code[w] for w in found])
             for col, x in zip(out, (doc, len(packed) // 4, packed, b"".join([plain[w] for w in found]))):
