@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split by the vocabulary's pattern. Distinct words are encoded once: a Spark fold over a word's byte array merges, step
-by step, the adjacent pair of the lowest rank, looked up in a literal rank map. Texts stay where they are: words find their way
-from blocks of documents to the fold and back as (block, index in the block's sorted words). Ids are mapped to a text by its words;
-decoding concatenates the binary pieces of ids.
+by step, the adjacent pair of the lowest rank, looked up in a literal rank map. Texts are read and split once and never shuffled:
+a block of documents becomes its distinct words, which go to the buckets where they are folded, and the documents as numbers of
+these words, which wait for the ids. Decoding concatenates the binary pieces of ids.
 
 Null texts are empty and empty texts have no ids (digests of the empty string). Words of any length are folded whole. Repeated
 rows give repeated results; an empty table gives no rows; other columns are not read.
@@ -13,19 +13,25 @@ from __future__ import annotations
 
 import base64
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, blocks, mix, partitions, read, unpack
+from .common import block_keys, doc_texts, mix, partitions, read, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
 NONE, BITS = 1 << 40, 17
+#: Characters of the texts of a block, more if one text has more.
+BLOCK_CHARS = 32_000_000
+#: A block that waits for a word, and the word's number there.
+WAITING = np.dtype([("source", "<i8"), ("number", "<u4")])
 TOKENS = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -92,12 +98,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_word(word: Column, path: str) -> Column:
-    """array<bigint>: the ids of one word, a binary column, by a fold over its bytes."""
+def encode_word(values: Column, path: str) -> Column:
+    """array<bigint>: the ids of one word, given as array<int> of its bytes' values, by a fold over them."""
     single = {p[0]: i for i, p in enumerate(pieces(path)) if len(p) == 1}
     first = literal([single[b] for b in range(256)])
-    codes = F.transform(F.split(F.regexp_replace(F.hex(word), "(..)", "$1,"), ","), lambda h: F.conv(h, 16, 10).cast("int"))
-    ids = F.transform(F.filter(codes, lambda c: c.isNotNull()), lambda c: F.get(first, c))
+    ids = F.transform(values, lambda c: F.get(first, c))
 
     def ranks(ids: Column) -> Column:
         return F.transform(F.transform(F.sequence(F.lit(2), F.size(ids)), lambda i: F.shiftleft(F.get(ids, i - 2), BITS) + F.get(ids, i - 1)), lambda p: rank(p, path))
@@ -123,7 +128,7 @@ def encode_word(word: Column, path: str) -> Column:
     def fold(ids: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(2), F.size(ids)), state(ids, ranks(ids)), step, lambda acc: acc.ids)
 
-    return F.when(F.octet_length(word) < 2, ids).otherwise(let(ids, fold))
+    return F.when(F.size(values) < 2, ids).otherwise(let(ids, fold))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
@@ -139,57 +144,167 @@ def splitter(pattern: str):
     return regex.compile(pattern).findall
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes), one row per document.
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
+
 
-    A block holds a share of the documents that spark.sql.shuffle.partitions sets; a task holds the distinct words of one block.
+def scan(pattern: str, keys: list[int]):
+    """A mapInArrow function from documents to rows (key, source, data): words (source -1) for a bucket, numbered texts of a block.
+
+    A block's number holds the place in `keys` that its texts wait at, so that a bucket can answer.
     """
-    path = path or public_tokenizers.path(VOCABULARY)
-    keys = block_keys(docs.sparkSession, partitions(docs.sparkSession))
-    texts = blocks(docs, keys)
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(serial: int, docs: list, numbers: Numbers, texts: list[np.ndarray]) -> pa.RecordBatch:
+        place = serial % len(keys)
+        source = serial << 20 | place
+        flat = np.concatenate(texts)
+        often = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+        code = np.empty(len(often), np.uint32)
+        code[often] = np.arange(len(often))
+        flat = code[flat]
+        rare = flat >= 0xFFFF
+        ids = np.array([-1 if d is None else d for d in docs], np.int64)
+        null = np.array([d is None for d in docs], np.uint8)
+        rows = [(keys[place], source, squeeze(ids, null, np.array([len(t) for t in texts], np.int64), np.where(rare, 0xFFFF, flat).astype(np.uint16), flat[rare]))]
+        buckets: list[list[tuple[bytes, int]]] = [[] for _ in keys]
+        for word, number in zip(numbers, code.tolist()):
+            word = word.encode("utf-8", "surrogatepass")
+            buckets[zlib.crc32(word) % len(keys)].append((word, number))
+        for b, words in enumerate(buckets):
+            if words:
+                words.sort()
+                lengths = np.array([len(w) for w, _ in words], np.uint32)
+                rows.append((keys[b], -1, squeeze(np.array([source], np.int64), np.array([n for _, n in words], np.uint32), lengths, np.frombuffer(b"".join([w for w, _ in words]), np.uint8))))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["key", "source", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
-        seen: dict[int, set[str]] = {}
+        serial = TaskContext.get().partitionId() << 12  # blocks of a partition; far fewer than that
+        docs, numbers, texts, size = [], Numbers(), [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                found = split(text)
+                docs.append(doc)
+                texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                size += len(text)
+                if size > BLOCK_CHARS:
+                    yield block(serial, docs, numbers, texts)
+                    docs, numbers, texts, size, serial = [], Numbers(), [], 0, serial + 1
+        if docs:
+            yield block(serial, docs, numbers, texts)
+
+    return run
+
+
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of a bucket as its bytes' values, with the blocks and numbers that wait for it."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for key, source, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if source < 0:
+                held.setdefault(key, []).append(data)
+    for sent in held.values():
+        index = Numbers()
+        which, sources, numbers = [], [], []
+        for data in sent:
+            source, number, lengths, flat = unsqueeze(data)
+            ends = np.cumsum(lengths.astype(np.int64))
+            flat = flat.tobytes()
+            words = [flat[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+            which.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+            sources.append(np.repeat(source, len(words)))
+            numbers.append(number)
+        which = np.concatenate(which)
+        order = np.argsort(which, kind="stable")
+        waiting = np.rec.fromarrays([np.concatenate(sources)[order], np.concatenate(numbers)[order]], dtype=WAITING)
+        ends = np.append(0, np.cumsum(np.bincount(which)))
+        words = list(index)
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
+            cuts = ends[a : a + len(part) + 1]
+            values = np.frombuffer(b"".join(part), np.uint8).astype(np.int32)
+            starts = np.append(0, np.cumsum([len(w) for w in part])).astype(np.int32)
+            raw = waiting[cuts[0] : cuts[-1]].tobytes()
+            places = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(((cuts - cuts[0]) * WAITING.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(values)), places], names=["word", "places"])
+
+
+def answers(keys: list[int]):
+    """A mapInArrow function from words' ids to rows (key, source, data): for a block, ids of its words in a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = seen.setdefault(block, set())
-                for _, text in unpack([data]):
-                    own.update(split(text))
-        for block, own in seen.items():
-            order = sorted(own)
-            for a in range(0, len(order), 20_000):
-                part = [w.encode() for w in order[a : a + 20_000]]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.binary())], names=["block", "at", "word"])
-
-    words = texts.mapInArrow(vocabulary, "block int, at int, word binary")
-    places = words.groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("places"))  # at most one place in each block
-    coded = places.select("places", encode_word(F.col("word"), path).alias("ids"))
-    back = coded.select(F.explode("places").alias("p"), "ids").select("p.block", "p.at", "ids")
-
-    def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        split, piece = splitter(pattern), pieces(path)
-        data = left.column("data").to_pylist()
-        order = sorted({w for _, text in unpack(data) for w in split(text)})
-        ids: list[bytes] = [b""] * len(order)
-        text_of: list[bytes] = [b""] * len(order)
-        column = right.column("ids").combine_chunks()
-        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        for k, at in enumerate(right.column("at").to_numpy().tolist()):
-            own = flat[ends[k] : ends[k + 1]]
-            ids[at] = own.astype("<u4").tobytes()
-            text_of[at] = b"".join([piece[i] for i in own.tolist()])
-        code = dict(zip(order, ids))
-        plain = dict(zip(order, text_of))
+            places, ids = batch.column(0), batch.column(1)
+            flat = ids.flatten().to_numpy().astype(np.uint32)
+            size = np.diff(ids.offsets.to_numpy())
+            at = np.cumsum(size) - size
+            raw = [x.as_py() for x in places]
+            waiting = np.frombuffer(b"".join(raw), WAITING)
+            word = np.repeat(np.arange(len(raw)), [len(x) // WAITING.itemsize for x in raw])
+            order = np.argsort(waiting["source"], kind="stable")
+            source, word, number = waiting["source"][order], word[order], waiting["number"][order]
+            cuts = np.append(np.flatnonzero(np.append(True, source[1:] != source[:-1])), len(source))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                n = size[word[a:b]]
+                pick = np.repeat(at[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                held.setdefault(int(source[a]), []).append((number[a:b], n.astype(np.uint16 if n.max() < 65536 else np.uint32), flat[pick]))
+        rows = [(keys[source & 0xFFFFF], source, squeeze(*(np.concatenate(x) for x in zip(*parts)))) for source, parts in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["key", "source", "data"])
+
+    return run
+
+
+def assemble(path: str):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        piece = pieces(path)
+        parts: dict[int, list] = {}
+        for source, data in zip(right.column("source").to_pylist(), right.column("data").to_pylist()):
+            parts.setdefault(source, []).append(unsqueeze(data))
         out: list[list] = [[], [], [], []]
-        for doc, text in unpack(data):
-            found = split(text)
-            packed = b"".join([code[w] for w in found])
-            for col, x in zip(out, (doc, len(packed) // 4, packed, b"".join([plain[w] for w in found]))):
-                col.append(x)
+        for source, data in zip(left.column("source").to_pylist(), left.column("data").to_pylist()):
+            if source < 0:
+                continue
+            docs, null, lengths, common, rare = unsqueeze(data)
+            words = common.astype(np.int64)
+            words[common == 0xFFFF] = rare
+            code: list[bytes] = [b""] * (int(words.max()) + 1 if len(words) else 0)
+            plain = code.copy()
+            for number, size, ids in parts.pop(source, ()):
+                ends = np.cumsum(size, dtype=np.int64)
+                raw, listed = ids.astype("<u4").tobytes(), ids.tolist()
+                for n, a, b in zip(number.tolist(), (ends - size).tolist(), ends.tolist()):
+                    code[n] = raw[4 * a : 4 * b]
+                    plain[n] = b"".join([piece[i] for i in listed[a:b]])
+            ends = np.cumsum(lengths)
+            for doc, none, a, b in zip(docs.tolist(), null.tolist(), (ends - lengths).tolist(), ends.tolist()):
+                own = words[a:b].tolist()
+                packed = b"".join([code[w] for w in own])
+                for col, x in zip(out, (None if none else doc, len(packed) // 4, packed, b"".join([plain[w] for w in own]))):
+                    col.append(x)
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, TOKENS)
+    return run
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes), one row per document.
+
+    A task holds one block (BLOCK_CHARS of text and its distinct words), or the distinct words of one bucket, of which there are
+    as many as spark.sql.shuffle.partitions. A word is in a bucket once for each block that has it, however often that is.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
+    keys = block_keys(docs.sparkSession, partitions(docs.sparkSession))
+    row = "key int, source long, data binary"
+    sent = doc_texts(docs).mapInArrow(scan(pattern, keys), row).repartition(len(keys), "key")
+    coded = sent.mapInArrow(distinct_words, "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
+    back = coded.mapInArrow(answers(keys), row)
+    return sent.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(assemble(path), TOKENS)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
