@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, doc_texts, mix, partitions, read, squeeze, unsqueeze
+from .common import block_keys, doc_texts, partitions, read, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
 NONE, BITS = 1 << 40, 17
+#: Small maps of the rank map; a power of two.
+BUCKETS = 1 << 17
 #: Characters of the texts of a block, more if one text has more.
 BLOCK_CHARS = 32_000_000
 #: A block that waits for a word, and the word's number there.
@@ -43,38 +46,27 @@ def pieces(path: str) -> tuple[bytes, ...]:
     return tuple(ranks.get(i, b"") for i in range(max(ranks) + 1))
 
 
-def factor(salt: int, way: int) -> int:
-    """An odd number of 29 bits: its product with a pair stays below 2**63."""
-    return int(mix(np.array([2 * salt + way], np.uint64))[0] >> np.uint64(35)) | 1
-
-
 @functools.lru_cache(maxsize=4)
-def rank_map(path: str) -> tuple[np.ndarray, int]:
-    """For every pair of ids whose joint bytes are in the vocabulary, pair << BITS | merged id, in a cuckoo hash table; and its salt.
+def merges(path: str) -> dict[int, int]:
+    """For every pair of ids whose joint bytes are in the vocabulary, left << BITS | right, the id that it merges to, which is its rank.
 
-    Its size is bounded by the vocabulary: every entry has fewer splits than bytes.
+    Their number is bounded by the vocabulary: every entry has fewer splits than bytes.
     """
     ids = {p: i for i, p in enumerate(pieces(path)) if p}
-    pairs = [(ids[p[:k]] << BITS | ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
-    size = 1 << (2 * max(len(pairs), 1)).bit_length()
-    keys = np.array([k for k, _ in pairs], np.int64)
-    for salt in range(1, 100):
-        ways = [((keys * factor(salt, way) >> 20) & (size - 1)).tolist() for way in (0, 1)]
-        slots = [-1] * size
-        for who in range(len(pairs)):
-            at, tries = ways[0][who], 0
-            while who >= 0 and tries < 500:
-                who, slots[at] = slots[at], who
-                at, tries = ways[1][who] if at == ways[0][who] else ways[0][who], tries + 1
-            if who >= 0:
-                break
-        else:
-            table = np.full(size, -1, np.int64)
-            for at, who in enumerate(slots):
-                if who >= 0:
-                    table[at] = pairs[who][0] << BITS | pairs[who][1]
-            return table, salt
-    raise ValueError("the vocabulary's pairs found no place")
+    return {ids[p[:k]] << BITS | ids[p[k:]]: i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+
+
+@functools.lru_cache(maxsize=4)
+def rank_map(spark: SparkSession, path: str) -> str:
+    """The rank map as JSON: an array of BUCKETS small maps, a pair's being chosen by its hash (a map is searched from end to end)."""
+    pairs = merges(path)
+    import pandas as pd
+
+    frame = spark.createDataFrame(pd.DataFrame({"pair": list(pairs)}, dtype="int64"))
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for pair, at in frame.select("pair", F.hash("pair").bitwiseAND(F.lit(BUCKETS - 1))).collect():
+        maps[at][str(pair)] = pairs[pair]
+    return json.dumps(maps, separators=(",", ":"))
 
 
 def literal(numbers) -> Column:
@@ -82,15 +74,10 @@ def literal(numbers) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
-def rank(pair: Column, path: str) -> Column:
-    """The rank of a pair, which is the id that it merges to, or NONE."""
-    table, salt = rank_map(path)
-    held = literal(table.tolist())
-    out = F.lit(NONE)
-    for way in (1, 0):
-        slot = F.get(held, F.shiftright(pair * F.lit(factor(salt, way)), 20).bitwiseAND(F.lit(len(table) - 1)).cast("int"))
-        out = F.when(F.shiftright(slot, BITS) == pair, slot.bitwiseAND(F.lit((1 << BITS) - 1))).otherwise(out)
-    return out
+def ranker(path: str):
+    """A function from a pair to its rank, or NONE; the optimizer folds the map to a literal."""
+    held = F.from_json(F.lit(rank_map(SparkSession.active(), path)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    return lambda pair: F.coalesce(F.try_element_at(F.get(held, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair), F.lit(NONE))
 
 
 def let(value: Column, body) -> Column:
@@ -99,36 +86,33 @@ def let(value: Column, body) -> Column:
 
 
 def encode_word(values: Column, path: str) -> Column:
-    """array<bigint>: the ids of one word, given as array<int> of its bytes' values, by a fold over them."""
+    """array<bigint>: the ids of one word, given as array<int> of its bytes' values, by a fold over them.
+
+    The fold's state is the ids between two sentinels, which merge with nothing, and the rank of each id with the next one.
+    """
     single = {p[0]: i for i, p in enumerate(pieces(path)) if len(p) == 1}
     first = literal([single[b] for b in range(256)])
     ids = F.transform(values, lambda c: F.get(first, c))
+    rank, edge, rest = ranker(path), F.array(F.lit((1 << BITS) - 1).cast("bigint")), F.lit(1 << 30)
+    pair = lambda a, b: F.shiftleft(a, BITS) + b
+    state = lambda ids, ranks: F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
-    def ranks(ids: Column) -> Column:
-        return F.transform(F.transform(F.sequence(F.lit(2), F.size(ids)), lambda i: F.shiftleft(F.get(ids, i - 2), BITS) + F.get(ids, i - 1)), lambda p: rank(p, path))
-
-    def merge(acc: Column) -> Column:
-        """One merge at place `at` (from 1): only the ranks beside it change."""
-        ids, old, best, at = acc.ids, acc.ranks, acc.best, acc.at
-        n = F.size(ids)
-        left = F.when(at > 1, F.array(rank(F.shiftleft(F.get(ids, at - 2), BITS) + best, path))).otherwise(F.array().cast("array<bigint>"))
-        right = F.when(at + 1 < n, F.array(rank(F.shiftleft(best, BITS) + F.get(ids, at + 1), path))).otherwise(F.array().cast("array<bigint>"))
-        new_ids = F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, n))
-        new = F.concat(F.slice(old, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(old, at + 2, n))
-        return state(new_ids, new)
-
-    def state(ids: Column, ranks: Column) -> Column:
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+    def merge(x: Column) -> Column:
+        """The state after the pair `at` (from 1) merges to `best`: only the ranks beside it change."""
+        ids, ranks, best, at = x.ids, x.ranks, x.best, x.at
+        beside = F.array(rank(pair(F.get(ids, at - 2), best)), rank(pair(best, F.get(ids, at + 1))))
+        return state(F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, rest)), F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, rest)))
 
     def step(acc: Column, _: Column) -> Column:
         best = F.array_min(acc.ranks)
         found = F.struct(acc.ids.alias("ids"), acc.ranks.alias("ranks"), best.alias("best"), F.array_position(acc.ranks, best).cast("int").alias("at"))
-        return F.when(F.coalesce(best, F.lit(NONE)) >= NONE, acc).otherwise(let(found, merge))
+        return F.when(best >= NONE, acc).otherwise(let(found, merge))
 
     def fold(ids: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(2), F.size(ids)), state(ids, ranks(ids)), step, lambda acc: acc.ids)
+        ranks = F.transform(F.zip_with(ids, F.slice(ids, 2, rest), pair), lambda p: F.when(p.isNull(), F.lit(NONE)).otherwise(rank(p)))
+        return F.aggregate(values, state(ids, ranks), step, lambda acc: F.slice(acc.ids, 2, F.size(acc.ids) - 2))
 
-    return F.when(F.size(values) < 2, ids).otherwise(let(ids, fold))
+    return F.when(F.size(values) < 2, ids).otherwise(let(F.concat(edge, ids, edge), fold))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
