@@ -5,10 +5,11 @@ from __future__ import annotations
 from .op10_suffix import op10_suffix
 from .op2_dartminhash import op2_dartminhash
 from .op3_bpe import op3_bpe
+from .op4_rabitq import op4_rabitq
 from .op5_extract import op5_extract
 from .op6_language import op6_language
 from .op7_packing import op7_packing
 from .op9_secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op2_dartminhash, op3_bpe, op5_extract, op6_language, op7_packing, op9_secrets, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op2_dartminhash, op3_bpe, op4_rabitq, op5_extract, op6_language, op7_packing, op9_secrets, op10_suffix)}
 ORACLES: dict[str, str] = {}
