@@ -70,15 +70,29 @@ INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_WORDS = mix(np.arange(256, dtype=U64) * U64(0x5851F42D4C957F2D))
 
 
-def block_keys(spark: SparkSession, n: int) -> list[int]:
+def murmur(words: list[np.ndarray]) -> np.ndarray:
+    """What Spark's hash() gives for an int (one word of 32 bits) or a bigint (the low word, then the high one)."""
+    u = np.uint32
+    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    h = np.full(len(words[0]), 42, u)
+    for k in words:
+        k = turn(k.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+        h = turn(h ^ k, 13) * u(5) + u(0xE6546B64)
+    h ^= u(4 * len(words))
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def block_keys(n: int) -> list[int]:
     """n whole numbers of which repartition(n, key) deals one to each partition; n is a number of partitions, not of rows."""
-    found: dict[int, int] = {}
-    start, step = 0, 16 * n + 64
-    while len(found) < n:
-        for k, h in spark.range(start, start + step, 1, 1).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))).collect():
-            found.setdefault(h, k)
-        start += step
-    return [found[i] for i in range(n)]
+    found = np.full(n, -1)
+    start = 0
+    while (found < 0).any():
+        keys = np.arange(start, start + 4 * n + 64)
+        found[murmur([keys])[::-1] % n] = keys[::-1]
+        start += len(keys)
+    return found.tolist()
 
 
 def blocks(docs: DataFrame, keys: list[int]) -> DataFrame:

@@ -292,7 +292,7 @@ def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, kept (the remaining bytes, concatenated), n_bytes, n_removed and n_spans (maximal removed runs), one row per document."""
-    keys = block_keys(docs.sparkSession, partitions(docs.sparkSession))
+    keys = block_keys(partitions(docs.sparkSession))
     texts = blocks(docs, keys)
     sent = "bucket int, block int, data binary"
     known = texts.mapInArrow(triggers_of(keys), sent).repartition(len(keys), "bucket").mapInArrow(shared, "block int, data binary")

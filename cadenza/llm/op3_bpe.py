@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, doc_texts, partitions, read, squeeze, unsqueeze
+from .common import block_keys, doc_texts, murmur, partitions, read, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
@@ -32,7 +33,7 @@ NONE, BITS = 1 << 40, 17
 #: Small maps of the rank map; a power of two.
 BUCKETS = 1 << 17
 #: Characters of the texts of a block, more if one text has more.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 10_000_000
 #: A block that waits for a word, and the word's number there.
 WAITING = np.dtype([("source", "<i8"), ("number", "<u4")])
 TOKENS = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -57,14 +58,12 @@ def merges(path: str) -> dict[int, int]:
 
 
 @functools.lru_cache(maxsize=4)
-def rank_map(spark: SparkSession, path: str) -> str:
+def rank_map(path: str) -> str:
     """The rank map as JSON: an array of BUCKETS small maps, a pair's being chosen by its hash (a map is searched from end to end)."""
     pairs = merges(path)
-    import pandas as pd
-
-    frame = spark.createDataFrame(pd.DataFrame({"pair": list(pairs)}, dtype="int64"))
+    keys = np.array(list(pairs), np.int64)
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for pair, at in frame.select("pair", F.hash("pair").bitwiseAND(F.lit(BUCKETS - 1))).collect():
+    for pair, at in zip(pairs, (murmur([keys & 0xFFFFFFFF, keys >> 32]) & (BUCKETS - 1)).tolist()):
         maps[at][str(pair)] = pairs[pair]
     return json.dumps(maps, separators=(",", ":"))
 
@@ -76,7 +75,7 @@ def literal(numbers) -> Column:
 
 def ranker(path: str):
     """A function from a pair to its rank, or NONE; the optimizer folds the map to a literal."""
-    held = F.from_json(F.lit(rank_map(SparkSession.active(), path)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    held = F.from_json(F.lit(rank_map(path)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
     return lambda pair: F.coalesce(F.try_element_at(F.get(held, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair), F.lit(NONE))
 
 
@@ -121,11 +120,21 @@ def decode_ids(ids: Column, path: str) -> Column:
     return F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), lambda i: F.coalesce(F.get(held, i.cast("int")), F.lit(""))), ""))
 
 
+#: The characters below U+0100 that are letters, numbers and white space.
+LETTER, NUMBER, SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r" \t\n\x0b\x0c\r\x85\xa0"
+
+
 @functools.lru_cache(maxsize=4)
 def splitter(pattern: str):
+    """A function from a text to its words. Texts below U+0100 take a faster library, with the usual pattern's classes written out."""
     import regex
 
-    return regex.compile(pattern).findall
+    split = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return split
+    narrow = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+    beyond = re.compile(r"[^\x00-\xff]").search
+    return lambda text: split(text) if beyond(text) else narrow(text)
 
 
 class Numbers(dict):
@@ -283,7 +292,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     as many as spark.sql.shuffle.partitions. A word is in a bucket once for each block that has it, however often that is.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    keys = block_keys(docs.sparkSession, partitions(docs.sparkSession))
+    keys = block_keys(partitions(docs.sparkSession))
     row = "key int, source long, data binary"
     sent = doc_texts(docs).mapInArrow(scan(pattern, keys), row).repartition(len(keys), "key")
     coded = sent.mapInArrow(distinct_words, "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
