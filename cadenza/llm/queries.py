@@ -9,7 +9,8 @@ from .op4_rabitq import op4_rabitq
 from .op5_extract import op5_extract
 from .op6_language import op6_language
 from .op7_packing import op7_packing
+from .op8_multi_index import op8_multi_index
 from .op9_secrets import op9_secrets
 
-QUERIES = {f.__name__: f for f in (op2_dartminhash, op3_bpe, op4_rabitq, op5_extract, op6_language, op7_packing, op9_secrets, op10_suffix)}
+QUERIES = {f.__name__: f for f in (op2_dartminhash, op3_bpe, op4_rabitq, op5_extract, op6_language, op7_packing, op8_multi_index, op9_secrets, op10_suffix)}
 ORACLES: dict[str, str] = {}
