@@ -7,8 +7,8 @@ their weighted Jaccard similarity as probability. Work is in the darts, about K
 
 Links: documents whose lower-cased words give the same sequence are one class; its smallest doc_id stands for it. Classes that share a
 band of ROWS coordinates are candidates. In each bucket they are compared with one pivot, the member that meets most others; where a
-bucket then still holds several components, those outside the largest are held against all others there, first by signature (in
-blocks), then exactly. A link is a Jaccard similarity of the sets of WORDS-word shingles of at least SIMILARITY. Near-duplicate
+bucket then still holds several components, those outside the largest are held against all others there, first by signature, then
+exactly, in cells of BLOCK x BLOCK rows, each of which gives a forest of its links and never its pairs. A link is a Jaccard similarity of the sets of WORDS-word shingles of at least SIMILARITY. Near-duplicate
 classes are the components of the links. No bucket, partner or candidate is capped.
 
 Texts of fewer than WORDS words are one shingle. Texts without a word, null and empty ones too, link with nothing. Repeated rows of a
@@ -36,7 +36,7 @@ K = BANDS * ROWS
 #: Signatures that agree in a smaller share of coordinates aren't verified: at a similarity of 0.8 that is 4.5 standard deviations.
 LOOSE = 0.6
 #: Rows of a block in which signatures are held against each other.
-BLOCK = 2048
+BLOCK = 1024
 #: Darts that are expected for a document, so that most signatures are full at once.
 DARTS = K * math.log(K) + 2 * K
 SIGNED = "doc_id long, same binary, bands array<long>, signature binary"
@@ -177,31 +177,73 @@ def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
 
-def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components whose signatures agree loosely, within each cell (bucket, i, j) of the sorted input."""
-    held, rows = None, []
+def alike(least: float):
+    """A mapInArrow function over sorted rows (bucket, i, j, rep, component, left, signature, bands, data): links that join components.
 
-    def pairs() -> pa.RecordBatch:
+    Within a cell (bucket, i, j) left rows are held against right ones in the order of their signatures' agreement, unless both are
+    joined already or share a bucket before this one.
+    """
+
+    def links(bucket: int, rows: list, hashes: WordHashes, coder) -> list[tuple[int, int]]:
         left, right = [r for r in rows if r[2]], [r for r in rows if not r[2]]
-        a, b = [], []
-        if left and right:
-            x, y = (np.frombuffer(b"".join(r[3] for r in side), "<u2").reshape(len(side), K) for side in (left, right))
-            for i, r in enumerate(left):
-                for j in np.flatnonzero((y == x[i]).sum(axis=1) >= LOOSE * K).tolist():
-                    if r[1] != right[j][1]:
-                        a.append(r[0])
-                        b.append(right[j][0])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if not left or not right:
+            return []
+        (one, other) = (np.frombuffer(b"".join(r[3] for r in side), "<u2").reshape(len(side), K) for side in (left, right))
+        (mine, theirs) = (np.array([r[4] for r in side], np.int64) for side in (left, right))
+        theirs_in = np.array([r[1] for r in right], np.int64)
+        parent: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                c = parent[c] = parent[parent[c]]
+            return c
+
+        def of(row: list) -> np.ndarray:
+            if row[0] not in sets:
+                sets[row[0]] = shingles(coder.decompress(row[5]).decode("utf-8", "surrogatepass").split(), hashes)
+            return sets[row[0]]
+
+        found = []
+        for i, row in enumerate(left):
+            near = np.flatnonzero(theirs_in != row[1])
+            agree = (other[near] == one[i]).sum(axis=1)
+            close = agree >= LOOSE * K
+            near, agree = near[close], agree[close]
+            if len(near):
+                first = (theirs[near] == mine[i]).argmax(axis=1)
+                here = mine[i][first] == bucket
+                near = near[here][np.argsort(-agree[here], kind="stable")]
+            for j in near.tolist():
+                a, b = root(row[1]), root(right[j][1])
+                if a != b:
+                    s, t = of(row), of(right[j])
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if common >= least * (len(s) + len(t) - common):
+                        parent[a] = b
+                        found.append((row[0], right[j][0]))
+        return found
 
-    for batch in batches:
-        for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, i, j) != held:
-                if rows:
-                    yield pairs()
-                held, rows = (key, i, j), []
-            rows.append(row)
-    if rows:
-        yield pairs()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        held, rows, hashes, coder = None, [], WordHashes(), zstandard.ZstdDecompressor()
+
+        def sent() -> pa.RecordBatch:
+            found = links(held[0], rows, hashes, coder)
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, i, j) != held:
+                    if rows:
+                        yield sent()
+                    held, rows = (bucket, i, j), []
+                rows.append(row)
+        if rows:
+            yield sent()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,27 +264,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tried = cut(met.join(pivots, "bucket").filter("rep <> pivot").select(*ordered("rep", "pivot")).distinct())
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        needed = cut(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(compress, "doc_id long, data binary"))
-        one, two = needed.select(F.col("doc_id").alias("a"), F.col("data").alias("x")), needed.select(F.col("doc_id").alias("b"), F.col("data").alias("y"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify(SIMILARITY), "a long, b long")
+    def with_texts(ids: DataFrame) -> DataFrame:
+        return cut(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(compress, "doc_id long, data binary"))
 
-    links = cut(linked(tried))
+    needed = with_texts(cut(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    one, two = needed.select(F.col("doc_id").alias("a"), F.col("data").alias("x")), needed.select(F.col("doc_id").alias("b"), F.col("data").alias("y"))
+    links = cut(tried.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify(SIMILARITY), "a long, b long"))
     label = components(links)
     placed = cut(met.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
     shares = cut(placed.groupBy("bucket", "component").agg(F.count("*").alias("m")))
     mixed = cut(shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top")).filter("parts > 1 and n > 2").select("bucket", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.m")).alias("rest")))
     if not mixed.isEmpty():
-        open_ = placed.join(mixed, "bucket").join(reps.select(F.col("doc_id").alias("rep"), "signature"), "rep")
+        open_ = cut(placed.join(mixed, "bucket"))  # its members have been tried, so their texts are at hand
+        carried = reps.select(F.col("doc_id").alias("rep"), "signature", "bands").join(needed.select(F.col("doc_id").alias("rep"), "data"), "rep")
         cell = lambda count: F.floor(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) * F.ceil(F.col(count) / BLOCK) / F.lit(1 << 30)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(count) / BLOCK) - 1).cast("int")))
         minor = open_.filter("component <> largest").withColumn("i", cell("rest")).withColumn("j", every("n")).withColumn("left", F.lit(True))
         major = open_.withColumn("j", cell("n")).withColumn("i", every("rest")).withColumn("left", F.lit(False))
-        cells = minor.unionByName(major).select("bucket", "i", "j", "rep", "component", "left", "signature")
-        dealt = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        more = dealt.mapInArrow(alike, "a long, b long").select(*ordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
-        links = cut(links.unionByName(linked(cut(more))))
+        cells = minor.unionByName(major).select("bucket", "i", "j", "rep", "component", "left").join(cut(carried), "rep")
+        dealt = cells.select("bucket", "i", "j", "rep", "component", "left", "signature", "bands", "data").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        links = cut(links.unionByName(dealt.mapInArrow(alike(SIMILARITY), "a long, b long")))
         label = components(links)
     final = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     nameless = texts.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("class_id"))
