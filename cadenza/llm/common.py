@@ -95,7 +95,7 @@ def block_keys(n: int) -> list[int]:
     return found.tolist()
 
 
-def blocks(docs: DataFrame, keys: list[int]) -> DataFrame:
+def blocks(docs: DataFrame, keys: list[int], carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (block, data): compressed documents, dealt over len(keys) blocks by a hash of doc_id. The texts are shuffled once, here.
 
     Every later pass over a block's texts reads the same exchange, so what is found elsewhere about a block comes to the texts.
@@ -106,16 +106,17 @@ def blocks(docs: DataFrame, keys: list[int]) -> DataFrame:
 
         for batch in batches:
             parts: dict[int, list] = {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.setdefault(zlib.crc32(b"%d" % (-1 if doc is None else doc)) % len(keys), []).append((doc, text.as_py()))
+            more = zip(*(c.to_pylist() for c in batch.columns[2:])) if carry else iter(lambda: (), None)
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), more):
+                parts.setdefault(zlib.crc32(b"%d" % (-1 if doc is None else doc)) % len(keys), []).append((doc, text.as_py(), *own))
             coder = zstandard.ZstdCompressor(level=3)
             yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in parts], pa.int32()), pa.array([coder.compress(pickle.dumps(v)) for v in parts.values()], pa.binary())], names=["block", "data"])
 
-    return doc_texts(docs).mapInArrow(pack, "block int, data binary").repartition(len(keys), "block")
+    return doc_texts(docs, *(F.col(c).alias(f"__{i}") for i, c in enumerate(carry))).mapInArrow(pack, "block int, data binary").repartition(len(keys), "block")
 
 
-def unpack(data) -> Iterator[tuple[int, str]]:
-    """doc_id and text of a block's rows."""
+def unpack(data) -> Iterator[tuple]:
+    """doc_id, text and what is carried of a block's rows."""
     import zstandard
 
     for x in data:

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import BASE, BYTE_WORDS, INVERSE, U64, block_keys, blocks, mix, partitions, powers, read, squeeze, unpack, unsqueeze
 
@@ -102,9 +104,9 @@ class Parse:
         cols[4].append(phrase)
 
 
-def load(data) -> tuple[list, np.ndarray, list[bytes]]:
-    """doc_ids as they are, doc_ids as numbers, and texts of a block, by number."""
-    rows = sorted(((LAST if d is None else d, t.encode("utf-8", "surrogatepass"), d) for d, t in unpack(data)), key=lambda r: r[:2])
+def load(data) -> tuple[list[tuple], np.ndarray, list[bytes]]:
+    """Rows as they are without text, doc_ids as numbers, and texts of a block, by number."""
+    rows = sorted(((LAST if r[0] is None else r[0], r[1].encode("utf-8", "surrogatepass"), (r[0], *r[2:])) for r in unpack(data)), key=lambda r: r[:2])
     return [r[2] for r in rows], np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
 
 
@@ -260,9 +262,24 @@ def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
 
 
-def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, docs, texts = load(left.column("data").to_pylist())
-    names, sizes, mins = joined(right.column("data").to_pylist(), 3)
+def remover(schema: pa.Schema):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, docs, texts = load(left.column("data").to_pylist())
+        spans = removed(docs, texts, right.column("data").to_pylist())
+        cols: list[list] = [[] for _ in schema]
+        for i, text in enumerate(texts):
+            own = spans.get(i, [])
+            kept = b"".join([text[a:b] for a, b in zip([0, *(s[1] for s in own)], [*(s[0] for s in own), len(text)])]) if own else text
+            for col, x in zip(cols, (rows[i][0], kept, len(text), len(text) - len(kept), len(own), *rows[i][1:])):
+                col.append(x)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
+
+
+def removed(docs: np.ndarray, texts: list[bytes], answers: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The maximal removed runs of each text that has any."""
+    names, sizes, mins = joined(answers, 3)
     spans: dict[int, list[tuple[int, int]]] = {}
     if len(names):
         sizes, mins = sizes.astype(np.int64), mins.astype(np.int64)
@@ -281,24 +298,38 @@ def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
             last = np.append(apart[1:], len(text)) - 1
             for t, a, b in zip(text[apart].tolist(), start[apart].tolist(), (start[last] + LENGTH).tolist()):
                 spans.setdefault(t, []).append((a, b))
-    cols: list[list] = [[], [], [], [], []]
-    for i, text in enumerate(texts):
-        own = spans.get(i, [])
-        kept = b"".join([text[a:b] for a, b in zip([0, *(s[1] for s in own)], [*(s[0] for s in own), len(text)])]) if own else text
-        for col, x in zip(cols, (ids[i], kept, len(text), len(text) - len(kept), len(own))):
-            col.append(x)
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+    return spans
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the remaining bytes, concatenated), n_bytes, n_removed and n_spans (maximal removed runs), one row per document."""
+def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (the remaining bytes, concatenated), n_bytes, n_removed and n_spans (maximal removed runs), one row per document.
+
+    Columns named in `carry` come along as __0, __1 and so on.
+    """
     keys = block_keys(partitions(docs.sparkSession))
-    texts = blocks(docs, keys)
+    texts = blocks(docs, keys, carry)
     sent = "bucket int, block int, data binary"
     known = texts.mapInArrow(triggers_of(keys), sent).repartition(len(keys), "bucket").mapInArrow(shared, "block int, data binary")
     phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(phrases_of(keys), sent)
     answers = phrases.repartition(len(keys), "bucket").mapInArrow(smallest, "block int, data binary")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, RESULT)
+    own = T.StructType([*T._parse_datatype_string(RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remover(to_arrow_schema(own)), own)
+
+
+def deduplicate_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs with what is kept of each text; bytes of a character that was cut go with it, null texts stay null."""
+    columns = tuple(docs.columns)
+    null = "__null"
+    got = deduplicate(docs.withColumn(null, F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), (*(c for c in columns if c != "text"), null))
+    own = {c: F.col(f"__{i}") for i, c in enumerate((*(c for c in columns if c != "text"), null))}
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([None if none else kept.decode("utf-8", "ignore") for kept, none in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(2 + i) for i, c in enumerate(columns)], names=list(columns))
+
+    rows = got.select("kept", own[null].alias(null), *(F.lit(None).cast("string").alias("text") if c == "text" else own[c].alias(c) for c in columns))
+    return rows.mapInArrow(whole, docs.schema)
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
