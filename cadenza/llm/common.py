@@ -127,7 +127,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; the bytes of equal significance lie together, which compresses numbers of a narrow range well."""
     import zstandard
 
-    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()) for a in arrays]
+    planes = [(a.dtype.str, len(a), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
 
 
