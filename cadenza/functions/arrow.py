@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -124,7 +125,8 @@ def xspf_entries(data: bytes) -> list[dict] | None:
     if root is None:
         return None
     tracks = [t for t in root.iter() if isinstance(t.tag, str) and t.tag.lower() == "track"]
-    return [entry(inner(t, "location"), inner(t, "title"), inner(t, "creator"), leading(inner(t, "duration")) // 1000) for t in tracks if inner(t, "location")]
+    place = lambda x: x if x[:5].lower() == "file:" else unquote(x)
+    return [entry(place(inner(t, "location")), inner(t, "title"), inner(t, "creator"), leading(inner(t, "duration")) // 1000) for t in tracks if inner(t, "location")]
 
 
 def wpl_entries(data: bytes) -> list[dict] | None:

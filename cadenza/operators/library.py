@@ -103,13 +103,17 @@ def albums(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     shown = sources.withColumn("shown", T.strip_disc(F.col("value")))
     plain = T.strip_album(F.col("shown")) == F.col("shown")
     order = F.struct(-F.col("tracks"), ~plain, -T.spelling_quality(F.col("shown")), F.col("shown"))
-    same = lambda a, b: a["album_key"].eqNullSafe(b["album_key"]) & a["owner"].eqNullSafe(b["owner"])
     named = shown.groupBy("owner", "album_key").agg(F.min_by("shown", order).alias("name"), F.sum("tracks").alias("tracks"), F.count("*").alias("sources"))
     artists = best_spelling(parts, ["owner", "album_key"], "name", "tracks", "artist")
-    whole = named.join(artists, same(named, artists)).select(named.owner, named.album_key, "name", "artist", "tracks", "sources")
-    kept = named.select("owner", "album_key", F.col("name").alias("album"))
-    listed = sources.join(kept, same(sources, kept)).select(sources.owner, sources.album_key, "album", "value", "tracks", T.album_kind(F.col("value"), F.col("album")).alias("kind"))
-    return whole, listed
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Both, where owner (null too) and album_key agree."""
+        other = right.withColumnsRenamed({"owner": "__owner", "album_key": "__key"})
+        return left.join(other, (F.col("album_key") == F.col("__key")) & F.col("owner").eqNullSafe(F.col("__owner"))).drop("__owner", "__key")
+
+    whole = beside(named, artists).select("owner", "album_key", "name", "artist", "tracks", "sources")
+    listed = beside(sources, named.select("owner", "album_key", F.col("name").alias("album")))
+    return whole, listed.select("owner", "album_key", "album", "value", "tracks", T.album_kind(F.col("value"), F.col("album")).alias("kind"))
 
 
 def junk_albums(tracks: DataFrame) -> DataFrame:

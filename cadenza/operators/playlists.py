@@ -50,9 +50,9 @@ def m3u_entries(lines: DataFrame) -> DataFrame:
 def pls_entries(lines: DataFrame) -> DataFrame:
     """Entries of a .pls by number; of repeated keys the last line counts, numbers without a file are dropped."""
     part = lambda i: F.regexp_extract("line", T.rx(W.PLS_LINE), i)
-    rows = lines.select("playlist_id", "pos", F.lower(part(1)).alias("kind"), part(2).try_cast("int").alias("no"), T.go_trim(part(3)).alias("value")).filter("kind <> '' and no is not null")
-    value = lambda k: F.max_by("value", F.when(F.col("kind") == k, F.col("pos")))
-    grouped = rows.groupBy("playlist_id", "no").agg(value("file").alias("location"), value("title").alias("name"), value("length").alias("length")).filter("location <> ''")
+    rows = lines.select("playlist_id", "pos", F.lower(part(1)).alias("kind"), part(2).try_cast("int").alias("no"), part(3).alias("value")).filter("kind <> '' and no is not null")
+    value = lambda k, c=F.lit(True): F.max_by("value", F.when((F.col("kind") == k) & c, F.col("pos")))
+    grouped = rows.groupBy("playlist_id", "no").agg(value("file").alias("location"), value("title").alias("name"), value("length", T.leading_number(F.col("value")) > 0).alias("length")).filter("location is not null")
     artist, title = titled(F.col("name"))
     return grouped.select("playlist_id", F.col("no").alias("pos"), "location", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(artist, F.lit("")).alias("artist"), F.coalesce(known_length(F.col("length")), F.lit(-1)).alias("duration"))
 
@@ -122,8 +122,8 @@ def components(c: Column) -> Column:
 
 def tails(parts: Column) -> Column:
     """array<struct<n, tail>>: the last 1, 2, 3 ... parts."""
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(parts, n - k + 1, k), "/").alias("tail")))
+    some = F.when(F.size(parts) > 0, parts)
+    return T.let(some, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.struct(k.alias("n"), F.array_join(F.slice(p, F.size(p) - k + 1, k), "/").alias("tail"))))
 
 
 def file_index(files: DataFrame) -> DataFrame:
