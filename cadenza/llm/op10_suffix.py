@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, BYTE_WORDS, INVERSE, U64, block_keys, blocks, mix, partitions, powers, read, squeeze, unpack, unsqueeze
+from .common import BASE, BYTE_WORDS, INVERSE, U64, block_keys, blocks, lean, mix, partitions, powers, read, squeeze, unpack, unsqueeze
 
 LENGTH, SEED = 50, 20
 #: Bytes that are hashed at a time; longer texts are parsed in overlapping parts.
@@ -309,11 +309,11 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     keys = block_keys(partitions(docs.sparkSession))
     texts = blocks(docs, keys, carry)
     sent = "bucket int, block int, data binary"
-    known = texts.mapInArrow(triggers_of(keys), sent).repartition(len(keys), "bucket").mapInArrow(shared, "block int, data binary")
-    phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(phrases_of(keys), sent)
-    answers = phrases.repartition(len(keys), "bucket").mapInArrow(smallest, "block int, data binary")
+    known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "bucket").mapInArrow(lean(shared), "block int, data binary")
+    phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(phrases_of(keys)), sent)
+    answers = phrases.repartition(len(keys), "bucket").mapInArrow(lean(smallest), "block int, data binary")
     own = T.StructType([*T._parse_datatype_string(RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remover(to_arrow_schema(own)), own)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(remover(to_arrow_schema(own))), own)
 
 
 def deduplicate_texts(docs: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def deduplicate_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(2 + i) for i, c in enumerate(columns)], names=list(columns))
 
     rows = got.select("kept", own[null].alias(null), *(F.lit(None).cast("string").alias("text") if c == "text" else own[c].alias(c) for c in columns))
-    return rows.mapInArrow(whole, docs.schema)
+    return rows.mapInArrow(lean(whole), docs.schema)
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

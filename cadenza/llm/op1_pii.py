@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read
+from .common import cut, lean, read
 
 KEY, FEW = b"surrogates", 10_000
 #: Titles by gender, and common given names by gender.
@@ -223,14 +223,14 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, entity, attempt and surrogate of distinct entities: within a kind no two share a surrogate, and none is an entity."""
     columns = "kind string, entity string, attempt int, surrogate string"
     known = cut(entities.select("kind", "entity"))
-    done = cut(known.withColumn("attempt", F.lit(0)).mapInArrow(candidates(key), columns))
+    done = cut(known.withColumn("attempt", F.lit(0)).mapInArrow(lean(candidates(key)), columns))
     for _ in range(60):
         owner = cut(done.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("kind", "surrogate", F.col("o.entity").alias("owner")))
         taken = known.withColumnRenamed("entity", "surrogate").withColumn("real", F.lit(True))
         judged = cut(done.join(owner, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left").withColumn("bad", F.coalesce("real", F.lit(False)) | F.coalesce(F.col("owner") != F.col("entity"), F.lit(False))))
         if judged.filter("bad").isEmpty():
             return done
-        again = judged.filter("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(candidates(key), columns)
+        again = judged.filter("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(lean(candidates(key)), columns)
         done = cut(judged.filter("not bad").select("kind", "entity", "attempt", "surrogate").unionByName(again))
     return done
 
@@ -250,7 +250,7 @@ def doc_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The input with surrogates in `text`, and `replaced`: array of (kind, start, end, surrogate), positions in the new text."""
     kept = [c for c in docs.columns if c != "replaced"]
-    done = assignments(docs.select("text").mapInArrow(distinct_entities, FOUND).distinct(), key)
+    done = assignments(docs.select("text").mapInArrow(lean(distinct_entities), FOUND).distinct(), key)
     later = cut(done.filter("attempt > 0").select("kind", "entity", "attempt"))
     rows = docs.select(*kept)
     few = [(r.kind, r.entity, r.attempt) for r in later.limit(FEW + 1).collect()]
@@ -258,7 +258,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         attempts = {(k, e): a for k, e, a in few}
     else:
         attempts = {}
-        own = docs.select("doc_id", "text").mapInArrow(doc_entities, "doc_id long, " + FOUND).join(later, ["kind", "entity"])
+        own = docs.select("doc_id", "text").mapInArrow(lean(doc_entities), "doc_id long, " + FOUND).join(later, ["kind", "entity"])
         lists = own.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))
         rows = rows.join(lists, "doc_id", "left").select(*kept, "__attempts")
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("surrogate", T.StringType())]))
@@ -287,7 +287,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("surrogate", pa.string())])))], names=[*kept, "replaced"])
 
     fields = [docs.schema[c] for c in kept]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("replaced", span)]))
+    return rows.mapInArrow(lean(run), T.StructType([*fields, T.StructField("replaced", span)]))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, doc_texts, mix, read
+from .common import U64, cut, doc_texts, lean, mix, read
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the near-duplicate class) and kept (doc_id = class_id), one row per input row."""
     texts = doc_texts(docs)
     named = texts.filter(F.col("doc_id").isNotNull())
-    signed = cut(named.mapInArrow(sign, SIGNED))
+    signed = cut(named.mapInArrow(lean(sign), SIGNED))
     classes = cut(signed.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep")))
     members = cut(signed.join(classes, "same", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     reps = cut(signed.join(classes.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")))
@@ -265,11 +265,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(met.join(pivots, "bucket").filter("rep <> pivot").select(*ordered("rep", "pivot")).distinct())
 
     def with_texts(ids: DataFrame) -> DataFrame:
-        return cut(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(compress, "doc_id long, data binary"))
+        return cut(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lean(compress), "doc_id long, data binary"))
 
     needed = with_texts(cut(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     one, two = needed.select(F.col("doc_id").alias("a"), F.col("data").alias("x")), needed.select(F.col("doc_id").alias("b"), F.col("data").alias("y"))
-    links = cut(tried.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify(SIMILARITY), "a long, b long"))
+    links = cut(tried.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(verify(SIMILARITY)), "a long, b long"))
     label = components(links)
     placed = cut(met.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")))
     shares = cut(placed.groupBy("bucket", "component").agg(F.count("*").alias("m")))
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         major = open_.withColumn("j", cell("n")).withColumn("i", every("rest")).withColumn("left", F.lit(False))
         cells = minor.unionByName(major).select("bucket", "i", "j", "rep", "component", "left").join(cut(carried), "rep")
         dealt = cells.select("bucket", "i", "j", "rep", "component", "left", "signature", "bands", "data").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        links = cut(links.unionByName(dealt.mapInArrow(alike(SIMILARITY), "a long, b long")))
+        links = cut(links.unionByName(dealt.mapInArrow(lean(alike(SIMILARITY)), "a long, b long")))
         label = components(links)
     final = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     nameless = texts.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("class_id"))

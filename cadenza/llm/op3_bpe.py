@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, doc_texts, murmur, partitions, read, squeeze, unsqueeze
+from .common import block_keys, doc_texts, lean, murmur, partitions, read, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
@@ -294,10 +294,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path(VOCABULARY)
     keys = block_keys(partitions(docs.sparkSession))
     row = "key int, source long, data binary"
-    sent = doc_texts(docs).mapInArrow(scan(pattern, keys), row).repartition(len(keys), "key")
-    coded = sent.mapInArrow(distinct_words, "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
-    back = coded.mapInArrow(answers(keys), row)
-    return sent.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(assemble(path), TOKENS)
+    sent = doc_texts(docs).mapInArrow(lean(scan(pattern, keys)), row).repartition(len(keys), "key")
+    coded = sent.mapInArrow(lean(distinct_words), "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
+    back = coded.mapInArrow(lean(answers(keys)), row)
+    return sent.groupBy("key").cogroup(back.groupBy("key")).applyInArrow(lean(assemble(path)), TOKENS)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 from .labelled_pages import PAGES
 
 SILENT = "script|style|template|noscript|svg|math|iframe|object|select|textarea|button|title|audio|video|canvas"
@@ -146,7 +146,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py(), tree) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, TEXTS)
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), TEXTS)
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import lean, read
 
 SAMPLE, BLOCK, DICTIONARY = 160, 1200, 120_000
 #: zstandard's level for texts of SHORT bytes and more, and for shorter ones.
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, *RESULT.names])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *RESULT.fields]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, *RESULT.fields]))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark import TaskContext
 
-from .common import doc_texts, partitions, read
+from .common import doc_texts, lean, partitions, read
 
 WINDOW, SEPARATOR, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Characters that are tokenized together at most, unless one text is longer.
@@ -136,9 +136,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, separator: int = SEPAR
     partition's pieces (56 bytes each), and the padding of a partition is that of its last few windows.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    cut = doc_texts(docs).mapInArrow(pieces(path, window, separator), PIECES)
+    cut = doc_texts(docs).mapInArrow(lean(pieces(path, window, separator)), PIECES)
     dealt = cut.repartition(partitions(docs.sparkSession), "doc_id", "start").sortWithinPartitions(cut.length.desc(), "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(place(window), PACKED)
+    return dealt.mapInArrow(lean(place(window)), PACKED)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
