@@ -9,18 +9,19 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
 FLAGS = re.I | re.S
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or "&" not in v else html.unescape(v))
 
@@ -56,7 +57,7 @@ def container_text(page: str) -> str:
     return "\n".join(parts).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def containers(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: None if p is None else container_text(p))
 
@@ -83,13 +84,13 @@ def decoded(data: bytes) -> str:
         return data.decode("windows-1251" if cyrillic else "windows-1252", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else decoded(bytes(v)))
 
 
-ENTRY = "array<struct<location:string,title:string,artist:string,duration:int>>"
-PLAYLISTS = "array<struct<name:string,entries:" + ENTRY + ">>"
+ENTRY = T.ArrayType(T.StructType([T.StructField("location", T.StringType()), T.StructField("title", T.StringType()), T.StructField("artist", T.StringType()), T.StructField("duration", T.IntegerType())]))
+PLAYLISTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("entries", ENTRY)]))
 
 
 def parsed(data: bytes):
