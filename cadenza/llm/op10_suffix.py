@@ -35,7 +35,9 @@ from .common import BASE, BYTE_WORDS, INVERSE, U64, block_keys, blocks, lean, mi
 
 LENGTH, SEED = 50, 20
 #: Bytes that are hashed at a time; longer texts are parsed in overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
+#: Buckets of a partition, which are worked on one after the other; phrases whose strings are looked up at a time.
+SUB, SLICE = 4, 20_000
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
@@ -147,23 +149,32 @@ def triggers_of(keys: list[int]):
 
 
 def dealt(block: int, trigger: np.ndarray, keys: list[int], *more: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: bucket, block and the squeezed arrays of its triggers (sent as differences, which are small)."""
-    bucket = (trigger % U64(len(keys))).astype(np.int64)
+    """A row for each bucket: key of its partition, bucket, block and the squeezed arrays of its triggers (sent as differences, which are small)."""
+    rows = [(b, squeeze(np.diff(trigger[i], prepend=U64(0)), *(x[i] for x in more))) for b, i in in_buckets(trigger, keys)]
+    return pa.RecordBatch.from_arrays([pa.array([keys[b % len(keys)] for b, _ in rows], pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["key", "bucket", "block", "data"])
+
+
+def in_buckets(trigger: np.ndarray, keys: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets that have triggers, and the places of these, in their order."""
+    bucket = (trigger % U64(SUB * len(keys))).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
-    rows = [(keys[b], block, squeeze(np.diff(trigger[i], prepend=U64(0)), *(x[i] for x in more))) for b in range(len(keys)) if len(i := order[ends[b] : ends[b + 1]])]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "data"])
+    ends = np.searchsorted(bucket[order], np.arange(SUB * len(keys) + 1)).tolist()
+    for b, (i, j) in enumerate(zip(ends, ends[1:])):
+        if i < j:
+            yield b, order[i:j]
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[np.ndarray]]]]:
     """For each bucket the blocks that sent something, and what they sent."""
-    held: dict[int, tuple[list[int], list]] = {}
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
     for batch in batches:
-        for bucket, block, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for bucket, block, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             blocks, sent = held.setdefault(bucket, ([], []))
             blocks.append(block)
-            sent.append(unsqueeze(data))
-    yield from held.values()
+            sent.append(data)
+    while held:
+        _, (blocks, sent) = held.popitem()
+        yield blocks, [unsqueeze(x) for x in sent]
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +196,7 @@ def phrases_of(keys: list[int]):
         """Each phrase of a block whose trigger is shared, once: its hash, smallest and largest document, and bytes."""
         parts = [np.cumsum(unsqueeze(x)[0], dtype=U64) for x in right.column("data").to_pylist()]
         known = np.sort(np.concatenate(parts)) if parts else np.empty(0, U64)
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        empty = pa.table({n: pa.array([], pa.binary() if n == "data" else pa.int32()) for n in ("key", "bucket", "block", "data")})
         if not len(known) or not left.num_rows:
             return empty
         _, docs, texts = load(left.column("data").to_pylist())
@@ -198,14 +209,13 @@ def phrases_of(keys: list[int]):
         doc = docs[p.text[order]]
         low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
         one = order[at]
-        bucket = (p.trigger[one] % U64(len(keys))).astype(np.int64)
         rows = []
-        for b in np.unique(bucket).tolist():
-            i = np.flatnonzero(bucket == b)
+        for b, i in in_buckets(p.trigger[one], keys):
             own = one[i]
             data = b"".join([texts[t][s : s + w + LENGTH - 1] for t, s, w in zip(p.text[own].tolist(), p.start[own].tolist(), p.windows[own].tolist())])
-            rows.append((keys[b], key[0].as_py(), squeeze(p.phrase[own], low[i], high[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+            rows.append((b, squeeze(p.phrase[own], low[i], high[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
+        block = [key[0].as_py()] * len(rows)
+        return pa.table({"key": pa.array([keys[b % len(keys)] for b, _ in rows], pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array(block, pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
     return run
 
@@ -287,17 +297,24 @@ def removed(docs: np.ndarray, texts: list[bytes], answers: list[bytes]) -> dict[
         order = np.argsort(names, kind="stable")
         p = Parse(texts)
         entry = found_in(p.phrase, names[order])
-        hit = np.flatnonzero(entry >= 0)
-        e = order[entry[hit]]
-        n = p.windows[hit]
-        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = mins[np.repeat(base[e], n) + where] < np.repeat(docs[p.text[hit]], n)
-        text, start = np.repeat(p.text[hit], n)[gone], (np.repeat(p.start[hit], n) + where)[gone]
-        if len(text):
+        every = np.flatnonzero(entry >= 0)
+        for a in range(0, len(every), SLICE):
+            hit = every[a : a + SLICE]
+            e = order[entry[hit]]
+            n = p.windows[hit]
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            gone = mins[np.repeat(base[e], n) + where] < np.repeat(docs[p.text[hit]], n)
+            text, start = np.repeat(p.text[hit], n)[gone], (np.repeat(p.start[hit], n) + where)[gone]
+            if not len(text):
+                continue
             apart = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] > start[:-1] + LENGTH)))
             last = np.append(apart[1:], len(text)) - 1
-            for t, a, b in zip(text[apart].tolist(), start[apart].tolist(), (start[last] + LENGTH).tolist()):
-                spans.setdefault(t, []).append((a, b))
+            for t, i, j in zip(text[apart].tolist(), start[apart].tolist(), (start[last] + LENGTH).tolist()):
+                own = spans.setdefault(t, [])
+                if own and i <= own[-1][1]:
+                    own[-1] = (own[-1][0], j)
+                else:
+                    own.append((i, j))
     return spans
 
 
@@ -308,10 +325,10 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     keys = block_keys(partitions(docs.sparkSession))
     texts = blocks(docs, keys, carry)
-    sent = "bucket int, block int, data binary"
-    known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "bucket").mapInArrow(lean(shared), "block int, data binary")
+    sent = "key int, bucket int, block int, data binary"
+    known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "key").mapInArrow(lean(shared), "block int, data binary")
     phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(phrases_of(keys)), sent)
-    answers = phrases.repartition(len(keys), "bucket").mapInArrow(lean(smallest), "block int, data binary")
+    answers = phrases.repartition(len(keys), "key").mapInArrow(lean(smallest), "block int, data binary")
     own = T.StructType([*T._parse_datatype_string(RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(remover(to_arrow_schema(own))), own)
 
