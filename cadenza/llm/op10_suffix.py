@@ -273,6 +273,8 @@ def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remover(schema: pa.Schema):
+    """Rows of a block in `schema`: RESULT and what is carried. Where kept is a string, bytes of a character that was cut go with it."""
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows, docs, texts = load(left.column("data").to_pylist())
         spans = removed(docs, texts, right.column("data").to_pylist())
@@ -280,7 +282,8 @@ def remover(schema: pa.Schema):
         for i, text in enumerate(texts):
             own = spans.get(i, [])
             kept = b"".join([text[a:b] for a, b in zip([0, *(s[1] for s in own)], [*(s[0] for s in own), len(text)])]) if own else text
-            for col, x in zip(cols, (rows[i][0], kept, len(text), len(text) - len(kept), len(own), *rows[i][1:])):
+            shown = kept.decode("utf-8", "ignore") if pa.types.is_string(schema.field("kept").type) else kept
+            for col, x in zip(cols, (rows[i][0], shown, len(text), len(text) - len(kept), len(own), *rows[i][1:])):
                 col.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -318,10 +321,10 @@ def removed(docs: np.ndarray, texts: list[bytes], answers: list[bytes]) -> dict[
     return spans
 
 
-def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, kept (the remaining bytes, concatenated), n_bytes, n_removed and n_spans (maximal removed runs), one row per document.
 
-    Columns named in `carry` come along as __0, __1 and so on.
+    Columns named in `carry` come along as __0, __1 and so on. With as_text, kept is a string.
     """
     keys = block_keys(partitions(docs.sparkSession))
     texts = blocks(docs, keys, carry)
@@ -329,24 +332,19 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "key").mapInArrow(lean(shared), "block int, data binary")
     phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(phrases_of(keys)), sent)
     answers = phrases.repartition(len(keys), "key").mapInArrow(lean(smallest), "block int, data binary")
-    own = T.StructType([*T._parse_datatype_string(RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
+    own = T.StructType([*T._parse_datatype_string(RESULT.replace("binary", "string") if as_text else RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(remover(to_arrow_schema(own))), own)
 
 
 def deduplicate_texts(docs: DataFrame) -> DataFrame:
-    """The rows of docs with what is kept of each text; bytes of a character that was cut go with it, null texts stay null."""
-    columns = tuple(docs.columns)
+    """The rows of docs with what is kept of each text; null texts stay null."""
+    others = tuple(c for c in docs.columns if c != "text")
     null = "__null"
-    got = deduplicate(docs.withColumn(null, F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit(""))), (*(c for c in columns if c != "text"), null))
-    own = {c: F.col(f"__{i}") for i, c in enumerate((*(c for c in columns if c != "text"), null))}
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pa.array([None if none else kept.decode("utf-8", "ignore") for kept, none in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(2 + i) for i, c in enumerate(columns)], names=list(columns))
-
-    rows = got.select("kept", own[null].alias(null), *(F.lit(None).cast("string").alias("text") if c == "text" else own[c].alias(c) for c in columns))
-    return rows.mapInArrow(lean(whole), docs.schema)
+    rows = docs.withColumn(null, F.col("text").isNull())
+    got = deduplicate(rows, (*others, null), as_text=True)
+    own = {c: F.col(f"__{i}") for i, c in enumerate((*others, null))}
+    text = F.when(~own[null], F.col("kept")).alias("text")
+    return got.select(*(text if c == "text" else own[c].alias(c) for c in docs.columns))
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
