@@ -73,10 +73,9 @@ def literal(numbers) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
 
 
-def ranker(path: str):
-    """A function from a pair to its rank, or NONE; the optimizer folds the map to a literal."""
-    held = F.from_json(F.lit(rank_map(path)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
-    return lambda pair: F.coalesce(F.try_element_at(F.get(held, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair), F.lit(NONE))
+def rank(held: Column, pair: Column) -> Column:
+    """The rank of a pair by the rank map, or NONE."""
+    return F.coalesce(F.try_element_at(F.get(held, F.hash(pair).bitwiseAND(F.lit(BUCKETS - 1))), pair), F.lit(NONE))
 
 
 def let(value: Column, body) -> Column:
@@ -87,31 +86,36 @@ def let(value: Column, body) -> Column:
 def encode_word(values: Column, path: str) -> Column:
     """array<bigint>: the ids of one word, given as array<int> of its bytes' values, by a fold over them.
 
-    The fold's state is the ids between two sentinels, which merge with nothing, and the rank of each id with the next one.
+    The fold's state is the ids between two sentinels, which merge with nothing, and the rank of each id with the next one. The rank
+    map is folded to a literal by the optimizer; it is bound once, so that a plan holds one copy of it.
     """
     single = {p[0]: i for i, p in enumerate(pieces(path)) if len(p) == 1}
     first = literal([single[b] for b in range(256)])
     ids = F.transform(values, lambda c: F.get(first, c))
-    rank, edge, rest = ranker(path), F.array(F.lit((1 << BITS) - 1).cast("bigint")), F.lit(1 << 30)
+    table = F.from_json(F.lit(rank_map(path)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    edge, rest = F.array(F.lit((1 << BITS) - 1).cast("bigint")), F.lit(1 << 30)
     pair = lambda a, b: F.shiftleft(a, BITS) + b
     state = lambda ids, ranks: F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
-    def merge(x: Column) -> Column:
-        """The state after the pair `at` (from 1) merges to `best`: only the ranks beside it change."""
-        ids, ranks, best, at = x.ids, x.ranks, x.best, x.at
-        beside = F.array(rank(pair(F.get(ids, at - 2), best)), rank(pair(best, F.get(ids, at + 1))))
-        return state(F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, rest)), F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, rest)))
+    def folded(held: Column) -> Column:
+        def merge(x: Column) -> Column:
+            """The state after the pair `at` (from 1) merges to `best`: only the ranks beside it change."""
+            ids, ranks, best, at = x.ids, x.ranks, x.best, x.at
+            beside = F.array(rank(held, pair(F.get(ids, at - 2), best)), rank(held, pair(best, F.get(ids, at + 1))))
+            return state(F.concat(F.slice(ids, 1, at - 1), F.array(best), F.slice(ids, at + 2, rest)), F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, rest)))
 
-    def step(acc: Column, _: Column) -> Column:
-        best = F.array_min(acc.ranks)
-        found = F.struct(acc.ids.alias("ids"), acc.ranks.alias("ranks"), best.alias("best"), F.array_position(acc.ranks, best).cast("int").alias("at"))
-        return F.when(best >= NONE, acc).otherwise(let(found, merge))
+        def step(acc: Column, _: Column) -> Column:
+            best = F.array_min(acc.ranks)
+            found = F.struct(acc.ids.alias("ids"), acc.ranks.alias("ranks"), best.alias("best"), F.array_position(acc.ranks, best).cast("int").alias("at"))
+            return F.when(best >= NONE, acc).otherwise(let(found, merge))
 
-    def fold(ids: Column) -> Column:
-        ranks = F.transform(F.zip_with(ids, F.slice(ids, 2, rest), pair), lambda p: F.when(p.isNull(), F.lit(NONE)).otherwise(rank(p)))
-        return F.aggregate(values, state(ids, ranks), step, lambda acc: F.slice(acc.ids, 2, F.size(acc.ids) - 2))
+        def fold(ids: Column) -> Column:
+            ranks = F.transform(F.zip_with(ids, F.slice(ids, 2, rest), pair), lambda p: F.when(p.isNull(), F.lit(NONE)).otherwise(rank(held, p)))
+            return F.aggregate(values, state(ids, ranks), step, lambda acc: F.slice(acc.ids, 2, F.size(acc.ids) - 2))
 
-    return F.when(F.size(values) < 2, ids).otherwise(let(F.concat(edge, ids, edge), fold))
+        return let(F.concat(edge, ids, edge), fold)
+
+    return F.when(F.size(values) < 2, ids).otherwise(let(table, folded))
 
 
 def decode_ids(ids: Column, path: str) -> Column:
@@ -163,15 +167,16 @@ def scan(pattern: str, keys: list[int]):
         ids = np.array([-1 if d is None else d for d in docs], np.int64)
         null = np.array([d is None for d in docs], np.uint8)
         rows = [(keys[place], source, squeeze(ids, null, np.array([len(t) for t in texts], np.int64), np.where(rare, 0xFFFF, flat).astype(np.uint16), flat[rare]))]
-        buckets: list[list[tuple[bytes, int]]] = [[] for _ in keys]
-        for word, number in zip(numbers, code.tolist()):
-            word = word.encode("utf-8", "surrogatepass")
-            buckets[zlib.crc32(word) % len(keys)].append((word, number))
-        for b, words in enumerate(buckets):
-            if words:
-                words.sort()
-                lengths = np.array([len(w) for w, _ in words], np.uint32)
-                rows.append((keys[b], -1, squeeze(np.array([source], np.int64), np.array([n for _, n in words], np.uint32), lengths, np.frombuffer(b"".join([w for w, _ in words]), np.uint8))))
+        names = [w.encode("utf-8", "surrogatepass") for w in numbers]
+        bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % len(keys)
+        order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1)).tolist()
+        sizes = np.fromiter(map(len, names), np.uint32, len(names))
+        for b, (i, j) in enumerate(zip(ends, ends[1:])):
+            if i < j:
+                own = order[i:j]
+                rows.append((keys[b], -1, squeeze(np.array([source], np.int64), code[own], sizes[own], np.frombuffer(b"".join([names[k] for k in own.tolist()]), np.uint8))))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["key", "source", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
