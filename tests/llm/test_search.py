@@ -1,0 +1,64 @@
+"""The inverted multi-index against brute force."""
+
+import numpy as np
+
+from cadenza.llm import op8_multi_index as M
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+
+
+def recall(got, x, ids, queries):
+    hit = total = 0
+    for k in queries:
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((ids, d)) if j != k][: M.NEAREST]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[k])
+        assert [r for r, *_ in own] == list(range(1, min(M.NEAREST, len(ids) - 1) + 1))
+        place = {i: j for j, i in enumerate(ids)}
+        assert all(abs(d[place[i]] - s) < 1e-12 for _, i, s in own) and [s for *_, s in own] == sorted(s for *_, s in own)
+        hit += len({ids[j] for j in near} & {i for _, i, _ in own})
+        total += len(near)
+    return hit / total
+
+
+def test_query(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), [r.vec_id for r in rows]
+    got = M.op8_multi_index(spark, sf).collect()
+    assert recall(got, x, ids, [k for k, i in enumerate(ids) if i % 100 == 0]) >= 0.9
+
+
+def test_clusters_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 64)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(40, size=2500)] + 0.2 * rng.normal(size=(2500, 16))).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000 + i, x[0].tolist(), 0) for i in range(60)]
+    bad = [(9000, None, 0), (9100, [0.0] * 16, 0), (9200, [float("nan")] * 16, 0), (9300, [1.0, None], 0), (9400, [1.0], 0), (None, x[0].tolist(), 0)]
+    df = frame(spark, rows + bad)
+    got = M.search(df.select("vec_id", "embedding"), df.filter("vec_id % 100 = 0").select("vec_id", "embedding")).collect()
+    full, ids = np.array([r[1] for r in rows], np.float32).astype(float), [r[0] for r in rows]
+    assert recall(got, full, ids, [k for k, i in enumerate(ids) if i % 100 == 0]) >= 0.9
+    assert not {r.query_id for r in got} & {b[0] for b in bad}
+    copies = sorted((r.rank, r.vec_id) for r in got if r.query_id == 0)
+    assert [i for _, i in copies] == list(range(5000, 5010))  # ties go to the smaller vec_id
+
+
+def test_few_candidates(spark):
+    df = frame(spark, [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [0.0, 1.0], 0)]).select("vec_id", "embedding")
+    got = M.search(df, df.filter("vec_id = 0")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 7, 2**0.5), (0, 2, 8, 2**0.5)]
+    assert M.search(df.limit(0), df).count() == 0
+
+
+def test_heap_visits_cells_in_order():
+    rng = np.random.default_rng(2)
+    sample = rng.normal(size=(800, 6))
+    index = M.Index(sample, 800)
+    index.counts[:] = 1
+    q = rng.normal(size=6)
+    sums = (((index.first - q[:3]) ** 2).sum(1)[:, None] + ((index.second - q[3:]) ** 2).sum(1)[None, :]).ravel()
+    cells = list(index.visits(q, len(sums)))
+    assert len(set(cells)) == len(sums) and np.allclose(sums[cells], np.sort(sums))
