@@ -14,7 +14,7 @@ from .op6_language import op6_language
 from .op7_packing import op7_packing
 from .op8_multi_index import op8_multi_index
 from .op9_secrets import op9_secrets
+from .oracles import ORACLES
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_dartminhash, op3_bpe, op4_rabitq, op5_extract, op6_language, op7_packing, op8_multi_index, op9_secrets, op10_suffix)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
