@@ -461,6 +461,10 @@ def leading_number(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(go_trim(c), r"^[0-9]+", 0).try_cast("int"), F.lit(0))
 
 
+def first_number(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract(c, r"([0-9]+)", 1).try_cast("int"), F.lit(0))
+
+
 def parse_year(c: Column) -> Column:
     return F.coalesce(F.substring(c, 1, 4).try_cast("int"), F.lit(0))
 

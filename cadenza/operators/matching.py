@@ -160,6 +160,31 @@ def by_hook(tries: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.withColumn("no", F.row_number().over(first)).filter("no = 1").select("path", "attempt", "pos")
 
 
+def by_album(tries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates (pos, artist, title, album) under the attempt's title on its album (tries with `album`): (path, attempt, pos), their sameAlbum is true.
+
+    Names are compared without the translations that a catalogue adds; the two closest titles of an attempt are asked for their album.
+    """
+    plain = lambda c: T.fold(T.without_translations(F.col(c)))
+    asked = tries.filter("album <> ''").withColumn("key", F.explode(block_keys(F.col("title")))).withColumn("t", T.fold(T.bare_title(F.col("title")))).withColumn("al", T.fold(F.col("album")))
+    known = candidates.select("pos", plain("title").alias("c_t"), plain("album").alias("c_al"), F.explode(block_keys(T.without_translations(F.col("title")))).alias("key"))
+    close = asked.join(known, "key").withColumn("near", T.folded_similarity(F.col("t"), F.col("c_t"))).filter("near >= 0.9").dropDuplicates(["path", "attempt", "pos"])
+    first = Window.partitionBy("path", "attempt").orderBy(F.col("near").desc(), "pos")
+    two = close.withColumn("no", F.row_number().over(first)).filter("no <= 2")
+    return two.filter(T.folded_similarity(F.col("al"), F.col("c_al")) >= 0.85).select("path", "attempt", "pos")
+
+
+def exact(tries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The last round's lookup by (artist, title), for the first attempt only; an answer bears the names that were asked for."""
+    asked = tries.filter("attempt = 0").select("path", "attempt", "artist", "title", T.fold(T.lead_artist(F.col("artist"))).alias("a"), T.fold(F.col("title")).alias("t"))
+    known = catalogue.select(T.fold(F.col("artist")).alias("a"), T.fold(F.col("title")).alias("t"), "lyrics")
+    return asked.join(known, ["a", "t"]).drop("a", "t")
+
+
+#: Rounds of sources, and their order within a round.
+SOURCES = ((0, 0, "LRCLIB"), (0, 1, "NetEase"), (0, 2, "Genius"), (1, 0, "lyrics.ovh"))
+
+
 def by_address(tries: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages (slug, lyrics) at the address that an attempt's lead and title would have: (path, attempt, lyrics)."""
     slug = T.slug(F.concat(T.lead_artist(F.col("artist")), F.lit(" "), F.col("title")))

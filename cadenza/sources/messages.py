@@ -48,6 +48,14 @@ def database_rows(lines: DataFrame) -> DataFrame:
     return rows.filter("id <> ''").select(F.col("id").cast("bigint").alias("id"), "path")
 
 
+def listed_paths(lines: DataFrame, kind: str = "media") -> DataFrame:
+    """(path) of a listing of files: media or playlists by their ending, or folders; hidden names and blank lines are left out."""
+    rows = lines.select(T.go_trim(F.col("line")).alias("path")).filter("path <> ''").filter(~F.regexp_extract("path", r"([^/]*)/?\z", 1).startswith("."))
+    if kind == "folders":
+        return rows.select(F.regexp_replace("path", r"/+\z", "").alias("path")).orderBy(F.lower("path"))
+    return rows.filter(T.is_media_name(F.col("path")) if kind == "media" else T.is_playlist_name(F.col("path"))).orderBy(F.lower("path"))
+
+
 def visible_counts(rows: DataFrame) -> DataFrame:
     """(path, n) with repeated paths: the largest count of each."""
     return rows.groupBy("path").agg(F.max("n").alias("n"))

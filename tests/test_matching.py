@@ -75,6 +75,10 @@ def test_generators(spark):
     assert [(r.path, r.pos) for r in found.collect()] == [("a", 2)]
     pages = spark.createDataFrame([("Juice-wrld-fuck-or-sum", "la")], "slug string, lyrics string")
     assert M.by_address(tries, pages).count() == 1
+    asked = spark.createDataFrame([("a", 0, "A", "Пропущенный", "Альбом", []), ("b", 0, "A", "Song", "", [])], "path string, attempt int, artist string, title string, album string, qualifiers array<string>")
+    albums = spark.createDataFrame([(1, "Б", "Пропущенный (Missed)", "Альбом (Album)"), (2, "Б", "Пропущенный", "Другой совсем")], "pos int, artist string, title string, album string")
+    assert [(r.path, r.pos) for r in M.by_album(asked, albums).collect()] == [("a", 1)]
+    assert [r.lyrics for r in M.exact(asked, spark.createDataFrame([("a!", "SONG", "la")], "artist string, title string, lyrics string")).collect()] == ["la"]
     a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a")], [(1, "b"), (2, "c")]))
     assert {(r.k, r.v) for r in M.fallback(a, b, ["k"]).collect()} == {(1, "a"), (2, "c")}
 

@@ -120,6 +120,8 @@ def test_listings(spark):
     rows = lambda *x: spark.createDataFrame([(y,) for y in x], "line string")
     got = S.devices(rows("List of devices attached", "* daemon started", "emu-1  device product:x model:Big_Phone", "abc unauthorized", "")).collect()
     assert [(r.serial, r.state, r.model) for r in got] == [("emu-1", "device", "Big Phone"), ("abc", "unauthorized", "")]
+    assert [r.path for r in S.listed_paths(rows("/a/b.mp3", "/a/.x.mp3", "", "/a/c.m3u", "/A/a.FLAC")).collect()] == ["/A/a.FLAC", "/a/b.mp3"]
+    assert [r.path for r in S.listed_paths(rows("/b/", "/.x/", "/A/"), "folders").collect()] == ["/A", "/b"]
     ids = S.database_rows(rows("Row: 0 _id=7, _data=/storage/emulated/0/a.m3u ", "No result"))
     assert [(r.path, r.id) for r in P.playlist_ids(spark.createDataFrame([("/sdcard/a.m3u",), ("/x",)], "path string"), ids).orderBy("path").collect()] == [("/sdcard/a.m3u", 7), ("/x", None)]
     assert S.visible_counts(spark.createDataFrame([("/a", 1), ("/a", 3)], "path string, n int")).first().n == 3
