@@ -215,7 +215,7 @@ def test_pipeline(spark, sf):
     ids = {r.doc_id for r in kept.collect()}
     first = C.cut(C.language(spark, docs, sf))
     assert first.count() >= 0.97 * docs.count()
-    from test_duplicates import classes
+    from test_llm_duplicates import classes
 
     want = classes({r.doc_id: r.text for r in first.collect()})
     assert ids == set(want.values())
