@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark import TaskContext
 
-from .common import doc_texts, lean, partitions, read
+from .common import doc_texts, lean, read
 
 WINDOW, SEPARATOR, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Characters that are tokenized together at most, unless one text is longer.
@@ -132,12 +132,12 @@ def place(window: int):
 def pack_documents(docs: DataFrame, window: int = WINDOW, separator: int = SEPARATOR, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Pieces are dealt by document over the shuffle partitions and each partition is packed on its own, so memory is bounded by a
-    partition's pieces (56 bytes each), and the padding of a partition is that of its last few windows.
+    Pieces are dealt over partitions whose size the engine adapts, and each partition is packed on its own, so memory is bounded by
+    a partition's pieces (56 bytes each), and the padding of a partition is that of its last few windows.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     cut = doc_texts(docs).mapInArrow(lean(pieces(path, window, separator)), PIECES)
-    dealt = cut.repartition(partitions(docs.sparkSession), "doc_id", "start").sortWithinPartitions(cut.length.desc(), "doc_id", "start", "ids_crc32")
+    dealt = cut.repartition("doc_id", "start").sortWithinPartitions(cut.length.desc(), "doc_id", "start", "ids_crc32")
     return dealt.mapInArrow(lean(place(window)), PACKED)
 
 
