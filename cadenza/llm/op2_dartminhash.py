@@ -36,7 +36,7 @@ K = BANDS * ROWS
 #: Signatures that agree in a smaller share of coordinates aren't verified: at a similarity of 0.8 that is 4.5 standard deviations.
 LOOSE = 0.6
 #: Rows of a block in which signatures are held against each other.
-BLOCK = 1024
+BLOCK = 512
 #: Darts that are expected for a document, so that most signatures are full at once.
 DARTS = K * math.log(K) + 2 * K
 SIGNED = "doc_id long, same binary, bands array<long>, signature binary"
