@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import json
 import re
 import zlib
@@ -155,22 +156,25 @@ def scan(pattern: str, keys: list[int]):
     A block's number holds the place in `keys` that its texts wait at, so that a bucket can answer.
     """
 
-    def block(serial: int, docs: list, numbers: Numbers, texts: list[np.ndarray]) -> pa.RecordBatch:
+    def block(serial: int, docs: list, numbers: dict[str, int], texts: list[np.ndarray]) -> pa.RecordBatch:
+        """A block whose words are numbered by their first place in it."""
         place = serial % len(keys)
         source = serial << 20 | place
         flat = np.concatenate(texts)
-        often = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
-        code = np.empty(len(often), np.uint32)
+        first = np.fromiter(numbers.values(), np.int64, len(numbers))
+        often = np.argsort(-np.bincount(flat, minlength=len(flat))[first], kind="stable")  # frequent words get small numbers
+        code = np.empty(len(first), np.uint32)
         code[often] = np.arange(len(often))
-        flat = code[flat]
+        renamed = np.zeros(len(flat), np.uint32)
+        renamed[first] = code
+        flat = renamed[flat]
         rare = flat >= 0xFFFF
         ids = np.array([-1 if d is None else d for d in docs], np.int64)
         null = np.array([d is None for d in docs], np.uint8)
         rows = [(keys[place], source, squeeze(ids, null, np.array([len(t) for t in texts], np.int64), np.where(rare, 0xFFFF, flat).astype(np.uint16), flat[rare]))]
         names = [w.encode("utf-8", "surrogatepass") for w in numbers]
         bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % len(keys)
-        order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
-        order = order[np.argsort(bucket[order], kind="stable")]
+        order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(len(keys) + 1)).tolist()
         sizes = np.fromiter(map(len, names), np.uint32, len(names))
         for b, (i, j) in enumerate(zip(ends, ends[1:])):
@@ -182,17 +186,17 @@ def scan(pattern: str, keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
         serial = TaskContext.get().partitionId() << 12  # blocks of a partition; far fewer than that
-        docs, numbers, texts, size = [], Numbers(), [], 0
+        docs, numbers, texts, size, place = [], {}, [], 0, itertools.count()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 found = split(text)
                 docs.append(doc)
-                texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                texts.append(np.fromiter(map(numbers.setdefault, found, place), np.uint32, len(found)))
                 size += len(text)
                 if size > BLOCK_CHARS:
                     yield block(serial, docs, numbers, texts)
-                    docs, numbers, texts, size, serial = [], Numbers(), [], 0, serial + 1
+                    docs, numbers, texts, size, place, serial = [], {}, [], 0, itertools.count(), serial + 1
         if docs:
             yield block(serial, docs, numbers, texts)
 
