@@ -18,9 +18,8 @@ from . import codecs
 
 TRACK = "path string, format string, title string, artist string, albumArtist string, album string, genre string, lyrics string, trackNo int, discNo int, year int, compilation boolean, hasSort boolean, legacyTag boolean, tagBytes bigint, hasLyrics boolean, duration double, seconds int, error string"
 NAMES = [c.split()[0] for c in TRACK.split(", ")]
-#: Folders that a walk leaves out, on a computer and on a phone; endings of files that are ours.
+#: Folders that a walk leaves out, on a computer and on a phone. Backups and unfinished files have endings that no format has.
 SKIPPED = {"desktop": {".git", "node_modules", "$RECYCLE.BIN", "System Volume Information"}, "phone": {"Android", "LOST.DIR"}}
-OURS = (".bak", ".mlm-tmp")
 
 
 def row_of(path: str, load) -> dict:
@@ -67,7 +66,7 @@ def walk(root: str, profile: str = "desktop") -> list[str]:
     out = []
     for folder, inner, names in os.walk(root):
         inner[:] = [d for d in inner if not d.startswith(".") and d not in SKIPPED[profile]]
-        out += [os.path.join(folder, n) for n in names if codecs.format_of(n) and not n.endswith(OURS)]
+        out += [os.path.join(folder, n) for n in names if codecs.format_of(n)]
     return sorted(out)
 
 
@@ -117,14 +116,14 @@ def write_one(path: str, edit: dict) -> None:
     with open(path, "rb") as f:
         data = f.read()
     if edit.get("backup") and not os.path.exists(path + ".bak"):
-        with open(path + ".mlm-tmp", "wb") as f:
+        with open(path + ".part", "wb") as f:
             f.write(data)
-        os.replace(path + ".mlm-tmp", path + ".bak")
+        os.replace(path + ".part", path + ".bak")
     new = codecs.write(path, data, edit)
     if new != data:
-        with open(path + ".mlm-tmp", "wb") as f:
+        with open(path + ".part", "wb") as f:
             f.write(new)
-        os.replace(path + ".mlm-tmp", path)
+        os.replace(path + ".part", path)
     os.utime(path, ns=(before.st_atime_ns, before.st_mtime_ns))
 
 
