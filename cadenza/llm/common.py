@@ -70,7 +70,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns only; columns with clashing names are never carried along."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
