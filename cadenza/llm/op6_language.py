@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
