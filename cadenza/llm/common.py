@@ -7,6 +7,7 @@ import functools
 import gc
 import pickle
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of a stored table that go into one block of texts.
+STORED = 64 << 20
 GOLD = U64(0x9E3779B97F4A7C15)
 M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -60,10 +63,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path beside the checkpoints, which all executors see."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows as a Parquet table, read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_count(docs: DataFrame) -> int:
+    """As many blocks as shuffle partitions, or more, so that a block has STORED bytes of the table as it is stored at most, where that is known."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), -(-size // STORED) if size < 1 << 60 else 0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BASE, BYTE_WORDS, INVERSE, U64, block_keys, blocks, lean, mix, partitions, powers, read, squeeze, unpack, unsqueeze
+from .common import BASE, BYTE_WORDS, INVERSE, U64, block_count, block_keys, blocks, lean, mix, powers, read, squeeze, unpack, unsqueeze
 
 LENGTH, SEED = 50, 20
 #: Bytes that are hashed at a time; longer texts are parsed in overlapping parts.
@@ -326,7 +326,7 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = Fa
 
     Columns named in `carry` come along as __0, __1 and so on. With as_text, kept is a string.
     """
-    keys = block_keys(partitions(docs.sparkSession))
+    keys = block_keys(block_count(docs))
     texts = blocks(docs, keys, carry)
     sent = "key int, bucket int, block int, data binary"
     known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "key").mapInArrow(lean(shared), "block int, data binary")

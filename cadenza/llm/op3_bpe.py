@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_keys, doc_texts, lean, murmur, partitions, read, squeeze, unsqueeze
+from .common import block_count, block_keys, doc_texts, lean, murmur, read, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
@@ -298,10 +298,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes), one row per document.
 
     A task holds one block (BLOCK_CHARS of text and its distinct words), or the distinct words of one bucket, of which there are
-    as many as spark.sql.shuffle.partitions. A word is in a bucket once for each block that has it, however often that is.
+    as many as spark.sql.shuffle.partitions, or more for a large table. A word is in a bucket once for each block that has it, however often that is.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    keys = block_keys(partitions(docs.sparkSession))
+    keys = block_keys(block_count(docs))
     row = "key int, source long, data binary"
     sent = doc_texts(docs).mapInArrow(lean(scan(pattern, keys)), row).repartition(len(keys), "key")
     coded = sent.mapInArrow(lean(distinct_words), "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))

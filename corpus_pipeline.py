@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import op1_pii, op2_dartminhash, op6_language, op7_packing, op10_suffix
-from cadenza.llm.common import cut, read
+from cadenza.llm.common import read, remove, shared_folder, written
 
 
 def changed(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is kept in the checkpoint folder, as a table between two jobs would be."""
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    """The last stage's rows. Each stage's result is a Parquet table in the shared folder until the next one is written."""
+    docs, folder = read(spark, sf_dir, "documents"), shared_folder(spark)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if i:
+            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
