@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
 NONE, BITS = 1 << 40, 17
 #: Small maps of the rank map; a power of two.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 15
 #: Characters of the texts of a block, more if one text has more.
 BLOCK_CHARS = 10_000_000
 #: A block that waits for a word, and the word's number there.
@@ -142,14 +142,6 @@ def splitter(pattern: str):
     return lambda text: split(text) if beyond(text) else narrow(text)
 
 
-class Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: str) -> int:
-        value = self[word] = len(self)
-        return value
-
-
 def scan(pattern: str, keys: list[int]):
     """A mapInArrow function from documents to rows (key, source, data): words (source -1) for a bucket, numbered texts of a block.
 
@@ -211,17 +203,20 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if source < 0:
                 held.setdefault(key, []).append(data)
     for sent in held.values():
-        index = Numbers()
+        index: dict[bytes, int] = {}
+        place = itertools.count()
         which, sources, numbers = [], [], []
         for data in sent:
             source, number, lengths, flat = unsqueeze(data)
-            ends = np.cumsum(lengths.astype(np.int64))
-            flat = flat.tobytes()
-            words = [flat[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
-            which.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+            words = cut_up(flat.tobytes(), lengths.astype(np.int64))
+            which.append(np.fromiter(map(index.setdefault, words, place), np.int64, len(words)))
             sources.append(np.repeat(source, len(words)))
             numbers.append(number)
         which = np.concatenate(which)
+        first = np.fromiter(index.values(), np.int64, len(index))
+        dense = np.zeros(len(which), np.int64)
+        dense[first] = np.arange(len(first))
+        which = dense[which]
         order = np.argsort(which, kind="stable")
         waiting = np.rec.fromarrays([np.concatenate(sources)[order], np.concatenate(numbers)[order]], dtype=WAITING)
         ends = np.append(0, np.cumsum(np.bincount(which)))
@@ -262,32 +257,56 @@ def answers(keys: list[int]):
     return run
 
 
+@functools.lru_cache(maxsize=4)
+def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces end to end, and where each id's begins and how long it is."""
+    sizes = np.array([len(p) for p in pieces(path)])
+    return np.frombuffer(b"".join(pieces(path)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of `flat` that begin at `starts`, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def cut_up(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def coded_words(parts: list[list[np.ndarray]], path: str) -> tuple[list[bytes], list[bytes]]:
+    """For the words of a block, by number, their ids as bytes and the bytes that these ids decode to."""
+    number, size, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+    size = size.astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    ids = gathered(ids, (np.cumsum(size) - size)[order], size[order]).astype("<u4")
+    size = size[order]
+    flat, starts, lengths = piece_table(path)
+    text = gathered(flat, starts[ids], lengths[ids])
+    ends = np.append(0, np.cumsum(lengths[ids]))
+    last = np.cumsum(size)
+    return cut_up(ids.tobytes(), 4 * size), cut_up(text.tobytes(), ends[last] - ends[last - size])
+
+
 def assemble(path: str):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        piece = pieces(path)
         parts: dict[int, list] = {}
         for source, data in zip(right.column("source").to_pylist(), right.column("data").to_pylist()):
-            parts.setdefault(source, []).append(unsqueeze(data))
+            parts.setdefault(source, []).append(data)
         out: list[list] = [[], [], [], []]
         for source, data in zip(left.column("source").to_pylist(), left.column("data").to_pylist()):
             if source < 0:
                 continue
             docs, null, lengths, common, rare = unsqueeze(data)
-            words = common.astype(np.int64)
+            words = common.astype(np.uint32)
             words[common == 0xFFFF] = rare
-            code: list[bytes] = [b""] * (int(words.max()) + 1 if len(words) else 0)
-            plain = code.copy()
-            for number, size, ids in parts.pop(source, ()):
-                ends = np.cumsum(size, dtype=np.int64)
-                raw, listed = ids.astype("<u4").tobytes(), ids.tolist()
-                for n, a, b in zip(number.tolist(), (ends - size).tolist(), ends.tolist()):
-                    code[n] = raw[4 * a : 4 * b]
-                    plain[n] = b"".join([piece[i] for i in listed[a:b]])
+            code, plain = coded_words([unsqueeze(x) for x in parts.pop(source, ())], path)
             ends = np.cumsum(lengths)
             for doc, none, a, b in zip(docs.tolist(), null.tolist(), (ends - lengths).tolist(), ends.tolist()):
                 own = words[a:b].tolist()
-                packed = b"".join([code[w] for w in own])
-                for col, x in zip(out, (None if none else doc, len(packed) // 4, packed, b"".join([plain[w] for w in own]))):
+                packed = b"".join(map(code.__getitem__, own))
+                for col, x in zip(out, (None if none else doc, len(packed) // 4, packed, b"".join(map(plain.__getitem__, own)))):
                     col.append(x)
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
