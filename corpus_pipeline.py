@@ -27,8 +27,10 @@ def changed(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The classifier learns from all labelled documents; labels are no input of a decision."""
+    """The classifier learns from all labelled documents; labels are no input of a decision. Without any label only texts without a letter go."""
     known = op6_language.learn(docs.select("doc_id", "text", "lang"))
+    if not known:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return op6_language.predict(docs, known).filter(~F.col("rejected")).select(*docs.columns)
 
 
