@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_count, block_keys, doc_texts, lean, murmur, read, squeeze, unsqueeze
+from .common import block_count, block_keys, doc_texts, lean, murmur, read, release, squeeze, unsqueeze
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: No pair has this rank. Ids are below 2**17, so a pair is a number below 2**34.
@@ -34,7 +34,7 @@ NONE, BITS = 1 << 40, 17
 #: Small maps of the rank map; a power of two.
 BUCKETS = 1 << 15
 #: Characters of the texts of a block, more if one text has more.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 8_000_000
 #: A block that waits for a word, and the word's number there.
 WAITING = np.dtype([("source", "<i8"), ("number", "<u4")])
 TOKENS = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -188,6 +188,7 @@ def scan(pattern: str, keys: list[int]):
                 size += len(text)
                 if size > BLOCK_CHARS:
                     yield block(serial, docs, numbers, texts)
+                    release()
                     docs, numbers, texts, size, place, serial = [], {}, [], 0, itertools.count(), serial + 1
         if docs:
             yield block(serial, docs, numbers, texts)
