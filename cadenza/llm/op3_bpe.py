@@ -295,10 +295,12 @@ def assemble(path: str):
         parts: dict[int, list] = {}
         for source, data in zip(right.column("source").to_pylist(), right.column("data").to_pylist()):
             parts.setdefault(source, []).append(data)
-        out: list[list] = [[], [], [], []]
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()}
+        tables = [pa.table({n: pa.array([], k) for n, k in kinds.items()})]
         for source, data in zip(left.column("source").to_pylist(), left.column("data").to_pylist()):
             if source < 0:
                 continue
+            out: list[list] = [[], [], [], []]
             docs, null, lengths, common, rare = unsqueeze(data)
             words = common.astype(np.uint32)
             words[common == 0xFFFF] = rare
@@ -309,7 +311,9 @@ def assemble(path: str):
                 packed = b"".join(map(code.__getitem__, own))
                 for col, x in zip(out, (None if none else doc, len(packed) // 4, packed, b"".join(map(plain.__getitem__, own)))):
                     col.append(x)
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            del code, plain
+            tables.append(pa.table({n: pa.array(c, k) for c, (n, k) in zip(out, kinds.items())}))
+        return pa.concat_tables(tables)
 
     return run
 
@@ -318,10 +322,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes), one row per document.
 
     A task holds one block (BLOCK_CHARS of text and its distinct words), or the distinct words of one bucket, of which there are
-    as many as spark.sql.shuffle.partitions, or more for a large table. A word is in a bucket once for each block that has it, however often that is.
+    twice as many as shuffle partitions, or more for a large table. A word is in a bucket once for each block that has it, however often that is.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    keys = block_keys(block_count(docs))
+    keys = block_keys(2 * block_count(docs))
     row = "key int, source long, data binary"
     sent = doc_texts(docs).mapInArrow(lean(scan(pattern, keys)), row).repartition(len(keys), "key")
     coded = sent.mapInArrow(lean(distinct_words), "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
