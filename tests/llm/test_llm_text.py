@@ -11,6 +11,7 @@ from cadenza.llm import op1_pii as P
 from cadenza.llm import op5_extract as X
 from cadenza.llm import op6_language as G
 from cadenza.llm import op9_secrets as S
+from cadenza.llm.common import cut
 
 TEXT = "Mail JOHN.Smith99@Acme.COM or john.smith99@acme.com, call +1 (555) 123-4567 or +15551234567, card 4111 1111 1111 1111, 10.0.0.1 and 8.8.8.8, Mr. John Smith met Frau Müller and Anna SMITH; IBAN DE89 3704 0044 0532 0130 00. Ольга Петрова, 123-45-6789."
 
@@ -211,9 +212,9 @@ def test_pipeline(spark, sf):
     for name, stage in C.STAGES[:-1]:
         after = stage(spark, kept, sf)
         assert after.dtypes == docs.dtypes, name
-        kept = C.cut(after)
+        kept = cut(after)
     ids = {r.doc_id for r in kept.collect()}
-    first = C.cut(C.language(spark, docs, sf))
+    first = cut(C.language(spark, docs, sf))
     assert first.count() >= 0.97 * docs.count()
     from test_llm_duplicates import classes
 
@@ -230,6 +231,6 @@ def test_pipeline_of_odd_texts(spark, odd, none, tmp_path):
     for rows in (odd, none):
         kept = rows
         for _, stage in C.STAGES[:-1]:
-            kept = C.cut(stage(spark, kept, str(tmp_path)))
+            kept = cut(stage(spark, kept, str(tmp_path)))
             assert kept.columns == rows.columns
         assert C.packing(spark, kept, "").count() >= 0
