@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from .common import doc_texts, lean, read
 WINDOW, SEPARATOR, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 #: Characters that are tokenized together at most, unless one text is longer.
 BATCH_CHARS = 2_000_000
+#: Longest run of white space that goes to tiktoken, whose regular expression overflows its stack on a run of a million.
+LONGEST_RUN = 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -49,15 +52,31 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def library(path: str):
+    """The vocabulary file as the tokenizers library reads it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
+def text_ids(text: str, path: str) -> list[int]:
+    """The ids of a text: by tiktoken, or by tokenizers if the text has a run of white space that is too long for tiktoken."""
+    if len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in re.finditer(r"\s+", text)):
+        return library(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode_ordinary(text)
+
+
 def pieces(tokenizer: str, window: int, separator: int):
     """A mapInArrow function: rows (doc_id, text) to the pieces that each document is cut into."""
 
     def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
         for batch in batches:
             cols: list[list[int]] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*enc.encode_ordinary(text.as_py()), separator], "<u4")
+                ids = np.array([*text_ids(text.as_py(), tokenizer), separator], "<u4")
                 for a in range(0, len(ids), window):
                     part = ids[a : a + window]
                     for col, x in zip(cols, (doc, a, len(part), zlib.crc32(part.tobytes()), len(ids))):

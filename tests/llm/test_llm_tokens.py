@@ -142,3 +142,18 @@ def test_both_libraries_agree(text):
     t.encode_special_tokens = True
     text = text.encode("utf-8", "ignore").decode()
     assert P.encoder(PT.path(P.TOKENIZER)).encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_long_run_of_blanks(spark, tokenizer):
+    texts = {1: "a" + " " * 1_100_000 + "b c", 2: "plain text", 3: "d " * 60_000, 4: "\n" * 1_100_000}
+    rows = P.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    check_packed(rows, texts, tokenizer, 1024)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("a1. \n\t\x1f\x85\u3000é日"), max_size=30))
+def test_runs_of_blanks_agree_by_either_library(text):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(P, "LONGEST_RUN", 1)
+        one = P.text_ids(text, PT.path(P.TOKENIZER))
+    assert one == P.text_ids(text, PT.path(P.TOKENIZER))
