@@ -157,3 +157,12 @@ def test_runs_of_blanks_agree_by_either_library(text):
         m.setattr(P, "LONGEST_RUN", 1)
         one = P.text_ids(text, PT.path(P.TOKENIZER))
     assert one == P.text_ids(text, PT.path(P.TOKENIZER))
+
+
+def test_packing_of_a_spelled_out_separator(spark):
+    from tokenizers import Tokenizer
+
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "x<|endoftext|><|endoftext|> \n\n<|endoftext|>  y " * 90, 4: "<|endoftext| >"}
+    library = Tokenizer.from_file(PT.path(P.TOKENIZER))
+    assert library.encode(texts[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    check_packed(P.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), window=16).collect(), texts, library, 16)
