@@ -5,7 +5,8 @@ name before capitalised words. An entity is what mentions have in common (lower
 surrogate everywhere, poured into the mention's own case and separators: coreference holds across documents.
 
 Surrogates of numbers and addresses are a keyed permutation of all entities of their shape: letters stay letters of their script, digits
-stay digits, check digits hold, networks stay private or public. Names are built from syllables of their script, with endings that
+stay digits of theirs, check digits hold, networks stay private or public. Addresses without a letter or digit to replace, or whose shape
+has too few texts for all of them, get more letters. Names are built from syllables of their script, with endings that
 tell the gender. A key and the attempt decide everything.
 
 Collision check, over all entities of the corpus: a surrogate that two entities of a kind share, or that is itself an entity that occurs
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,9 +42,11 @@ GIVEN = {
 #: Syllables that surrogate names are built from, by script, and endings of given names by gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te ti to va ve vi".split(), "cyrillic": "ба бе бо да де до ка ке ла ле ли ло ма ме ми мо на не ни но па ра ре ри ро са се со та те ти то ва ве ви".split()}
 ENDINGS = {"latin": {"f": ["lia", "nella", "rine", "ssa"], "m": ["rik", "ton", "mund", "las"], "x": ["rin", "lis", "ren", "nis"], "family": ["sen", "mont", "berg", "well", "rez", "ford"]}, "cyrillic": {"f": ["лина", "рия", "нья"], "m": ["слав", "мир", "тон"], "x": ["нис", "рен"], "family": ["ров", "нин", "ский"]}}
-#: Alphabets within which a character is replaced.
+#: Alphabets within which a character is replaced; other letters and digits have theirs by alphabet().
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåçèéêëìíîïñòóôõöùúûüý", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+#: Attempts after which surrogates of e-mail addresses get longer, and rounds of the collision check.
+SAME_SHAPE, ROUNDS = 4, 60
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 CAPITAL = r"[^\W\d_a-zß-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)?"
@@ -134,20 +138,42 @@ def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
             return x
 
 
+@functools.lru_cache(maxsize=4096)
+def alphabet(script: str, row: int) -> str:
+    """The lower-case or caseless letters and numbers of a script in a row of 256 code points that no fixed alphabet has."""
+    row = map(chr, range(row << 8, row + 1 << 8))
+    return "".join(c for c in row if c.isalnum() and not c.isdecimal() and c not in PLACE and c.lower() == c and script_of(c) == script)
+
+
+def script_of(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
+@functools.lru_cache(maxsize=65536)
+def place(c: str) -> tuple[str, int] | None:
+    """The alphabet within which a character is replaced, and its place there; None if it is no letter and no digit."""
+    if c in PLACE or not c.isalnum():
+        return PLACE.get(c)
+    if c.isdecimal():
+        return "".join(chr(ord(c) - int(c) + i) for i in range(10)), int(c)
+    own = alphabet(script_of(c), ord(c) >> 8)
+    return (own, own.index(c)) if c in own else None
+
+
 def reshaped(text: str, key: bytes, tweak: str) -> str:
     """The text with each character of an alphabet replaced within it: a permutation of all texts of that shape."""
-    at = [(i, *PLACE[c]) for i, c in enumerate(text) if c in PLACE]
+    at = [(i, *place(c)) for i, c in enumerate(text) if place(c)]
     n = x = 0
     size = 1
-    for _, alphabet, place in at:
-        x, size = x * len(alphabet) + place, size * len(alphabet)
+    for _, letters, i in at:
+        x, size = x * len(letters) + i, size * len(letters)
     if not at:
         return text
-    shape = "".join(PLACE[c][0][0] if c in PLACE else c for c in text)
+    shape = "".join(place(c)[0][0] if place(c) else c for c in text)
     x, out = permuted(x, size, key, f"{tweak}\0{shape}"), list(text)
-    for i, alphabet, _ in reversed(at):
-        x, n = divmod(x, len(alphabet))
-        out[i] = alphabet[n]
+    for i, letters, _ in reversed(at):
+        x, n = divmod(x, len(letters))
+        out[i] = letters[n]
     return "".join(out)
 
 
@@ -162,11 +188,18 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         name, host = entity.rsplit("@", 1)
         labels = host.split(".")
         keep = min(2, len(labels) - 1)  # the registered domain of a longer host, else its last label
-        new = reshaped(name + "@" + ".".join(labels[:-keep]), key, tweak)
-        return new + "." + ".".join(labels[-keep:])
+        own = name + "@" + ".".join(labels[:-keep])
+        new, more = reshaped(own, key, tweak), ""
+        if attempt >= SAME_SHAPE or not any(len(p[0]) > 1 for p in map(place, own) if p):  # the shape has too few texts, or one
+            h, letters = word(key, tweak, entity), ALPHABETS[1]
+            for _ in range(8 + max(0, attempt - SAME_SHAPE) // 8):
+                h, i = divmod(h, len(letters))
+                more += letters[i]
+        return new.replace("@", more + "@", 1) + "." + ".".join(labels[-keep:])
     if kind == "card":
         head, body = entity[0], reshaped(entity[1:-1], key, tweak + entity[0])
-        return head + body + str(-luhn(head + body + "0") % 10)
+        zero = ord(entity[-1]) - int(entity[-1])
+        return head + body + chr(zero + -luhn(head + body + "0") % 10)
     if kind == "iban":
         body = reshaped(entity[4:].lower(), key, tweak + entity[:2]).upper()
         return f"{entity[:2]}{98 - mod97(entity[:2] + '00' + body):02d}{body}"
@@ -197,7 +230,7 @@ def poured(kind: str, new: str, mention: str) -> str:
         new = iter(new.lstrip("+"))
         return "".join(next(new, "") if c.isalnum() else c for c in mention)
     if kind == "email":
-        return "".join(n.upper() if m.isupper() else n for n, m in zip(new, mention)) if len(new) == len(mention) else new
+        return "".join(n.upper() if m.isupper() and n.upper().lower() == n else n for n, m in zip(new, mention)) if len(new) == len(mention) else new
     if kind.startswith(("given", "family")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.title()
     return new
@@ -224,7 +257,7 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     columns = "kind string, entity string, attempt int, surrogate string"
     known = cut(entities.select("kind", "entity"))
     done = cut(known.withColumn("attempt", F.lit(0)).mapInArrow(lean(candidates(key)), columns))
-    for _ in range(60):
+    for _ in range(ROUNDS):
         owner = cut(done.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("kind", "surrogate", F.col("o.entity").alias("owner")))
         taken = known.withColumnRenamed("entity", "surrogate").withColumn("real", F.lit(True))
         judged = cut(done.join(owner, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left").withColumn("bad", F.coalesce("real", F.lit(False)) | F.coalesce(F.col("owner") != F.col("entity"), F.lit(False))))
@@ -232,7 +265,7 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return done
         again = judged.filter("bad").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(lean(candidates(key)), columns)
         done = cut(judged.filter("not bad").select("kind", "entity", "attempt", "surrogate").unionByName(again))
-    return done
+    raise RuntimeError(f"surrogates collide after {ROUNDS} attempts")
 
 
 def distinct_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

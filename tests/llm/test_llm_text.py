@@ -68,6 +68,39 @@ def test_many_later_attempts_are_joined(spark, monkeypatch):
     assert replaced(spark, *texts) == few and len(set(few)) == 300
 
 
+@pytest.mark.parametrize(
+    "kind, entity",
+    [("email", x) for x in ("用户@例子.com", "שלום@בית.com", "مثال@موقع.com", "กขค@งจฉ.com", "사용자@예시.com", "łß@æø.com", "_@_.com", "-@-.x")]
+    + [("ssn", "١٢٣٤٥٦٧٨٩"), ("phone", "+٤٩٣٠١٢٣٤٥٦٧"), ("card", "٤١١١١١١١١١١١١١١١"), ("card", "4111111111111111")],
+)
+def test_surrogates_of_any_script(kind, entity):
+    news = [P.surrogate(kind, entity, attempt) for attempt in range(60)]
+    assert entity not in news
+    for new in news:
+        assert [x[2] for x in P.mentions({"ssn": f"{new[:3]}-{new[3:5]}-{new[5:]}"}.get(kind, new))] == [kind]
+        if kind != "email":
+            assert len(new) == len(entity) and [ord(a) - int(a) for a in new if a != "+"] == [ord(a) - int(a) for a in entity if a != "+"]
+
+
+def test_no_address_is_its_own_surrogate(spark):
+    texts = ["write to 用户@例子.com now", "to _@_.com", "ssn ١٢٣-٤٥-٦٧٨٩", "call ٠٣٠-١٢٣-٤٥٦٧"]
+    for old, r in zip(texts, P.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()):
+        (start, end, _, _), = P.mentions(old)
+        assert len(r.replaced) == 1 and old[start:end] not in r.text
+
+
+def test_assignments_of_a_shape_that_is_used_up(spark):
+    found = spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND)
+    got = P.assignments(found).collect()
+    assert len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {r.entity for r in got}
+
+
+def test_assignments_never_end_with_collisions(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="collide"):
+        P.assignments(spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND))
+
+
 def test_pii_of_odd_texts(odd, none):
     got = P.replace_pii(odd)
     assert got.columns == [*odd.columns, "replaced"] and got.count() == odd.count()
