@@ -11,7 +11,7 @@ tell the gender. A key and the attempt decide everything.
 
 Collision check, over all entities of the corpus: a surrogate that two entities of a kind share, or that is itself an entity that occurs
 or the one that it stands for, goes to the entity that comes first; the others take their next attempt, until no two agree. Entities
-with a later attempt are few; they are broadcast if they are at most FEW, and joined by doc_id beyond.
+with a later attempt are few; they are broadcast if they are at most FEW, and joined by doc_id beyond, or by the text's hash without one.
 
 Null texts stay null, empty ones empty; documents without an entity are unchanged. Repeated rows get the same result. An empty table
 gives no rows. All columns of the input are kept; a column named `replaced` is superseded.
@@ -277,7 +277,7 @@ def distinct_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def doc_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = {(d, k, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for _, _, k, e in mentions(t.as_py())}
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "entity"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["__at", "kind", "entity"])
 
 
 def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -291,9 +291,10 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         attempts = {(k, e): a for k, e, a in few}
     else:
         attempts = {}
-        own = docs.select("doc_id", "text").mapInArrow(lean(doc_entities), "doc_id long, " + FOUND).join(later, ["kind", "entity"])
-        lists = own.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))
-        rows = rows.join(lists, "doc_id", "left").select(*kept, "__attempts")
+        at = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))  # documents that share a key only get more attempts than they need
+        own = docs.select(at.alias("__at"), "text").mapInArrow(lean(doc_entities), "__at long, " + FOUND).join(later, ["kind", "entity"])
+        lists = own.groupBy("__at").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))
+        rows = rows.withColumn("__at", at).join(lists, "__at", "left").select(*kept, "__attempts")
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("surrogate", T.StringType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

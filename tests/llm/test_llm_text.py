@@ -101,6 +101,14 @@ def test_assignments_never_end_with_collisions(spark, monkeypatch):
         P.assignments(spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND))
 
 
+def test_many_later_attempts_reach_texts_without_an_id(spark, monkeypatch):
+    texts = [f"Mrs Name{chr(97 + i // 26)}{chr(97 + i % 26)} Family" for i in range(300)]
+    few = replaced(spark, *texts)
+    monkeypatch.setattr(P, "FEW", 0)
+    got = P.replace_pii(spark.createDataFrame([(None, i, t) for i, t in enumerate(texts)], "doc_id bigint, i int, text string")).orderBy("i").collect()
+    assert [r.text for r in got] == few
+
+
 def test_pii_of_odd_texts(odd, none):
     got = P.replace_pii(odd)
     assert got.columns == [*odd.columns, "replaced"] and got.count() == odd.count()
