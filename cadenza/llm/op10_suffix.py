@@ -3,18 +3,19 @@
 Removed is each byte that a string of LENGTH bytes covers which also starts in a document with a smaller doc_id; strings are judged
 on the input and never cross documents.
 
-Parsing: a rolling hash of SEED bytes marks trigger strings: of every window of LENGTH bytes, the smallest hash in it. Consecutive
-windows with one trigger form a phrase, the bytes that these windows cover; so phrases overlap by LENGTH - 1 bytes, every window lies
-in exactly one phrase of its document, and equal windows have equal triggers wherever they occur.
+Corpus order (module prefix_free): rolling-hash triggers cut text into phrases; the suffix array of the dictionary of distinct phrases
+and the suffix array of the parse combine into the order of all strings' suffixes and what neighbours share. Neighbours that share
+LENGTH bytes are one string; the smallest document among their places is where it starts first.
 
-Corpus order: the dictionary's phrases are cut into their suffixes of LENGTH bytes and sorted (order beyond LENGTH bytes decides
-nothing here); equal neighbours in that order, with the smallest document that each phrase occurs in, give the smallest document of
-every string. Only phrases whose trigger occurs in two documents come that far.
+How it is dealt: equal strings must meet, and no task can hold a corpus. So a text is first cut into contexts: a rolling hash of SEED
+bytes picks the smallest place of every window of LENGTH bytes; consecutive windows with one such seed form a context, the bytes that
+these windows cover. Every window lies in exactly one context, and equal windows have equal seeds wherever they occur. Contexts with one
+seed go to one bucket, and each bucket's contexts are parsed and ordered as above; buckets are ranges of the corpus by seed.
 
-How it is dealt: texts lie in blocks, one to a task. A block sends each trigger once, with the smallest and largest document that has
-it, to the trigger's bucket; a bucket tells each block which of its triggers occur in two documents; a block sends each phrase of these
-once; a bucket sorts and answers with the smallest document of each string. So a passage that every document holds is one entry a
-block, and no task holds more than a block's text or a bucket's distinct phrases of each block.
+Texts lie in blocks, one to a task. A block sends each seed once, with the smallest and largest document that has it, to the seed's
+bucket; a bucket tells each block which of its seeds occur in two documents; a block sends each context of these once, and itself
+where its contexts lie; a bucket answers with the smallest document of each string. So a passage that every document holds is one
+entry a block, and no task holds more than a block's text or a bucket's distinct contexts of each block.
 
 Null and empty texts have nothing removed. Rows that repeat a doc_id are judged each by itself, against smaller doc_ids only; a null
 doc_id counts as larger than all. An empty table gives no rows; other columns are not read.
@@ -32,18 +33,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import BASE, BYTE_WORDS, INVERSE, U64, block_count, block_keys, blocks, lean, mix, powers, read, squeeze, unpack, unsqueeze
+from .prefix_free import corpus_order, runs
 
 LENGTH, SEED = 50, 20
 #: Bytes that are hashed at a time; longer texts are parsed in overlapping parts.
 PART = 1 << 18
-#: Buckets of a partition, which are worked on one after the other; phrases whose strings are looked up at a time.
+#: Buckets of a partition, which are worked on one after the other; contexts whose strings are looked up at a time.
 SUB, SLICE = 4, 20_000
 LAST = np.iinfo(np.int64).max
+#: The bucket of what a block sends to itself.
+OWN = -1
 RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
-class Parse:
-    """The phrases of some texts: for each its text's number, first byte, number of windows, trigger and phrase hash."""
+class Contexts:
+    """The contexts of some texts: for each its text's number, first byte, number of windows, seed and hash of its bytes."""
 
     def __init__(self, texts: list[bytes]):
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -59,7 +63,7 @@ class Parse:
                 size += len(part)
         if group:
             self.add(cols, group)
-        self.text, self.start, self.windows, self.trigger, self.phrase = (np.concatenate(c) if c else np.empty(0, kind) for c, kind in zip(cols, (np.int64, np.int64, np.int64, U64, U64)))
+        self.text, self.start, self.windows, self.seed, self.name = (np.concatenate(c) if c else np.empty(0, kind) for c, kind in zip(cols, (np.int64, np.int64, np.int64, U64, U64)))
 
     @staticmethod
     def add(cols: list[list[np.ndarray]], group: list[tuple[int, int, bytes]]) -> None:
@@ -97,13 +101,13 @@ class Parse:
         sums = np.zeros(n + 1, U64)
         np.cumsum(word * powers(BASE, n), out=sums[1:])
         end = at + windows + LENGTH - 1
-        phrase = mix((sums[end] - sums[at]) * powers(INVERSE, n)[at] ^ mix((end - at).astype(U64)))
+        name = mix((sums[end] - sums[at]) * powers(INVERSE, n)[at] ^ mix((end - at).astype(U64)))
         part = np.searchsorted(first, at, "right") - 1
         cols[0].append(np.array([g[0] for g in group])[part])
         cols[1].append(at - first[part] + np.array([g[1] for g in group])[part])
         cols[2].append(windows)
         cols[3].append(least[at])
-        cols[4].append(phrase)
+        cols[4].append(name)
 
 
 def load(data) -> tuple[list[tuple], np.ndarray, list[bytes]]:
@@ -131,7 +135,7 @@ def joined(data, least: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, U64)] * least
 
 
-def triggers_of(keys: list[int]):
+def seeds_of(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -139,24 +143,24 @@ def triggers_of(keys: list[int]):
                 held.setdefault(block, []).append(data)
         for block, data in held.items():
             _, docs, texts = load(data)
-            p = Parse(texts)
-            order = np.argsort(p.trigger, kind="stable")
-            key, doc = p.trigger[order], docs[p.text[order]]
+            p = Contexts(texts)
+            order = np.argsort(p.seed, kind="stable")
+            key, doc = p.seed[order], docs[p.text[order]]
             at = firsts(key)
             yield dealt(block, key[at], keys, np.minimum.reduceat(doc, at) if len(at) else doc, np.maximum.reduceat(doc, at) if len(at) else doc)
 
     return run
 
 
-def dealt(block: int, trigger: np.ndarray, keys: list[int], *more: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: key of its partition, bucket, block and the squeezed arrays of its triggers (sent as differences, which are small)."""
-    rows = [(b, squeeze(np.diff(trigger[i], prepend=U64(0)), *(x[i] for x in more))) for b, i in in_buckets(trigger, keys)]
+def dealt(block: int, seed: np.ndarray, keys: list[int], *more: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: key of its partition, bucket, block and the squeezed arrays of its seeds (sent as differences, which are small)."""
+    rows = [(b, squeeze(np.diff(seed[i], prepend=U64(0)), *(x[i] for x in more))) for b, i in in_buckets(seed, keys)]
     return pa.RecordBatch.from_arrays([pa.array([keys[b % len(keys)] for b, _ in rows], pa.int32()), pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["key", "bucket", "block", "data"])
 
 
-def in_buckets(trigger: np.ndarray, keys: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Buckets that have triggers, and the places of these, in their order."""
-    bucket = (trigger % U64(SUB * len(keys))).astype(np.int64)
+def in_buckets(seed: np.ndarray, keys: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets that have seeds, and the places of these, in their order."""
+    bucket = (seed % U64(SUB * len(keys))).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(SUB * len(keys) + 1)).tolist()
     for b, (i, j) in enumerate(zip(ends, ends[1:])):
@@ -164,22 +168,22 @@ def in_buckets(trigger: np.ndarray, keys: list[int]) -> Iterator[tuple[int, np.n
             yield b, order[i:j]
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[np.ndarray]]]]:
-    """For each bucket the blocks that sent something, and what they sent."""
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """For each bucket the blocks that sent something, and what they sent; the last, bucket OWN, has what blocks sent to themselves."""
     held: dict[int, tuple[list[int], list[bytes]]] = {}
     for batch in batches:
         for bucket, block, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             blocks, sent = held.setdefault(bucket, ([], []))
             blocks.append(block)
             sent.append(data)
-    while held:
-        _, (blocks, sent) = held.popitem()
-        yield blocks, [unsqueeze(x) for x in sent]
+    for bucket in sorted(held, reverse=True):
+        yield bucket, *held.pop(bucket)
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block's triggers those that occur in two documents or more."""
-    for owners, sent in by_bucket(batches):
+    """Of each block's seeds those that occur in two documents or more."""
+    for _, owners, data in by_bucket(batches):
+        sent = [unsqueeze(x) for x in data]
         own = [np.cumsum(x[0], dtype=U64) for x in sent]
         key = np.concatenate(own)
         low, high = (np.concatenate([x[i] for x in sent]) for i in (1, 2))
@@ -191,56 +195,40 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
 
 
-def phrases_of(keys: list[int]):
+def contexts_of(keys: list[int]):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each phrase of a block whose trigger is shared, once: its hash, smallest and largest document, and bytes."""
+        """Each context of a block whose seed is shared, once: its hash, smallest and largest document, windows and bytes; and where it lies."""
         parts = [np.cumsum(unsqueeze(x)[0], dtype=U64) for x in right.column("data").to_pylist()]
         known = np.sort(np.concatenate(parts)) if parts else np.empty(0, U64)
-        empty = pa.table({n: pa.array([], pa.binary() if n == "data" else pa.int32()) for n in ("key", "bucket", "block", "data")})
-        if not len(known) or not left.num_rows:
-            return empty
-        _, docs, texts = load(left.column("data").to_pylist())
-        p = Parse(texts)
-        hit = np.flatnonzero(found_in(p.trigger, known) >= 0)
-        order = hit[np.argsort(p.phrase[hit], kind="stable")]
-        at = firsts(p.phrase[order])
-        if not len(at):
-            return empty
-        doc = docs[p.text[order]]
-        low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-        one = order[at]
-        rows = []
-        for b, i in in_buckets(p.trigger[one], keys):
-            own = one[i]
-            data = b"".join([texts[t][s : s + w + LENGTH - 1] for t, s, w in zip(p.text[own].tolist(), p.start[own].tolist(), p.windows[own].tolist())])
-            rows.append((b, squeeze(p.phrase[own], low[i], high[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
-        block = [key[0].as_py()] * len(rows)
-        return pa.table({"key": pa.array([keys[b % len(keys)] for b, _ in rows], pa.int32()), "bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array(block, pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
+        rows: list[tuple[int, int, bytes]] = []
+        if len(known) and left.num_rows:
+            _, docs, texts = load(left.column("data").to_pylist())
+            p = Contexts(texts)
+            hit = np.flatnonzero(found_in(p.seed, known) >= 0)
+            order = hit[np.argsort(p.name[hit], kind="stable")]
+            at = firsts(p.name[order])
+            doc = docs[p.text[order]]
+            if len(at):
+                low, high, one = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), order[at]
+                which = found_in(p.name[hit], p.name[one])
+                rows.append((key[0].as_py(), OWN, squeeze(p.name[one], *(x.astype(np.uint32) for x in (which, p.text[hit], p.start[hit], p.windows[hit])))))
+                for b, i in in_buckets(p.seed[one], keys):
+                    own = one[i]
+                    data = b"".join([texts[t][s : s + w + LENGTH - 1] for t, s, w in zip(p.text[own].tolist(), p.start[own].tolist(), p.windows[own].tolist())])
+                    rows.append((keys[b % len(keys)], b, squeeze(p.name[own], low[i], high[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
+        kinds = (("key", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()))
+        return pa.table({n: pa.array([(r[0], r[1], key[0].as_py(), r[2])[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
 
     return run
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the strings of LENGTH bytes that begin at `starts`, and which of them, in that order, differ from the one before."""
-    padded = np.append(data, np.zeros(8, np.uint8))
-    word = np.zeros(len(data), U64)
-    for i in range(8):
-        word = word << U64(8) | padded[i : i + len(data)].astype(U64)
-    words = [word[starts + i] for i in range(0, LENGTH - 7, 8)]
-    if LENGTH % 8:
-        words.append(word[starts + LENGTH - 8])
-    order = np.lexsort(words[::-1])
-    fresh = np.zeros(len(starts), bool)
-    fresh[:1] = True
-    for w in words:
-        w = w[order]
-        fresh[1:] |= w[1:] != w[:-1]
-    return order, fresh
-
-
 def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and phrase of it that loses a string there: the phrase's hash, its strings' number and their smallest documents."""
-    for owners, sent in by_bucket(batches):
+    """For each block and context of it that loses a string there: the context's hash, its strings' number and their smallest documents."""
+    for bucket, owners, raw in by_bucket(batches):
+        if bucket == OWN:
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), pa.array([True] * len(raw), pa.bool_()), pa.array(raw, pa.binary())], names=["block", "own", "data"])
+            continue
+        sent = [unsqueeze(x) for x in raw]
         name, low, high, windows = (np.concatenate([x[i] for x in sent]) for i in range(4))
         windows = windows.astype(np.int64)
         data = np.concatenate([x[4] for x in sent])
@@ -251,13 +239,10 @@ def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, least = order[at], np.minimum.reduceat(low[order], at)  # the dictionary
         size = windows[one]
         base = np.cumsum(size) - size
-        which = np.repeat(np.arange(len(one)), size)
-        starts = begins[one][which] + np.arange(len(which)) - base[which]
-        sorted_starts, fresh = suffix_order(data, starts)
-        group = np.cumsum(fresh) - 1
-        best = np.minimum.reduceat(least[which[sorted_starts]], np.flatnonzero(fresh))
+        which, place, lcp = corpus_order(data[runs(begins[one], size + LENGTH - 1)], size + LENGTH - 1, LENGTH)
         doc = np.empty(len(which), np.int64)
-        doc[sorted_starts] = best[group]
+        fresh = lcp < LENGTH  # where a string of LENGTH bytes begins that the suffix before doesn't
+        doc[base[which] + place] = np.minimum.reduceat(least[which], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         lowest = np.minimum.reduceat(doc, base)
         entry = found_in(name, name[one])
         wanted = lowest[entry] < high
@@ -269,7 +254,7 @@ def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = size[e]
                 flat = np.repeat(base[e] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 rows.append((b, squeeze(name[i], n.astype(np.uint32), doc[flat])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([False] * len(rows), pa.bool_()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "own", "data"])
 
 
 def remover(schema: pa.Schema):
@@ -277,7 +262,8 @@ def remover(schema: pa.Schema):
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows, docs, texts = load(left.column("data").to_pylist())
-        spans = removed(docs, texts, right.column("data").to_pylist())
+        sent = list(zip(right.column("own").to_pylist(), right.column("data").to_pylist()))
+        spans = removed(docs, [x for own, x in sent if own], [x for own, x in sent if not own])
         cols: list[list] = [[] for _ in schema]
         for i, text in enumerate(texts):
             own = spans.get(i, [])
@@ -290,24 +276,25 @@ def remover(schema: pa.Schema):
     return run
 
 
-def removed(docs: np.ndarray, texts: list[bytes], answers: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-    """The maximal removed runs of each text that has any."""
+def removed(docs: np.ndarray, own: list[bytes], answers: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+    """The maximal removed runs of each text that has any, from where its contexts lie and what buckets answered."""
     names, sizes, mins = joined(answers, 3)
     spans: dict[int, list[tuple[int, int]]] = {}
     if len(names):
         sizes, mins = sizes.astype(np.int64), mins.astype(np.int64)
         base = np.cumsum(sizes) - sizes
         order = np.argsort(names, kind="stable")
-        p = Parse(texts)
-        entry = found_in(p.phrase, names[order])
+        (known, *places), = map(unsqueeze, own)
+        which, of, begin, windows = (x.astype(np.int64) for x in places)
+        entry = found_in(known, names[order])[which]
         every = np.flatnonzero(entry >= 0)
         for a in range(0, len(every), SLICE):
             hit = every[a : a + SLICE]
             e = order[entry[hit]]
-            n = p.windows[hit]
+            n = windows[hit]
             where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gone = mins[np.repeat(base[e], n) + where] < np.repeat(docs[p.text[hit]], n)
-            text, start = np.repeat(p.text[hit], n)[gone], (np.repeat(p.start[hit], n) + where)[gone]
+            gone = mins[np.repeat(base[e], n) + where] < np.repeat(docs[of[hit]], n)
+            text, start = np.repeat(of[hit], n)[gone], (np.repeat(begin[hit], n) + where)[gone]
             if not len(text):
                 continue
             apart = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] > start[:-1] + LENGTH)))
@@ -329,9 +316,9 @@ def deduplicate(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = Fa
     keys = block_keys(block_count(docs))
     texts = blocks(docs, keys, carry)
     sent = "key int, bucket int, block int, data binary"
-    known = texts.mapInArrow(lean(triggers_of(keys)), sent).repartition(len(keys), "key").mapInArrow(lean(shared), "block int, data binary")
-    phrases = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(phrases_of(keys)), sent)
-    answers = phrases.repartition(len(keys), "key").mapInArrow(lean(smallest), "block int, data binary")
+    known = texts.mapInArrow(lean(seeds_of(keys)), sent).repartition(len(keys), "key").mapInArrow(lean(shared), "block int, data binary")
+    contexts = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(contexts_of(keys)), sent)
+    answers = contexts.repartition(len(keys), "key").mapInArrow(lean(smallest), "block int, own boolean, data binary")
     own = T.StructType([*T._parse_datatype_string(RESULT.replace("binary", "string") if as_text else RESULT).fields, *(T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(carry))])
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(remover(to_arrow_schema(own))), own)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import op2_dartminhash as D
 from . import op4_rabitq as R
 from . import op9_secrets as S
+from . import op10_suffix as X
 
 REACHED = "reached as (select id, id as m from nodes union select e.b, r.m from reached r join e on e.a = r.id)"
 
@@ -65,4 +66,15 @@ kept as (select rid, no, s, e from spans where no < 3 union all select rid, no,
 told as (select rid, cast(count(*) filter (no = 0) as bigint) as n_assign, cast(count(*) filter (no = 1) as bigint) as n_access, cast(count(*) filter (no = 2) as bigint) as n_hex, {WRITTEN('no < 3')} as base, {WRITTEN('true')} as spans from kept group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join told using (rid)"""
 
-ORACLES = {"op2_dartminhash": NEAR_TEXTS, "op4_rabitq": NEAR_VECTORS, "op9_secrets": SECRETS}
+REPEATS = f"""with docs as (select doc_id, encode(coalesce(text, '')) as b, row_number() over () as rid from documents),
+places as (select doc_id, rid, b, unnest(range(1, octet_length(b) - {X.LENGTH} + 2)) as i from docs),
+strings as (select doc_id, rid, i, b[i:i + {X.LENGTH - 1}] as s from places),
+gone as (select rid, i, i > 1 + lag(i, 1, -1000) over w + {X.LENGTH - 1} as fresh from (select *, min(doc_id) over (partition by s) as least from strings) where least < doc_id window w as (partition by rid order by i)),
+numbered as (select rid, i, sum(fresh::int) over (partition by rid order by i) as span from gone),
+spans as (select rid, span, min(i) as a, max(i) + {X.LENGTH} as z from numbered group by all),
+kept as (select rid, lag(z, 1, 1) over w as a, a as z, span from spans window w as (partition by rid order by span) union all select rid, max(z), null, null from spans group by rid),
+told as (select rid, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans from spans group by rid),
+rest as (select rid, unhex(string_agg(hex(case when z is null then b[a:] when z > a then b[a:z - 1] else ''::blob end), '' order by a)) as kept from kept join docs using (rid) group by rid)
+select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(coalesce(kept, b)) as kept_sha256 from docs left join told using (rid) left join rest using (rid)"""
+
+ORACLES = {"op2_dartminhash": NEAR_TEXTS, "op4_rabitq": NEAR_VECTORS, "op9_secrets": SECRETS, "op10_suffix": REPEATS}

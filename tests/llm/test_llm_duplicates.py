@@ -1,17 +1,22 @@
 """Near-duplicates of texts and vectors, repeated passages, components: against brute force."""
 
 import hashlib
+import pickle
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cadenza.llm import op2_dartminhash as D
 from cadenza.llm import op4_rabitq as R
 from cadenza.llm import op10_suffix as S
+from cadenza.llm import prefix_free
+from cadenza.llm.common import block_keys
 from cadenza.llm.components import components
 
 
@@ -179,23 +184,71 @@ def test_repeated_passages_of_odd_texts(odd, none):
     assert [r.text for r in whole.filter("doc_id = 1").collect()] == [None]
 
 
-@settings(max_examples=12, deadline=None)
+def by_steps(docs, blocks):
+    """The operator's steps without Spark, which is left to deal rows by key and block."""
+    keys = block_keys(blocks)
+    held = defaultdict(list)
+    for d, t in docs:
+        held[keys[(d or 0) % blocks]].append((d, t))
+    packed = [(k, zstandard.ZstdCompressor().compress(pickle.dumps(rows))) for k, rows in held.items()]
+
+    def run(step, rows, kinds):
+        names = {4: ["key", "bucket", "block", "data"], 2: ["block", "data"]}[len(kinds)]
+        return [r for b in step(iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)])) for r in b.to_pylist()] if rows else []
+
+    def dealt(step, rows):
+        return [x for k in keys for x in run(step, [(r["key"], r["bucket"], r["block"], r["data"]) for r in rows if r["key"] == k], [pa.int32()] * 3 + [pa.binary()])]
+
+    def table(rows, kinds):
+        return pa.table({n: pa.array([r[n] for r in rows], t) for n, t in kinds.items()})
+
+    one = {"block": pa.int32(), "data": pa.binary()}
+    known = dealt(S.shared, run(S.seeds_of(keys), packed, [pa.int32(), pa.binary()]))
+    lefts = {k: table([{"block": k, "data": data}], one) for k, data in packed}
+    contexts = [x for k, left in lefts.items() for x in S.contexts_of(keys)((pa.scalar(k),), left, table([r for r in known if r["block"] == k], one)).to_pylist()]
+    answers = dealt(S.smallest, contexts)
+    kinds = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+    got = [x for k, left in lefts.items() for x in S.remover(kinds)((pa.scalar(k),), left, table([r for r in answers if r["block"] == k], one | {"own": pa.bool_()})).to_pylist()]
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=repr)
+
+
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["ab" * 30, "c" * 70, "the same passage again and again, of many words, ", "x", "é", "0123456789" * 6]), max_size=6), min_size=1, max_size=8), st.sampled_from([64, 1 << 18]))
-def test_repeated_passages_at_random(spark, parts, part):
+def test_repeated_passages_at_random(parts, part):
     before, S.PART = S.PART, part
     try:
-        docs = [(i, "".join(p)) for i, p in enumerate(parts)]
-        got = S.deduplicate(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+        docs = [(i if i != 5 else None, "".join(p)) for i, p in enumerate(parts)]
+        got = by_steps(docs, 3)
     finally:
         S.PART = before
-    assert of(got) == removed([(d, t.encode()) for d, t in docs])
+    assert got == removed([(d, t.encode()) for d, t in docs])
+
+
+def corpus(strings, least):
+    """Suffixes in order, and what each shares with the one before, without any parsing."""
+    found = sorted(s[i:] for s in strings for i in range(len(s) - least + 1))
+    shared = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(found, found[1:])]
+    return found, shared[: len(found)]
+
+
+def ordered(strings, least):
+    which, place, shared = prefix_free.corpus_order(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64), least)
+    return [strings[w][p:] for w, p in zip(which.tolist(), place.tolist())], shared.tolist()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"ab", b"a", b"\0", b"\0" * 30, b"a" * 100, b"the same passage, ", b"abcabcabc" * 9, b"\xff\xfe"]), max_size=9).map(b"".join), max_size=7), st.sampled_from([7, 10, 50]))
+def test_corpus_order(strings, least):
+    assert ordered(strings, least) == corpus(strings, least)
+
+
+@pytest.mark.parametrize("data", [b"banana" * 40, b"a" * 300, bytes(range(256)), random.Random(1).randbytes(3000)])
+def test_corpus_order_of_one_string(data):
+    assert ordered([data, b"", data[:100]], 50) == corpus([data, b"", data[:100]], 50)
 
 
-@pytest.mark.parametrize("data", [b"banana" * 40, b"a" * 300, bytes(range(256))])
-def test_suffix_order(data):
-    array = np.frombuffer(data, np.uint8)
-    starts = np.arange(len(data) - 49)
-    order, fresh = S.suffix_order(array, starts)
-    strings = [data[s : s + 50] for s in starts[order].tolist()]
-    assert strings == sorted(strings)
-    assert fresh.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+def test_corpus_order_of_long_repeats():
+    """Periodic text of 200,000 bytes: ties that a comparison from the front would take quadratic time for."""
+    data = b"abc" * 66_000
+    which, place, shared = prefix_free.corpus_order(np.frombuffer(data + data, np.uint8), np.array([len(data)] * 2), 50)
+    assert len(which) == 2 * (len(data) - 49) and shared[1::2].tolist() == (len(data) - place[1::2]).tolist()
