@@ -35,6 +35,8 @@ NONE, BITS = 1 << 40, 17
 BUCKETS = 1 << 15
 #: Characters of the texts of a block, more if one text has more.
 BLOCK_CHARS = 8_000_000
+#: Bits of a block's number that hold its place among the keys; 2**24 keys are 500 TB of stored text. The rest numbers blocks.
+PLACE = 24
 #: A block that waits for a word, and the word's number there.
 WAITING = np.dtype([("source", "<i8"), ("number", "<u4")])
 TOKENS = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -151,7 +153,7 @@ def scan(pattern: str, keys: list[int]):
     def block(serial: int, docs: list, numbers: dict[str, int], texts: list[np.ndarray]) -> pa.RecordBatch:
         """A block whose words are numbered by their first place in it."""
         place = ((serial >> 12) + 61 * (serial & 4095)) % len(keys)  # blocks of neighbouring partitions lie apart
-        source = serial << 20 | place
+        source = serial << PLACE | place
         flat = np.concatenate(texts)
         first = np.fromiter(numbers.values(), np.int64, len(numbers))
         often = np.argsort(-np.bincount(flat, minlength=len(flat))[first], kind="stable")  # frequent words get small numbers
@@ -252,7 +254,7 @@ def answers(keys: list[int]):
                 n = size[word[a:b]]
                 pick = np.repeat(at[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 held.setdefault(int(source[a]), []).append((number[a:b], n.astype(np.uint16 if n.max() < 65536 else np.uint32), flat[pick]))
-        rows = [(keys[source & 0xFFFFF], source, squeeze(*(np.concatenate(x) for x in zip(*parts)))) for source, parts in held.items()]
+        rows = [(keys[source & (1 << PLACE) - 1], source, squeeze(*(np.concatenate(x) for x in zip(*parts)))) for source, parts in held.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["key", "source", "data"])
 
     return run
@@ -326,6 +328,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     """
     path = path or public_tokenizers.path(VOCABULARY)
     keys = block_keys(2 * block_count(docs))
+    if len(keys) > 1 << PLACE:
+        raise ValueError(f"{len(keys)} keys: encode the table in parts")
     row = "key int, source long, data binary"
     sent = doc_texts(docs).mapInArrow(lean(scan(pattern, keys)), row).repartition(len(keys), "key")
     coded = sent.mapInArrow(lean(distinct_words), "word array<int>, places binary").select("places", encode_word(F.col("word"), path).alias("ids"))
