@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 import zlib
@@ -51,10 +52,16 @@ def lean(run):
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir where it is set, a temporary folder where not (tests)."""
+    """Make checkpoint() usable: the folder of spark.checkpoint.dir, or where driver and executors are one process a temporary one.
+
+    A cluster without that setting is an error: a folder of one machine can't be read by the others.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ is compressed block by block with each dictionary; the language whose dictionary
 the share of bytes by which the runner-up is larger; a text is rejected when its margin is under `MARGIN`, and always when it
 is null or has no letter (then the language is `und` and the score 0).
 
-Dictionaries are built from a bounded sample of the labelled rows: about SAMPLE documents of each language, chosen by a hash
-of doc_id, each giving one block of BLOCK characters at a place that the same hash chooses, DICTIONARY bytes in all. At most
-SAMPLE x languages blocks reach the driver. Without labelled rows every text is `und` and rejected. Ties go to the language
-with more labelled rows, then to the one that sorts first. Repeated rows give repeated results; an empty table gives no rows.
+Dictionaries are built from a bounded sample of the labelled rows: the SAMPLE documents of each language that have the smallest hash
+of doc_id (of the text, where it is null), each giving one block of BLOCK characters at a place that the same hash chooses, DICTIONARY
+bytes in all. At most MOST blocks of a language reach the driver, however often an id repeats. Without labelled rows every text is
+`und` and rejected. Ties go to the language with more labelled rows, then to the one that sorts first. Repeated rows give repeated
+results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, read
 
 SAMPLE, BLOCK, DICTIONARY = 160, 1200, 120_000
+MOST = 2 * SAMPLE
 #: zstandard's level for texts of SHORT bytes and more, and for shorter ones.
 LEVEL, SHORT_LEVEL, SHORT = 6, 15, 600
 #: Ends every dictionary and starts every block: zstandard stores what it can't shrink by some bytes, and the saving on this
@@ -48,16 +50,18 @@ def held_out() -> Column:
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Dictionary content by language, the most frequent first, from rows (doc_id, text, lang); null languages are left out."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40)).alias("h"))
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))), F.lit(1 << 40)).alias("h"))
     found = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    wanted = F.lit(False)
-    for lang, n in found.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, sample / n) * (1 << 40))))
+    lowest = Window.partitionBy("lang").orderBy("h")
+    edges = rows.select("lang", "h", F.row_number().over(lowest).alias("no")).filter(F.col("no") <= sample).groupBy("lang").agg(F.max("h")).collect()
+    wanted = functools.reduce(Column.__or__, ((F.col("lang") == lang) & (F.col("h") <= h) for lang, h in edges), F.lit(False))
     plain = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
     blocks = rows.filter(wanted).select("lang", "h", plain.alias("plain")).filter(F.length("plain") > 0)
     starts = F.pmod("h", F.greatest(F.lit(1), F.length("plain") - BLOCK)).cast("int") + 1
     content: dict[str, list[str]] = {}
-    for r in blocks.select("lang", "h", F.substring("plain", starts, F.lit(BLOCK)).alias("block")).orderBy("lang", "h", "block").collect():
+    first = Window.partitionBy("lang").orderBy("h", "block")
+    taken = blocks.select("lang", "h", F.substring("plain", starts, F.lit(BLOCK)).alias("block")).withColumn("no", F.row_number().over(first)).filter(F.col("no") <= MOST)
+    for r in taken.orderBy("lang", "h", "block").collect():
         content.setdefault(r.lang, []).append(r.block)
     return {lang: " ".join(content[lang]).encode()[:DICTIONARY] for lang in sorted(content, key=lambda x: (-found[x], x))}
 
