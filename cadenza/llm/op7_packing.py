@@ -3,7 +3,7 @@
 A document's ids (text, then one separator id) are cut into full windows first; the rest of it, shorter than a window, is
 placed by best-fit decreasing: a segment tree over remaining capacities finds the tightest open window that holds it.
 
-Null and empty texts are one piece that holds the separator. Repeated rows and repeated doc_ids are packed row by row.
+Null and empty texts are one piece that holds the separator. Repeated rows and repeated or null doc_ids are packed row by row.
 An empty table gives no rows; other columns of the input are not read.
 """
 
@@ -28,7 +28,8 @@ WINDOW, SEPARATOR, TOKENIZER = 1024, 0, "byte_bpe_50k.json"
 BATCH_CHARS = 2_000_000
 #: Longest run of white space that goes to tiktoken, whose regular expression overflows its stack on a run of a million.
 LONGEST_RUN = 100_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+PIECES = ", ".join(f"{c} long" for c in COLUMNS)
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -73,9 +74,10 @@ def text_ids(text: str, path: str) -> list[int]:
 
 
 def pieces(tokenizer: str, window: int, separator: int):
-    """A mapInArrow function: rows (doc_id, text) to the pieces that each document is cut into."""
+    """A mapInArrow function: rows (doc_id, text) to the pieces that each document is cut into, numbered by their place in the input."""
 
     def cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list[int]] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -84,7 +86,8 @@ def pieces(tokenizer: str, window: int, separator: int):
                     part = ids[a : a + window]
                     for col, x in zip(cols, (doc, a, len(part), zlib.crc32(part.tobytes()), len(ids))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(range(serial, serial + len(cols[0])), pa.int64())], names=[*COLUMNS, "place"])
+            serial += len(cols[0])
 
     return cut_documents
 
@@ -154,12 +157,12 @@ def place(window: int):
 def pack_documents(docs: DataFrame, window: int = WINDOW, separator: int = SEPARATOR, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Pieces are dealt over partitions whose size the engine adapts, and each partition is packed on its own, so memory is bounded by
+    Pieces are dealt by their place in the input, evenly whatever ids and texts repeat, over partitions whose size the engine adapts, and each partition is packed on its own, so memory is bounded by
     a partition's pieces (56 bytes each), and the padding of a partition is that of its last few windows.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    cut = doc_texts(docs).mapInArrow(lean(pieces(path, window, separator)), PIECES)
-    dealt = cut.repartition("doc_id", "start").sortWithinPartitions(cut.length.desc(), "doc_id", "start", "ids_crc32")
+    cut = doc_texts(docs).mapInArrow(lean(pieces(path, window, separator)), PIECES + ", place long")
+    dealt = cut.repartition("place").sortWithinPartitions(cut.length.desc(), "place").select(*COLUMNS)
     return dealt.mapInArrow(lean(place(window)), PACKED)
 
 
