@@ -11,16 +11,17 @@ without structure make it large, and recall is kept.
 Equal vectors are one entry with their NEAREST + 1 smallest vec_ids, which is enough for any result. Cells are dealt in groups of about
 GROUP entries; a larger cell is split. A task holds one group's entries and streams the queries that visit it.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without a vec_id or vectors of
-another dimension than most of the sample have. Repeated rows of a vec_id and vector count once; a query never finds its own vec_id.
-Fewer candidates than NEAREST: all are found. An empty table gives no rows; other columns are not read.
+Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without a vec_id. Each dimension has
+an index of its own, with its part of the sample, and its vectors find only each other; one that the sample misses is a single cell,
+which every query of it visits. Repeated rows of a vec_id and vector count once; a query never finds its own vec_id; a vec_id with
+several vectors asks with the one whose bytes sort first. Fewer candidates than NEAREST: all are found. An empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,10 +60,13 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Index:
     """Centroids of both halves and the entries of each cell."""
 
-    def __init__(self, sample: np.ndarray, entries: int):
-        self.half = sample.shape[1] - sample.shape[1] // 2
+    def __init__(self, sample: np.ndarray, entries: int, first_cell: int):
+        """`sample` may be empty; `entries` vectors of its dimension are indexed, in cells numbered from `first_cell` on."""
+        size = sample.shape[1]
+        self.half, self.entries, self.first_cell = size - size // 2, entries, first_cell
         k = int(min(MOST, max(2, math.sqrt(entries / CELL))))
-        self.first, self.second = k_means(sample[:, : self.half], k), k_means(sample[:, self.half :], k) if sample.shape[1] > 1 else np.zeros((1, 0))
+        halves = sample[:, : self.half], sample[:, self.half :]
+        self.first, self.second = (k_means(x, k) if x.size else np.zeros((1, x.shape[1])) for x in halves)
         self.counts = np.zeros(len(self.first) * len(self.second), np.int64)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
@@ -90,7 +94,7 @@ class Index:
     def share(self, sample: np.ndarray) -> float:
         """The share of entries to visit, found on a sample against brute force there."""
         n = len(sample)
-        if n <= LEAST:
+        if n <= LEAST or self.entries <= LEAST:
             return 1.0
         own = self.cells(sample)
         kept, self.counts = self.counts, np.bincount(own, minlength=len(self.counts))
@@ -120,23 +124,38 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
     sample = [r[0] for r in entries.filter(hashed < int(min(1.0, 0.95 * SAMPLE / max(n, 1)) * (1 << 40))).orderBy(hashed, F.col("ids")[0]).select("vector").limit(SAMPLE).collect()]
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = Counter(map(len, sample)).most_common(1)[0][0]
-    known = matrix([v for v in sample if len(v) == size], kind)
-    index = Index(known, n)
+    by_size: dict[int, list[bytes]] = {}
+    for v in sample:
+        by_size.setdefault(len(v), []).append(v)
+    indexes: dict[int, Index] = {}  # by bytes of a vector; a row for each dimension reaches the driver
+    cells = 0
+    for size, entries_of in entries.groupBy(F.octet_length("vector").alias("size")).count().orderBy("size").collect():
+        known = matrix(by_size[size], kind) if size in by_size else np.zeros((0, size // np.dtype(kind).itemsize))
+        indexes[size] = Index(known, entries_of, cells)
+        cells += len(indexes[size].counts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = index.cells(matrix(batch.column(0).to_pylist(), kind)) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], names=["vector", "ids", "cell"])
-
-    placed = cut(entries.filter(F.octet_length("vector") == size).mapInArrow(place, "vector binary, ids array<long>, cell int"))
-    for cell, count in placed.groupBy("cell").count().collect():  # K * K rows at most
-        index.counts[cell] = count
-    wanted = max(math.ceil(index.share(known) * int(index.counts.sum())), LEAST)
+            vectors = batch.column(0).to_pylist()
+            sizes, found = np.array([len(v) for v in vectors]), np.zeros(len(vectors), np.int64)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                found[at] = indexes[size].cells(matrix([vectors[i] for i in at.tolist()], kind)) + indexes[size].first_cell
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["vector", "ids", "cell"])
+
+    placed = cut(entries.mapInArrow(place, "vector binary, ids array<long>, cell long"))
+    counts = np.zeros(cells, np.int64)
+    for cell, count in placed.groupBy("cell").count().collect():  # K * K rows a dimension at most
+        counts[cell] = count
+    wanted: dict[int, int] = {}
+    for size, index in indexes.items():
+        index.counts = counts[index.first_cell : index.first_cell + len(index.counts)]
+        known = matrix(by_size[size], kind) if size in by_size else np.zeros((0, 1))
+        wanted[size] = max(math.ceil(index.share(known) * index.entries), LEAST)
 
     groups: list[list[int]] = []  # of each cell, first group and number of groups
     now, held = 0, 0
-    for count in index.counts.tolist():
+    for count in counts.tolist():
         parts = max(1, -(-count // GROUP))
         if held and held + count > GROUP:
             now, held = now + 1, 0
@@ -149,14 +168,16 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
         for batch in batches:
             at = [groups[c][0] + (hash(ids[0]) % groups[c][1] if groups[c][1] > 1 else 0) for c, ids in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), batch.column(0), batch.column(1), pa.array([[c] for c in batch.column(2).to_pylist()], pa.list_(pa.int32()))], names=["at", "part", "query_id", "vector", "ids", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), batch.column(0), batch.column(1), pa.array([[c] for c in batch.column(2).to_pylist()], pa.list_(pa.int64()))], names=["at", "part", "query_id", "vector", "ids", "cells"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for query, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by: dict[int, list[int]] = {}
-                for cell in index.visits(matrix([vector], kind)[0], wanted):
+                index = indexes[len(vector)]
+                for cell in index.visits(matrix([vector], kind)[0], wanted[len(vector)]):
+                    cell += index.first_cell
                     for g in range(groups[cell][0], groups[cell][0] + groups[cell][1]):
                         by.setdefault(g, []).append(cell)
                 out += [(g, 1, query, vector, [], cells) for g, cells in by.items()]
@@ -166,7 +187,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
             yield rows_of(out)
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["at", "part", "query_id", "vector", "ids", "cells"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
         for batch in batches:
             out: list[tuple[int, int, float]] = []
             for g, part, query, vector, ids, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                if g != at:
-                    at, own, x = g, [], None
+                if (g, len(vector)) != at:
+                    at, own, x = (g, len(vector)), [], None
                 if part == 0:
                     own.append((vector, ids, cells[0]))
                     continue
@@ -195,9 +216,10 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> Da
                 out += [(query, i, d) for d, i in found[:nearest]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    asked = packed(queries).filter(F.col("vec_id").isNotNull() & (F.octet_length("vector") == size)).dropDuplicates(["vec_id"])
-    every = "at long, part int, query_id long, vector binary, ids array<long>, cells array<int>"
-    dealt = placed.mapInArrow(deal, every).unionByName(asked.mapInArrow(ask, every)).repartition("at").sortWithinPartitions("at", "part")
+    own = packed(queries).filter("vec_id is not null and vector is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = own.filter(F.octet_length("vector").isin(list(indexes)))
+    every = "at long, part int, query_id long, vector binary, ids array<long>, cells array<long>"
+    dealt = placed.mapInArrow(deal, every).unionByName(asked.mapInArrow(ask, every)).repartition("at").sortWithinPartitions("at", F.octet_length("vector"), "part")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = dealt.mapInArrow(rerank, FOUND).select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
     return found.filter(F.col("rank") <= nearest)

@@ -56,9 +56,27 @@ def test_few_candidates(spark):
 def test_heap_visits_cells_in_order():
     rng = np.random.default_rng(2)
     sample = rng.normal(size=(800, 6))
-    index = M.Index(sample, 800)
+    index = M.Index(sample, 800, 0)
     index.counts[:] = 1
     q = rng.normal(size=6)
     sums = (((index.first - q[:3]) ** 2).sum(1)[:, None] + ((index.second - q[3:]) ** 2).sum(1)[None, :]).ravel()
     cells = list(index.visits(q, len(sums)))
     assert len(set(cells)) == len(sums) and np.allclose(sums[cells], np.sort(sums))
+
+
+def test_every_dimension_is_searched(spark, monkeypatch):
+    """Vectors of a rare dimension, one that the sample lacks, and one id with two vectors."""
+    monkeypatch.setattr(M, "SAMPLE", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(600)] + [(1000 + i, rng.normal(size=3).tolist(), 0) for i in range(30)] + [(2000, [1.0, 2.0], 0), (2001, [1.0, 3.0], 0), (2100, [4.0, 2.0], 0)]
+    df = frame(spark, rows + [(100, [9.0, 9.0, 9.0, 9.0], 0)]).select("vec_id", "embedding")
+    got = M.search(df, df.filter("vec_id % 100 = 0")).collect()
+    for size, last in ((4, 600), (3, 1030), (2, 2101)):
+        own = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if len(v) == size]
+        for i, q in own:
+            if i % 100 == 0 and i != 100:
+                want = sorted((float(np.sqrt(((q - v) ** 2).sum())), j) for j, v in own if j != i)[: M.NEAREST]
+                found = sorted((r.rank, r.vec_id) for r in got if r.query_id == i)
+                assert len(found) == len(want) and len({j for _, j in found} & {j for _, j in want}) >= 0.7 * len(want)
+                assert size == 4 or [j for _, j in found] == [j for _, j in want]
+    assert len([r for r in got if r.query_id == 100]) == M.NEAREST
