@@ -1,12 +1,14 @@
 """Secret scans with DataFrame functions only: three fixed kinds, and long tokens that a battery of randomness tests can't reject.
 
 Fixed kinds (positions are code points of the whole text, ends exclusive): `assign`, `access` and `hex`. Kind `random`: runs of
-20 or more letters, digits and + / _ = - that no fixed span holds. Each is tested, in the encoding inferred from its
+20 or more letters, digits and + / _ = - outside assignments that are no `access` or `hex` span themselves. Each is tested, in the encoding inferred from its
 characters, for uniform use of the alphabet (chi-squared), for runs above and below the alphabet's middle, and for serial
 correlation; the smallest p-value times three is its p-value. The null hypothesis is "drawn at random". Within each stratum of
 lengths the Benjamini-Hochberg procedure at level Q decides, over the whole corpus, which tokens are rejected as not random;
-those that stay are reported, so that at most about Q of true secrets are lost whatever their length.
+those that stay are reported. Of the rejected tokens a share of Q is random at most (that is what the procedure controls), and as it
+rejects p-values up to Q times the rejected share only, which is at most Q, no random token is lost with a probability above Q.
 
+Positions are running sums, taken in slices of CHUNK matches, so that a text of n matches costs n * CHUNK steps and not n * n.
 Ranks for that procedure come from a histogram of -log10 p with a fixed number of bins, so no task sorts or holds all tokens.
 Null and empty texts have no spans; repeated rows give repeated results; an empty table gives no rows.
 """
@@ -25,6 +27,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: An assignment, or as group 3 a token outside of one.
+OUTSIDE = rf"{ASSIGN}|({TOKEN})"
+CHUNK = 64
 #: Share of random tokens that may be rejected; lower ends of the strata of lengths; bins for each unit of -log10 p, and their number.
 Q, STRATA, BINS, TOP = 0.01, (20, 24, 32, 48, 64), 50, 1500
 #: The alphabets that are told apart, smallest first: pattern, symbols in order.
@@ -39,27 +44,38 @@ ALPHABETS = (
 )
 
 
-def located(text: Column, pattern: str, least: int = 0) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; group 2 must have `least` characters, if given.
+def located(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
+    """array<struct<start, end, hit>> of the leftmost non-overlapping matches whose group has `least` characters or more.
 
     The text between matches and the matches alternate, so positions are running sums of both lengths.
     """
     p = F.lit(pattern)
     gaps, hits = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
-    inner = F.regexp_extract_all(text, p, F.lit(2)) if least else hits
+    inner = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
     rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), inner.alias("inner"))
-    kind = "struct<start:bigint,end:bigint,hit:string>"
+    kind = "struct<start:bigint,end:bigint,hit:string,kept:boolean>"
     empty = F.array().cast(f"array<{kind}>")
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"))
+    state = lambda at, found: F.struct(at.cast("bigint").alias("at"), found.alias("found"))
 
     def step(acc: Column, row: Column) -> Column:
         start = acc.at + F.length(row.gap)
         end = start + F.coalesce(F.length(row.hit), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), row.hit.alias("hit"))
-        keep = row.hit.isNotNull() & (F.length(row.inner) >= least)
-        return F.struct(end.cast("bigint").alias("at"), F.when(keep, F.array_append(acc.found, span)).otherwise(acc.found).alias("found"))
+        keep = F.coalesce(F.length(row.inner) >= least, F.lit(False))
+        span = F.struct(start.alias("start"), end.alias("end"), row.hit.alias("hit"), keep.alias("kept"))
+        return state(end, F.array_append(acc.found, span))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, none, step, lambda acc: acc.found)).otherwise(empty)
+    def sliced(rows: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(rows), F.lit(CHUNK))
+        parts = F.transform(first, lambda i: F.aggregate(F.slice(rows, i, CHUNK), state(F.lit(0), empty), step))
+        ends = F.aggregate(parts, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x.at))
+        return F.transform(F.arrays_zip(parts.found.alias("found"), ends.alias("begin")), lambda x: moved(x.found, x.begin))
+
+    def moved(found: Column, begin: Column) -> Column:
+        kept = F.filter(F.coalesce(found, empty), lambda s: s.kept)
+        return F.transform(kept, lambda s: F.struct((s.start + begin).alias("start"), (s.end + begin).alias("end"), s.hit.alias("hit")))
+
+    spans = F.flatten(F.flatten(F.transform(F.array(rows), sliced)))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>"))
 
 
 def tail(z: Column) -> Column:
@@ -111,15 +127,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of start, kind number, end, kind, hit) and tokens (array of start, end, hit, stratum, bin)."""
     found = doc_texts(docs).select(
         "doc_id",
-        located(F.col("text"), ASSIGN, 12).alias("assign"),
+        located(F.col("text"), ASSIGN, 2, 12).alias("assign"),
         located(F.col("text"), ACCESS).alias("access"),
         located(F.col("text"), HEX).alias("hex"),
-        located(F.col("text"), TOKEN).alias("token"),
+        located(F.col("text"), OUTSIDE, 3).alias("token"),
     )
     base = F.flatten(F.array(*(F.transform(k, tagged(i)) for i, k in enumerate(KINDS[:3]))))
-    based = found.select("doc_id", F.array_sort(base).alias("base"), "token")
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b.start <= t.start) & (t.end <= b.end)))
-    held = based.select("doc_id", "base", free.alias("token"))
+    free = F.array_except("token", F.concat("access", "hex"))
+    held = found.select("doc_id", F.array_sort(base).alias("base"), free.alias("token"))
     tested = F.transform("token", lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), t.hit.alias("hit"), battery(t.hit).alias("p")))
     tested = held.select("doc_id", "base", tested.alias("token"))
     binned = F.transform("token", lambda t: F.struct(t.start, t.end, t.hit, t.p, stratum(t.end - t.start).alias("stratum"), F.least(F.lit(TOP), F.floor(-F.log10(F.greatest(t.p, F.lit(1e-200))) * BINS)).cast("int").alias("bin")))

@@ -49,10 +49,10 @@ KIND = "case no " + " ".join(f"when {i} then {quoted(k)}" for i, k in enumerate(
 WRITTEN = lambda when: f"coalesce(string_agg({KIND} || ':' || s || ':' || e, ',' order by s, no) filter ({when}), '')"
 
 SECRETS = f"""with docs as (select doc_id, coalesce(text, '') as t, row_number() over () as rid from documents),
-found as ({" union all ".join(located(i, p, g) for i, (p, g) in enumerate(((S.ASSIGN, 2), (S.ACCESS, 0), (S.HEX, 0), (S.TOKEN, 0))))}),
+found as ({" union all ".join(located(i, p, g) for i, (p, g) in enumerate(((S.ASSIGN, 2), (S.ACCESS, 0), (S.HEX, 0), (S.OUTSIDE, 3))))}),
 ended as (select rid, no, hit, inside, sum(length(gap) + coalesce(length(hit), 0)) over (partition by rid, no order by i) as e from found),
-spans as (select rid, no, cast(e - length(hit) as bigint) as s, cast(e as bigint) as e, hit from ended where hit is not null and (no > 0 or length(inside) >= 12)),
-free as (select *, regexp_replace(hit, '=+$', '') as body from spans x where no = 3 and not exists (select 1 from spans b where b.rid = x.rid and b.no < 3 and b.s <= x.s and x.e <= b.e)),
+spans as (select rid, no, cast(e - length(hit) as bigint) as s, cast(e as bigint) as e, hit from ended where hit is not null and length(inside) >= case no when 0 then 12 else 1 end),
+free as (select *, regexp_replace(hit, '=+$', '') as body from spans x where no = 3 and not exists (select 1 from spans b where b.rid = x.rid and b.no in (1, 2) and b.s = x.s and x.e = b.e)),
 coded as (select *, {ALPHABET} as symbols, greatest(length(body), 2)::double as n from free),
 valued as (select *, length(symbols)::double as k, list_transform(string_split(body, ''), lambda c: instr(symbols, c) - 1) as v from coded),
 tested as (select *,

@@ -3,8 +3,10 @@
 import hashlib
 import re
 import string
+import time
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from cadenza.llm import op1_pii as P
@@ -13,12 +15,13 @@ from cadenza.llm import op6_language as G
 from cadenza.llm import op9_secrets as S
 from cadenza.llm.common import cut
 
+KEY = b"a key of the tests"
 TEXT = "Mail JOHN.Smith99@Acme.COM or john.smith99@acme.com, call +1 (555) 123-4567 or +15551234567, card 4111 1111 1111 1111, 10.0.0.1 and 8.8.8.8, Mr. John Smith met Frau Müller and Anna SMITH; IBAN DE89 3704 0044 0532 0130 00. Ольга Петрова, 123-45-6789."
 
 
 def replaced(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    return [r.text for r in P.replace_pii(df).orderBy("doc_id").collect()]
+    return [r.text for r in P.replace_pii(df, KEY).orderBy("doc_id").collect()]
 
 
 def test_surrogates_keep_type_format_and_identity(spark):
@@ -47,15 +50,15 @@ def test_clean_text_is_left_alone(spark):
 def test_collisions_are_resolved(spark, monkeypatch):
     """With one surrogate for all at first, later attempts tell the entities apart; no surrogate is an entity."""
     real = P.surrogate
-    monkeypatch.setattr(P, "surrogate", lambda k, e, attempt=0, key=P.KEY: ("10.1.1.1" if attempt == 0 else "10.1.1.2" if attempt == 1 else real(k, e, attempt, key)))
-    run = P.candidates(P.KEY)
+    monkeypatch.setattr(P, "surrogate", lambda k, e, attempt, key: ("10.1.1.1" if attempt == 0 else "10.1.1.2" if attempt == 1 else real(k, e, attempt, key)))
+    run = P.candidates(KEY)
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(["ip"]), pa.array(["10.1.1.1"]), pa.array([0], pa.int32())], names=["kind", "entity", "attempt"])
     assert next(run([batch])).column("attempt").to_pylist() == [1]  # its own surrogate is passed over
     monkeypatch.undo()
     rows = [("given_f", f"name{i}") for i in range(400)] + [("family", f"name{i}") for i in range(400)]
-    got = P.assignments(spark.createDataFrame(rows, "kind string, entity string")).collect()
+    got = P.assignments(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()
     assert len(got) == 800 and max(r.attempt for r in got) > 0
     for kind in ("given_f", "family"):
         assert len({r.surrogate for r in got if r.kind == kind}) == 400
@@ -74,7 +77,7 @@ def test_many_later_attempts_are_joined(spark, monkeypatch):
     + [("ssn", "١٢٣٤٥٦٧٨٩"), ("phone", "+٤٩٣٠١٢٣٤٥٦٧"), ("card", "٤١١١١١١١١١١١١١١١"), ("card", "4111111111111111")],
 )
 def test_surrogates_of_any_script(kind, entity):
-    news = [P.surrogate(kind, entity, attempt) for attempt in range(60)]
+    news = [P.surrogate(kind, entity, attempt, KEY) for attempt in range(60)]
     assert entity not in news
     for new in news:
         assert [x[2] for x in P.mentions({"ssn": f"{new[:3]}-{new[3:5]}-{new[5:]}"}.get(kind, new))] == [kind]
@@ -84,36 +87,108 @@ def test_surrogates_of_any_script(kind, entity):
 
 def test_no_address_is_its_own_surrogate(spark):
     texts = ["write to 用户@例子.com now", "to _@_.com", "ssn ١٢٣-٤٥-٦٧٨٩", "call ٠٣٠-١٢٣-٤٥٦٧"]
-    for old, r in zip(texts, P.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()):
+    for old, r in zip(texts, P.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), KEY).orderBy("doc_id").collect()):
         (start, end, _, _), = P.mentions(old)
         assert len(r.replaced) == 1 and old[start:end] not in r.text
 
 
 def test_assignments_of_a_shape_that_is_used_up(spark):
     found = spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND)
-    got = P.assignments(found).collect()
+    got = P.assignments(found, KEY).collect()
     assert len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {r.entity for r in got}
 
 
 def test_assignments_never_end_with_collisions(spark, monkeypatch):
     monkeypatch.setattr(P, "ROUNDS", 2)
     with pytest.raises(RuntimeError, match="collide"):
-        P.assignments(spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND))
+        P.assignments(spark.createDataFrame([("email", f"{i}@{j}.x") for i in range(10) for j in range(10)], P.FOUND), KEY)
 
 
 def test_many_later_attempts_reach_texts_without_an_id(spark, monkeypatch):
     texts = [f"Mrs Name{chr(97 + i // 26)}{chr(97 + i % 26)} Family" for i in range(300)]
     few = replaced(spark, *texts)
     monkeypatch.setattr(P, "FEW", 0)
-    got = P.replace_pii(spark.createDataFrame([(None, i, t) for i, t in enumerate(texts)], "doc_id bigint, i int, text string")).orderBy("i").collect()
+    got = P.replace_pii(spark.createDataFrame([(None, i, t) for i, t in enumerate(texts)], "doc_id bigint, i int, text string"), KEY).orderBy("i").collect()
     assert [r.text for r in got] == few
 
 
 def test_pii_of_odd_texts(odd, none):
-    got = P.replace_pii(odd)
+    got = P.replace_pii(odd, KEY)
     assert got.columns == [*odd.columns, "replaced"] and got.count() == odd.count()
     assert got.exceptAll(odd.withColumn("replaced", F.lit(None).cast(got.schema["replaced"].dataType))).filter("size(replaced) > 0").count() == 0
-    assert P.replace_pii(none).count() == 0
+    assert P.replace_pii(none, KEY).count() == 0
+
+
+def one_by_one(entities):
+    """The assignments by a loop over all entities, kind by kind."""
+
+    def next_of(kind, entity, attempt):
+        while (new := P.surrogate(kind, entity, attempt, KEY)) == entity:
+            attempt += 1
+        return attempt, new
+
+    at = {x: next_of(*x, 0) for x in entities}
+    while True:
+        owner = {}
+        for (kind, entity), (attempt, new) in sorted(at.items(), key=lambda x: (x[1][0], x[0][1])):
+            owner.setdefault((kind, new), entity)
+        bad = [(k, e) for (k, e), (_, new) in at.items() if (k, new) in at or owner[k, new] != e]
+        if not bad:
+            return {(k, e, a, new) for (k, e), (a, new) in at.items()}
+        for x in bad:
+            at[x] = next_of(*x, at[x][0] + 1)
+
+
+def test_assignments_against_a_loop(spark):
+    rows = [("email", f"{i}@{j}.x") for i in range(10) for j in range(4)] + [("given_f", f"name{i}") for i in range(300)] + [("family", n) for n in ("smith", "петров", "παππάς", "כהן", "lia")] + [("ip", f"10.0.0.{i}") for i in range(50)] + [("ssn", f"{i:09d}") for i in range(50)]
+    got = {tuple(r) for r in P.assignments(spark.createDataFrame(rows, P.FOUND), KEY).select("kind", "entity", "attempt", "surrogate").collect()}
+    assert got == one_by_one(rows)
+
+
+NAMES = [
+    ("Mr John Smith called. Later Smith said that John was ill; SMITH'S friend knew.", ["john", "smith", "smith", "john", "smith"]),
+    ("Dr Γιώργος Παπαδόπουλος και Κυρία Μαρία", ["γιώργος", "παπαδόπουλος", "μαρία"]),
+    ("Priya Raman and Wei Zhang met. Raman left.", ["priya", "raman", "wei", "zhang", "raman"]),
+    ("Contact Priya Raman (priya.raman99@x.org) or Contact us", ["priya", "raman", "priya.raman99@x.org"]),
+    ("Dear Ana,\nmy name is Kofi Annan", ["ana", "kofi", "annan"]),
+    ("Dear Mr Smith, Dear Customer, Liebe Grüße. The Committee met, and The Big Team met", ["smith"]),
+    ("Anna-Lena Schmidt", ["anna-lena", "schmidt"]),
+]
+
+
+@pytest.mark.parametrize("text, names", NAMES)
+def test_names_are_found(text, names):
+    assert [m[3] for m in P.mentions(text)] == names
+
+
+def test_surrogates_keep_script_gender_and_host(spark):
+    new = replaced(spark, *(t for t, _ in NAMES), "a.b@one.smith.com c@one.smith.com", "Κυρία Μαρία Νικολάου")
+    assert re.search(r"^Κυρία [Α-Ω][ά-ώ]+(?:λία|νίκη|ρίνα) [Α-Ω][ά-ώ]+$", new[-1])
+    hosts = re.findall(r"@(\S+)", new[-2])
+    assert hosts[0] == hosts[1] and hosts[0].endswith(".com") and "smith" not in hosts[0]
+    left = {m[3] for t, _ in NAMES for m in P.mentions(t)}
+    assert not left & {w.lower() for t in new for w in re.findall(r"[^\W\d_]+", t)}
+
+
+def test_time_is_linear_in_mentions():
+    def took(n):
+        text = " ".join(f"user{i}@host.com Mr Aaa{chr(97 + i % 26)}" for i in range(n))
+        began = time.process_time()
+        assert len(P.mentions(text)) == 2 * n
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 40 * max(took(1_000), 0.005)
+
+
+def test_the_key_comes_from_outside(spark):
+    assert P.session_key(spark) == P.session_key(spark) and len(P.session_key(spark)) == 32
+    spark.conf.set(P.KEY_SETTING, "one")
+    try:
+        assert P.session_key(spark) == b"one"
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+    assert P.surrogate("email", "jane@x.com", 0, b"one") != P.surrogate("email", "jane@x.com", 0, b"two")
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 26, 1000])
@@ -179,6 +254,43 @@ def test_language(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.01
 
 
+def plain_sizes(text, known):
+    """Bytes that each language's dictionary leaves of a text, by the library's own functions, text by text."""
+    out = {}
+    plain = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    for lang, data in known.items():
+        held = zstandard.ZstdCompressionDict(data + G.FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out[lang] = 0
+        for a in range(0, len(plain), G.WINDOW):
+            block = G.FILLER + plain[a : a + G.WINDOW].encode()
+            level, size = (G.LEVEL, G.WINDOW) if len(block) >= G.SHORT else (G.SHORT_LEVEL, G.SHORT)
+            how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(data), source_size=size, write_checksum=False, write_content_size=False, write_dict_id=False)
+            out[lang] += len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(block))
+    return out
+
+
+def test_language_against_plain_compression(spark, sf, sample):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = G.learn(docs.filter(~G.held_out()).select("doc_id", "text", "lang"))
+    for r in G.op6_language(spark, sf).collect():
+        sizes = plain_sizes(sample[r.doc_id], known)
+        best, second = sorted(sizes.values())[:2]
+        if not any(sizes.values()):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        gap = (second - best) / best
+        assert sizes[r.lang_pred] == best and r.rejected == (gap < G.MARGIN) and abs(r.score - gap / (gap + G.HALF)) < 1e-12
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(G, "SAMPLE", 20)
+    monkeypatch.setattr(G, "MOST", 40)
+    for ids in ("cast(null as bigint)", "cast(7 as bigint)", "id"):
+        rows = spark.range(3000).selectExpr(f"{ids} as doc_id", "concat('word and other words ', repeat(chr(97 + id % 26), 30)) as text", "if(id % 3 = 0, 'a', 'b') as lang")
+        known = G.learn(rows, 20)
+        assert set(known) == {"a", "b"} and all(0 < len(x) <= 40 * 55 for x in known.values())
+
+
 def test_language_of_odd_texts(spark, odd, none):
     known = {"en": b"the of and to in is was that " * 100, "fr": "le la les de des et une était ".encode() * 100}
     got = {r.doc_id: r for r in G.predict(odd, known).collect()}
