@@ -45,7 +45,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return changed(docs, op1_pii.replace_pii(docs))
+    return changed(docs, op1_pii.replace_pii(docs, op1_pii.session_key(spark)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
