@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import BASE, BYTE_WORDS, INVERSE, U64, block_count, block_keys, blocks, lean, mix, powers, read, squeeze, unpack, unsqueeze
-from .prefix_free import corpus_order, runs
+from .prefix_free import corpus_order, hashed, runs
 
 LENGTH, SEED = 50, 20
 #: Bytes that are hashed at a time; longer texts are parsed in overlapping parts.
@@ -129,12 +129,6 @@ def found_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def joined(data, least: int) -> list[np.ndarray]:
-    """The arrays of several squeezed rows, end to end; none: as many empty ones."""
-    parts = [unsqueeze(x) for x in data]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, U64)] * least
-
-
 def seeds_of(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -197,7 +191,7 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contexts_of(keys: list[int]):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each context of a block whose seed is shared, once: its hash, smallest and largest document, windows and bytes; and where it lies."""
+        """Each context of a block whose seed is shared, once: its number, smallest and largest document, windows and bytes; and where it lies."""
         parts = [np.cumsum(unsqueeze(x)[0], dtype=U64) for x in right.column("data").to_pylist()]
         known = np.sort(np.concatenate(parts)) if parts else np.empty(0, U64)
         rows: list[tuple[int, int, bytes]] = []
@@ -209,13 +203,17 @@ def contexts_of(keys: list[int]):
             at = firsts(p.name[order])
             doc = docs[p.text[order]]
             if len(at):
-                low, high, one = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), order[at]
-                which = found_in(p.name[hit], p.name[one])
-                rows.append((key[0].as_py(), OWN, squeeze(p.name[one], *(x.astype(np.uint32) for x in (which, p.text[hit], p.start[hit], p.windows[hit])))))
+                name, low, high, one = p.name[order][at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), order[at]
+                placed = np.argsort(one)  # contexts are numbered by their first place, so that the numbers squeeze well
+                number = np.empty(len(one), np.int64)
+                number[placed] = np.arange(len(one))
+                which = number[found_in(p.name[hit], name)]
+                rows.append((key[0].as_py(), OWN, squeeze(which.astype(np.uint32), *(np.diff(x[hit], prepend=0).astype(np.int32) for x in (p.text, p.start)), p.windows[hit].astype(np.uint32))))
+                low, high, one = low[placed], high[placed], one[placed]
                 for b, i in in_buckets(p.seed[one], keys):
                     own = one[i]
                     data = b"".join([texts[t][s : s + w + LENGTH - 1] for t, s, w in zip(p.text[own].tolist(), p.start[own].tolist(), p.windows[own].tolist())])
-                    rows.append((keys[b % len(keys)], b, squeeze(p.name[own], low[i], high[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
+                    rows.append((keys[b % len(keys)], b, squeeze(np.diff(i, prepend=0).astype(np.uint32), low[i], high[i] - low[i], p.windows[own].astype(np.uint32), np.frombuffer(data, np.uint8))))
         kinds = (("key", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()))
         return pa.table({n: pa.array([(r[0], r[1], key[0].as_py(), r[2])[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
 
@@ -223,23 +221,25 @@ def contexts_of(keys: list[int]):
 
 
 def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and context of it that loses a string there: the context's hash, its strings' number and their smallest documents."""
+    """For each block and context of it that loses a string there: the context's number, how many strings it has, their smallest documents."""
     for bucket, owners, raw in by_bucket(batches):
         if bucket == OWN:
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), pa.array([True] * len(raw), pa.bool_()), pa.array(raw, pa.binary())], names=["block", "own", "data"])
             continue
         sent = [unsqueeze(x) for x in raw]
-        name, low, high, windows = (np.concatenate([x[i] for x in sent]) for i in range(4))
-        windows = windows.astype(np.int64)
+        number = np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in sent])
+        low, more, windows = (np.concatenate([x[i] for x in sent]) for i in (1, 2, 3))
+        high, sizes = low + more, windows.astype(np.int64) + LENGTH - 1
         data = np.concatenate([x[4] for x in sent])
-        begins = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
+        begins = np.cumsum(sizes) - sizes
+        name = hashed(data, begins, sizes)
         owner = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent])
         order = np.argsort(name, kind="stable")
         at = firsts(name[order])
         one, least = order[at], np.minimum.reduceat(low[order], at)  # the dictionary
-        size = windows[one]
+        size = sizes[one] - LENGTH + 1
         base = np.cumsum(size) - size
-        which, place, lcp = corpus_order(data[runs(begins[one], size + LENGTH - 1)], size + LENGTH - 1, LENGTH)
+        which, place, lcp = corpus_order(data[runs(begins[one], sizes[one])], sizes[one], LENGTH)
         doc = np.empty(len(which), np.int64)
         fresh = lcp < LENGTH  # where a string of LENGTH bytes begins that the suffix before doesn't
         doc[base[which] + place] = np.minimum.reduceat(least[which], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
@@ -253,7 +253,7 @@ def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 e = entry[i]
                 n = size[e]
                 flat = np.repeat(base[e] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((b, squeeze(name[i], n.astype(np.uint32), doc[flat])))
+                rows.append((b, squeeze(np.diff(number[i], prepend=0).astype(np.uint32), n.astype(np.uint32), doc[flat])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([False] * len(rows), pa.bool_()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "own", "data"])
 
 
@@ -278,19 +278,21 @@ def remover(schema: pa.Schema):
 
 def removed(docs: np.ndarray, own: list[bytes], answers: list[bytes]) -> dict[int, list[tuple[int, int]]]:
     """The maximal removed runs of each text that has any, from where its contexts lie and what buckets answered."""
-    names, sizes, mins = joined(answers, 3)
     spans: dict[int, list[tuple[int, int]]] = {}
-    if len(names):
-        sizes, mins = sizes.astype(np.int64), mins.astype(np.int64)
+    if answers:
+        parts = [unsqueeze(x) for x in answers]
+        numbers = np.concatenate([np.cumsum(x[0], dtype=np.int64) for x in parts])
+        sizes, mins = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in (1, 2))
         base = np.cumsum(sizes) - sizes
-        order = np.argsort(names, kind="stable")
-        (known, *places), = map(unsqueeze, own)
-        which, of, begin, windows = (x.astype(np.int64) for x in places)
-        entry = found_in(known, names[order])[which]
+        (which, of, begin, windows), = map(unsqueeze, own)
+        of, begin, windows = np.cumsum(of, dtype=np.int64), np.cumsum(begin, dtype=np.int64), windows.astype(np.int64)
+        answer = np.full(int(which.max()) + 1, -1)
+        answer[numbers] = np.arange(len(numbers))
+        entry = answer[which]
         every = np.flatnonzero(entry >= 0)
         for a in range(0, len(every), SLICE):
             hit = every[a : a + SLICE]
-            e = order[entry[hit]]
+            e = entry[hit]
             n = windows[hit]
             where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             gone = mins[np.repeat(base[e], n) + where] < np.repeat(docs[of[hit]], n)

@@ -60,6 +60,14 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndar
     return out
 
 
+def hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of some strings in `data`."""
+    n = len(data)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(BYTE_WORDS[data] * powers(BASE, n), out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * powers(INVERSE, n)[start] ^ mix(size.astype(U64)))
+
+
 class Minima:
     """Minima of ranges of an array."""
 
@@ -131,10 +139,7 @@ class Dictionary:
     """Distinct phrases, and for some of their suffixes (`need` first ones of each phrase) the suffix array."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, need: np.ndarray):
-        n = len(data)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(BYTE_WORDS[data] * powers(BASE, n), out=sums[1:])
-        name = mix((sums[start + size] - sums[start]) * powers(INVERSE, n)[start] ^ mix(size.astype(U64)))
+        name = hashed(data, start, size)
         order = np.argsort(name, kind="stable")
         name = name[order]
         first = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
