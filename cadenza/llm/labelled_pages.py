@@ -120,4 +120,55 @@ PAGES = """
 = <article>
 + <h1>{9}</h1><p>{120}</p><p>{1}</p>
 - <div class="comments"><p>{45}</p><p>{3}</p></div>
+
+= <html><body>
+- <ul><li><a href="/a">{1}</a></li><li><a href="/b">{1}</a></li><li><a href="/c">{2}</a></li><li><a href="/d">{1}</a></li></ul>
+- <div class="ad">{10}</div>
+= <article>
++ <h1>{7}</h1><p>{30}</p><p>{3}</p><p>{50}</p><p>{2}</p><p>{8}</p><p>{60}</p><p>{1}</p><p>{15}</p>
+= </article>
+- <footer>&copy; {2} &middot; {8}</footer>
+
+= <html><body>
+- <ul><li><a href="/a">{1}</a></li><li><a href="/b">{2}</a></li><li><a href="/c">{1}</a></li></ul>
+= <div>
++ <h1>{5}</h1><p>{4}</p><p>{28}</p><h2>{3}</h2><p>{35}</p><p>{6}</p><ul><li>{6}</li><li>{4}</li></ul><p>{40}</p><blockquote>{9}</blockquote><p>{3}</p>
+= </div>
+- <p>&copy; {4}</p><ul><li><a href="/x">{1}</a></li><li><a href="/y">{2}</a></li></ul>
+
+= <html><body>
+- <div><a href="/">{2}</a></div><div><a href="/a">{1}</a> <a href="/b">{1}</a> <a href="/c">{1}</a></div><p>{4} <a href="/l">{3}</a></p>
+= <div>
++ <h1>{6}</h1><p>{33}</p><p>{21} <a href="/i">{2}</a> {14}</p><p>{5}</p><p>{18}</p><p>{2}</p><p>{11} <a href="/j">{3}</a></p><p>{44}</p>
+= </div>
+- <h3>{2}</h3><ul><li><a href="/r">{6}</a></li><li><a href="/s">{7}</a></li><li><a href="/t">{5}</a></li></ul><div>&copy; {5}</div>
+
+= <html><body>
+- <header><div>{3}</div></header><nav><a href="/a">{1}</a><a href="/b">{1}</a></nav><div class="notice"><p>{15}</p></div>
+= <main>
++ <h1>{5}</h1><p>{2}</p><p>{1}</p><p>{6}</p><p>{13}</p><p>{4}</p>
+= </main>
+- <div class="sidebar"><h4>{2}</h4><ul><li><a href="/u">{4}</a></li><li><a href="/v">{5}</a></li></ul><p>{18}</p></div>
+- <div id="comments"><h3>{2}</h3><p>{22}</p><p>{9}</p></div><form><p>{3}</p></form><footer><p>&copy; {6}</p></footer>
+
+= <html><body>
+- <ul><li><a href="/a">{2}</a></li><li><a href="/b">{1}</a></li></ul>
++ <h1>{8}</h1><p>{70}</p><p>{90}</p><p>{12}</p><p>{55}</p>
+- <ul><li><a href="/c">{8}</a></li><li><a href="/d">{9}</a></li></ul><p><a href="/e">{2}</a> <a href="/f">{3}</a></p>
+
+= <html><body>
+- <nav><ul><li><a href="/a">{1}</a></li><li><a href="/b">{1}</a></li><li><a href="/c">{1}</a></li><li><a href="/d">{1}</a></li><li><a href="/e">{1}</a></li><li><a href="/f">{2}</a></li></ul></nav>
+- <div class="ad">{7}</div>
+= <article>
++ <h1>{8}</h1><p>{8}</p><p>{9}</p>
+= </article>
+- <footer>&copy; {1} &middot; {6}</footer>
+
+= <html><body>
+- <nav><ul><li><a href="/a">{1}</a></li><li><a href="/b">{1}</a></li><li><a href="/c">{1}</a></li><li><a href="/d">{1}</a></li><li><a href="/e">{1}</a></li><li><a href="/f">{1}</a></li></ul></nav>
+- <div class="ad">{9}</div>
+= <article>
++ <h1>{5}</h1><p>{2}</p>
+= </article>
+- <aside><ul><li><a href="/x">{3}</a></li><li><a href="/y">{1}</a></li><li><a href="/z">{2}</a></li></ul></aside><footer><p>{4}</p><ul><li><a href="/g">{1}</a></li><li><a href="/h">{1}</a></li><li><a href="/i">{1}</a></li></ul></footer>
 """

@@ -5,6 +5,7 @@ import re
 import string
 import time
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -210,8 +211,57 @@ def test_extraction():
     assert X.main_text("<html><body><article><p>Text that is cut o", tree) == "Text that is cut o"
     assert X.main_text("<article><p>Cut <foo", tree) == "Cut"
     assert X.main_text("<article><p>x < y &am", tree) == "x < y &am"
-    x, y = X.labelled()
-    assert all((X.decide(tree, list(a)) >= 0.5) == bool(b) for a, b in zip(x, y))
+    assert X.main_text('<article><div class="content share-story"><p>All of it is main text.</p></div></article>', tree) == "All of it is main text."
+    assert X.main_text('<div class="with-sidebar"><h1>Title of the page</h1><article><p>Words.</p></article></div>', tree).endswith("Words.")
+
+
+def used(tree):
+    return set() if len(tree) == 1 else {X.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def score(pairs):
+    """F1 of (kept, main) pairs."""
+    hit = sum(k and m for k, m in pairs)
+    return 2 * hit / (sum(k for k, _ in pairs) + sum(m for _, m in pairs))
+
+
+def test_densities_of_neighbours_decide():
+    tree = X.trained()
+    assert X.FEATURES[tree[0]] == "links" and {"words", "words_before", "links_before", "words_after", "links_after"} <= used(tree)
+    assert max(len(tree[2]), len(tree[3])) > 1 and {tree[2][0], tree[3][0]} <= set(range(X.DENSITIES))
+
+
+def test_blocks_of_pages_that_the_tree_has_not_seen(spark, sf):
+    """Pages whose truth is their article: as they are, and without the tags and names that mark parts."""
+    tree, marked, bare = X.trained(), [], []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inside = [0]
+        for m in re.finditer(r"</?article\b", r.html or ""):
+            inside.append(m.start())
+        truth = {t for t, _ in X.blocks((r.html or "")[inside[1] : inside[2]] if len(inside) > 2 else "")}
+        stripped = X.variant(f"= {r.html or ''}", iter(()), True)
+        for pairs, page in ((marked, r.html), (bare, stripped)):
+            pairs += [(X.decide(tree, f) >= 0.5, t in truth) for t, f in X.blocks(page)]
+    assert score(marked) == 1 and score(bare) >= 0.95
+
+
+def test_blocks_of_new_variants():
+    rng, tree, pairs = np.random.default_rng(11), X.trained(), []
+    factors = iter(lambda: float(np.exp(rng.normal(0, 0.7))), None)
+    for page in X.PAGES.strip().split("\n\n") * 8:
+        for text, features in X.blocks("".join(X.variant(line, factors, False) for line in page.splitlines())):
+            pairs.append((X.decide(tree, features) >= 0.5, "main" in text))
+    assert score(pairs) >= 0.97
+
+
+def test_time_is_linear_in_nesting():
+    def took(n):
+        began = time.process_time()
+        assert X.main_text("<div class=x>t" * n + "</div>" * n, X.trained()).count("t") <= n
+        return time.process_time() - began
+
+    took(100)
+    assert took(32_000) < 40 * max(took(2_000), 0.01)
 
 
 def test_held_out_pages():
@@ -222,7 +272,7 @@ def test_held_out_pages():
     right = total = 0
     for i in range(len(pages)):
         tree = X.grow(*X.labelled("\n\n".join(pages[:i] + pages[i + 1 :])))
-        x, y = X.labelled(pages[i])
+        x, y = X.labelled(pages[i], 1)
         right += sum((X.decide(tree, list(a)) >= 0.5) == bool(b) for a, b in zip(x, y))
         total += len(y)
     assert right / total > 0.85
