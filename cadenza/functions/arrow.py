@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.parser import HTMLParser
 from urllib.parse import unquote
 
 import pandas as pd
@@ -21,6 +22,12 @@ def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
+def composed(c):
+    """Text in composed form (NFC); a sentinel for texts that are already, which is nearly all, keeps them from being sent to Python as they are."""
+    plain = c.isNull() | ~c.rlike(r"[^\x00-\x{2ff}]")  # nothing below U+0300 combines
+    return F.when(plain, c).otherwise(nfc(F.when(~plain, c)))
+
+
 @F.pandas_udf(T.StringType())
 def unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or "&" not in v else html.unescape(v))
@@ -93,14 +100,73 @@ ENTRY = T.ArrayType(T.StructType([T.StructField("location", T.StringType()), T.S
 PLAYLISTS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("entries", ENTRY)]))
 
 
+class Node(list):
+    """An element: children, local name, attributes, and the text before its first child."""
+
+    def __init__(self, tag: str, attributes: dict):
+        super().__init__()
+        self.tag, self.attributes, self.text = tag, attributes, ""
+
+    def get(self, name: str):
+        return self.attributes.get(name)
+
+    def find(self, name: str):
+        return next((c for c in self if c.tag == name), None)
+
+    def iter(self):
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(reversed(node))
+
+
+class Lenient(HTMLParser):
+    """Reads markup that isn't well-formed: names of HTML's characters, bare ampersands, elements that never end or end too late."""
+
+    #: Elements that HTML never closes.
+    ALONE = frozenset("basefont br area link img param hr input col frame isindex base meta".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("", {})
+        self.open_ = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs})
+        self.open_[-1].append(node)
+        if tag not in self.ALONE:
+            self.open_.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.open_[-1].append(Node(tag.rpartition(":")[2], {k.rpartition(":")[2]: v or "" for k, v in attrs}))
+
+    def handle_endtag(self, tag):
+        name = tag.rpartition(":")[2]
+        if any(n.tag == name for n in self.open_[1:]):
+            while self.open_.pop().tag != name:
+                pass
+
+    def handle_data(self, data):
+        if not self.open_[-1]:
+            self.open_[-1].text += data
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
+
 def parsed(data: bytes):
-    """An XML tree by local names, or None where it can't be read."""
+    """A tree by local names, read strictly where that works and leniently where not; None where there is no element."""
     import xml.etree.ElementTree as E
 
     try:
         root = E.fromstring(data)
     except (E.ParseError, ValueError, LookupError):
-        return None
+        reader = Lenient()
+        reader.feed(data.decode("utf-8-sig", "replace"))
+        reader.close()
+        return next(iter(reader.root), None)
     for node in root.iter():
         if isinstance(node.tag, str):
             node.tag = node.tag.rpartition("}")[2]

@@ -59,6 +59,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def repeated(c: Column, step, rounds: Column) -> Column:
+    """step applied to a text until nothing changes; `rounds` bounds how often that can be, and the rounds after the last change cost little.
+
+    A mark at the end says that nothing changes any more; a fold over structs with a lambda inside keeps Spark from planning Python functions beside it.
+    """
+    mark = "\x00\x01"
+
+    def again(acc: Column, _: Column) -> Column:
+        return F.when(F.endswith(acc, F.lit(mark)), acc).when(step(acc) == acc, F.concat(acc, F.lit(mark))).otherwise(step(acc))
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), c, again, lambda acc: F.when(F.endswith(acc, F.lit(mark)), F.substring(acc, F.lit(1), F.length(acc) - len(mark))).otherwise(acc))
+
+
+def count_of(c: Column, characters: str) -> Column:
+    return F.length(c) - F.length(F.translate(c, characters, ""))
+
+
 def replace_all(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, rx(pattern), by)
 
@@ -211,13 +228,15 @@ def has_non_latin(c: Column) -> Column:
     return c.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
 
 
-def without_translation(c: Column, rounds: int = 8) -> Column:
-    def step(name: Column, _: Column) -> Column:
+def without_translation(c: Column) -> Column:
+    """A name without the translations in brackets at its end, however many."""
+
+    def step(name: Column) -> Column:
         at = F.regexp_instr(name, F.lit(rx(W.TRANSLATION)))
         rest, inside = F.substring(name, F.lit(1), at - 1), F.regexp_extract(name, rx(W.TRANSLATION), 1)
         return F.when((at > 0) & has_non_latin(rest) & ~has_non_latin(inside), go_trim(rest)).otherwise(name)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), c, step)
+    return let(c, lambda v: repeated(v, step, count_of(v, ")]") + 1))
 
 
 def without_translations(c: Column) -> Column:
@@ -253,17 +272,17 @@ def is_edition(c: Column) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(W.EDITION_WORDS) | matches(w, W.EDITION_NUMBER))
 
 
-def strip_album(c: Column, rounds: int = 8) -> Column:
-    """Without watermark, disc and up to `rounds` edition qualifiers at the end."""
+def strip_album(c: Column) -> Column:
+    """Without watermark, disc and all edition qualifiers at the end."""
 
-    def step(value: Column, _: Column) -> Column:
+    def step(value: Column) -> Column:
         def shorter(v: Column) -> Column:
-            cuts = [F.when(before_match(v, p).isNotNull() & is_edition(F.regexp_extract(v, rx(p), 1)), before_match(v, p)) for p in (W.TRAILING_BRACKET, W.TRAILING_DASH)]
+            cuts = [F.when(before_match(v, p).isNotNull() & is_edition(F.regexp_extract(v, rx(p), 1)), go_trim(before_match(v, p))) for p in (W.TRAILING_BRACKET, W.TRAILING_DASH)]
             return F.coalesce(*cuts, v)
 
-        return let(go_trim(value), shorter)
+        return let(value, shorter)
 
-    return go_trim(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), strip_disc(unwatermark(go_trim(c))), step))
+    return go_trim(let(go_trim(strip_disc(unwatermark(go_trim(c)))), lambda v: repeated(v, step, count_of(v, ")]}-–—") + 1)))
 
 
 def album_key(c: Column) -> Column:

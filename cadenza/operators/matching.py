@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
-from ..functions.arrow import nfc
+from ..functions.arrow import composed
 
 
 def first_by_fold(names: Column) -> Column:
@@ -51,7 +51,7 @@ def attempts(tracks: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<artist:string,title:string,key:string>>")
     keep = F.aggregate(F.flatten(pair), none, lambda kept, p: F.when(F.exists(kept, lambda k: k.key == p.key), kept).otherwise(F.array_append(kept, p)))
     rows = queries(tracks).select("path", F.posexplode(F.slice(keep, 1, W.MAX_ATTEMPTS)).alias("attempt", "p"), "qualifiers", "guests")
-    return rows.select("path", "attempt", nfc(F.col("p.artist")).alias("artist"), nfc(F.col("p.title")).alias("title"), "qualifiers", "guests")
+    return rows.select("path", "attempt", composed(F.col("p.artist")).alias("artist"), composed(F.col("p.title")).alias("title"), "qualifiers", "guests")
 
 
 def side(artist: str, title: str, extra: dict[str, Column] | None = None) -> Column:
@@ -103,21 +103,26 @@ def block_keys(title: Column) -> Column:
     return F.array_distinct(F.concat(T.long_words(title), F.array(F.concat(F.lit("#"), F.substring(T.fold(title), 1, 3)))))
 
 
+def title_pairs(tries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Distinct (title, c_title) that share a block key; only titles and their keys meet, and a pair counts by the first key that it shares."""
+    keyed = lambda rows, name: rows.select(F.col("title").alias(name)).distinct().withColumn(f"{name}_keys", block_keys(F.col(name))).withColumn("key", F.explode(f"{name}_keys"))
+    met = keyed(tries, "title").join(keyed(candidates, "c_title"), "key")
+    return met.filter(F.col("key") == F.get(F.array_intersect("title_keys", "c_title_keys"), F.lit(0))).select("title", "c_title")
+
+
 def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Attempts with the candidates that share `on` (or else a block key of the title), and their score.
 
-    With block keys a pair is found by each key that it shares and kept once; no side is compared as a whole with the other.
+    With block keys distinct titles meet first, and rows are joined to the pairs of titles that do; no side is compared as a whole with the other.
     """
     left, right = query_side(tries), candidate_side(candidates)
     right = right.select(*([F.col(k).alias(k) for k in on or []]), *(F.col(k).alias(f"c_{k}") for k in candidates.columns if k not in (on or [])), "c")
     if on:
         pairs = left.join(right, on)
     else:
-        left = left.withColumn("key", F.explode(block_keys(F.col("title"))))
-        right = right.withColumn("keys", block_keys(F.col("c_title"))).withColumn("key", F.explode("keys"))
-        pairs = left.join(right, "key").filter(F.col("key") == F.get(F.array_intersect(block_keys(F.col("title")), F.col("keys")), F.lit(0)))
+        pairs = left.join(title_pairs(tries, candidates), "title").join(right, "c_title")
     qualified = F.size(F.array_except(F.col("q.qualifiers"), F.col("c.stems"))) == 0
-    return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c", "key", "keys")
+    return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
 
 
 def find_best(pairs: DataFrame) -> DataFrame:
@@ -185,10 +190,44 @@ def exact(tries: DataFrame, catalogue: DataFrame) -> DataFrame:
 SOURCES = ((0, 0, "LRCLIB"), (0, 1, "NetEase"), (0, 2, "Genius"), (1, 0, "lyrics.ovh"))
 
 
+def addresses(tries: DataFrame, most: int = 2) -> DataFrame:
+    """(path, attempt, no, slug): the addresses that an attempt's page may have, its lead's alone and with each guest on either side."""
+    lead = T.lead_artist(F.col("artist"))
+    guests = F.col("guests") if "guests" in tries.columns else F.array().cast(T.STRINGS)
+    joined = F.flatten(F.transform(guests, lambda g: F.array(F.concat(F.col("__lead"), F.lit(" and "), g), F.concat(g, F.lit(" and "), F.col("__lead")))))
+    rows = tries.withColumn("__lead", lead).withColumn("__credits", F.concat(F.array("__lead"), joined)).withColumn("__title", T.clean_title(F.col("title")))
+    slugs = F.filter(F.transform("__credits", lambda c: T.slug(F.concat(c, F.lit(" "), F.col("__title")))), lambda x: x != "")
+    return rows.select("path", "attempt", F.posexplode(F.slice(slugs, 1, most)).alias("no", "slug"))
+
+
 def by_address(tries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages (slug, lyrics) at the address that an attempt's lead and title would have: (path, attempt, lyrics)."""
-    slug = T.slug(F.concat(T.lead_artist(F.col("artist")), F.lit(" "), F.col("title")))
-    return tries.withColumn("slug", slug).filter("slug <> ''").join(pages, "slug").select("path", "attempt", "lyrics")
+    """The first page (slug, lyrics) with words at an address of each attempt: (path, attempt, lyrics)."""
+    found = addresses(tries).join(pages.filter("lyrics <> ''"), "slug")
+    return found.groupBy("path", "attempt").agg(F.min_by("lyrics", "no").alias("lyrics"))
+
+
+def field_then_text(by_field: DataFrame, by_text: DataFrame) -> DataFrame:
+    """A service's candidates (path, attempt, ...) by artist and title; those by free text only where that search found none."""
+    return fallback(by_field, by_text, ["path", "attempt"])
+
+
+def searched(pairs: DataFrame, hooked: DataFrame, on_album: DataFrame) -> DataFrame:
+    """A service's candidates by name (two that have words); by a line of the song where none of these is accepted, then by the album."""
+    named = opened(pairs, "lyrics")
+    keys = ["path", "attempt"]
+    accepted = any_accepted(named, keys).filter("accepted").select(*keys)
+    extra = hooked.join(accepted, keys, "left_anti")
+    more = any_accepted(union_all(named.select(*keys, "score"), extra.select(*keys, "score")), keys).filter("accepted").select(*keys)
+    found = [named.select(*keys, F.col("c_pos").alias("pos"), "score"), extra.select(*keys, "pos", "score"), on_album.join(more, keys, "left_anti").select(*keys, "pos", "score")]
+    return union_all(*found)
+
+
+def from_link(links: DataFrame, pages: DataFrame, lyrics: Column) -> DataFrame:
+    """Pages that were pointed at (path, url), read by their site's reader: score 1, since nothing is left to judge; null where no words are."""
+    address = T.go_trim(F.col("url"))
+    asked = links.withColumn("url", address).filter(F.col("url").rlike(r"^(?i)https?://[^/?#]+"))
+    read = asked.join(pages.select("url", "html"), "url").withColumn("lyrics", lyrics)
+    return read.filter("lyrics <> ''").select("path", T.site_name(F.col("url")).alias("source"), "url", "lyrics", F.lit(1.0).alias("score"))
 
 
 def fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ a3 as (select *, row_number() over (partition by path, {fold('artist')}, {fold('
 a4 as (select *, row_number() over (partition by path order by i, j) - 1 as attempt from a3 where dup = 1),
 attempts as (select path, attempt, artist, title, array_to_string(quals, ' ') as quals from a4 where attempt < {W.MAX_ATTEMPTS})"""
 SIDES = f"""{TRACKS}, {CANDIDATES},
-q0 as (select path, artist, title, {NUM if False else "cast(regexp_extract(path, '([0-9]+)[.]mp3', 1) as int)"} as no, regexp_extract(path, '^/m/([^/]*)', 1) as brand, trackNo, {clean_title('title')} as clean from tracks where artist <> ''),
+q0 as (select path, artist, title, cast(regexp_extract(path, '([0-9]+)[.]mp3', 1) as int) as no, regexp_extract(path, '^/m/([^/]*)', 1) as brand, trackNo, {clean_title('title')} as clean from tracks where artist <> ''),
 q1 as (select *, {bared('clean')} as bare, {qualifiers('clean')} as ql from q0),
 qs as (select path, no, brand, trackNo, ql, cast(100 + no % 40 as double) as dur, {fold('clean')} as f_clean, {fold('bare')} as f_bare, {long_words('title')} as tw, {fold('artist')} as f_art, {fold(lead_artist('artist'))} as f_lead, {long_words('artist')} as aw from q1),
 c0 as (select *, {clean_title('title')} as clean from cands),
@@ -54,6 +54,21 @@ pairs as (select q.path, c.round, c.source, c.pos, c.title, c.lyrics, len(list_f
 scored as (select * exclude raw, greatest(0.0, least(1.0, raw))::double as score from pairs)"""
 
 
+#: All pairs of names, without blocks: that no accepted pair lacks a block key is part of what is checked, by the same keys.
+FUZZY = f"""with {TRACKS}, {CANDIDATES},
+q0 as (select min(path) as path, artist, title, {clean_title('title')} as clean from tracks where artist <> '' group by artist, title),
+q1 as (select *, {bared('clean')} as bare, {qualifiers('clean')} as ql from q0),
+qs as (select path, ql, {fold('clean')} as f_clean, {fold('bare')} as f_bare, {long_words('title')} as tw, {fold('artist')} as f_art, {fold(lead_artist('artist'))} as f_lead, {long_words('artist')} as aw, left({fold('title')}, 3) as head from q1),
+c0 as (select min(pos) as pos, artist, title, {clean_title('title')} as clean from cands group by artist, title),
+cs as (select pos, {fold('clean')} as f_clean, {fold(bared('clean'))} as f_bare, {long_words('title')} as tw, {fold('artist')} as f_art, {fold(lead_artist('artist'))} as f_lead, {long_words('artist')} as aw, list_transform({long_words('title')}, lambda w: {stem('w')}) as stems, left({fold('title')}, 3) as head from c0),
+met as (select q.*, c.pos, c.f_clean as g_clean, c.f_bare as g_bare, c.tw as gw, c.f_art as g_art, c.f_lead as g_lead, c.aw as gaw, c.stems from qs q join cs c on list_has_any(q.tw, c.tw) or q.head = c.head),
+raw as (select path, pos,
+  0.6 * greatest({similarity('f_clean', 'g_clean')}, 0.95 * {similarity('f_bare', 'g_bare')}, 0.9 * {overlap('tw', 'gw')})
+  + 0.4 * greatest({similarity('f_art', 'g_art')}, {similarity('f_lead', 'g_lead')}, 0.9 * {overlap('aw', 'gaw')})
+  + case when len(ql) = 0 then 0 when len(list_filter(ql, lambda w: not list_contains(stems, w))) = 0 then 0.04 else -0.08 end as s from met)
+select path, pos, round(greatest(0.0, least(1.0, s)), 6)::double as score from raw where greatest(0.0, least(1.0, s)) >= {W.MIN_SCORE}"""
+
+
 def tries(spark, sf_dir: str) -> DataFrame:
     """One search for each track with an artist, as it is tagged, with what it is joined to candidates by."""
     t = V.tracks(spark, sf_dir).filter("artist <> ''")
@@ -84,6 +99,20 @@ def resolved(spark, sf_dir: str) -> DataFrame:
     return PL.resolve(entries_of(spark, sf_dir), files_of(spark, sf_dir), "/m")
 
 
+#: Suffix resolution as a join of all files: a literal path first, else the longest tail that files share, of one file or of several parts.
+RESOLVE = f"""{TRACKS},
+f as (select substr(path, 4) as rel, lower(substr(path, 4)) as key, cast(regexp_extract(path, '([0-9]+)[.]mp3', 1) as int) as ord from tracks),
+x as (select rel, ord, key, string_split(key, '/') as parts from f),
+tl as (select rel, ord, unnest(list_transform(range(1, len(parts) + 1), lambda k: array_to_string(parts[len(parts) - k + 1:], '/'))) as tail, unnest(range(1, len(parts) + 1)) as n from x),
+ti as (select tail, n, arg_min(rel, ord) as rel, count(*) as files from tl group by all),
+e as (select regexp_extract(path, '^/m/([^/]*)', 1) as playlist_id, cast(regexp_extract(path, '([0-9]+)[.]mp3', 1) as int) as pos, path, title, artist from tracks),
+l as (select *, case pos % 5 when 0 then path when 1 then 'D:\\Music' || replace(upper(path), '/', '\\') when 2 then 'file:///Users/me' || replace(path, '#', '%23') when 3 then 'gone.mp3' else ' /x/' || regexp_extract(path, '[^/]*$', 0) end as location from e),
+p as (select *, trim(location) as t from l),
+d as (select *, case when starts_with(t, 'file://') then replace(substr(t, 8), '%23', '#') else t end as place from p),
+c as (select *, list_filter(string_split_regex(lower(place), '[/\\\\]'), lambda y: y not in ('', '.', '..')) as names from d),
+w as (select playlist_id, pos, unnest(list_transform(range(1, len(names) + 1), lambda k: array_to_string(names[len(names) - k + 1:], '/'))) as tail from c),
+hit as (select w.playlist_id, w.pos, arg_max(ti.rel, ti.n) as rel from w join ti using (tail) where ti.n >= 2 or ti.files = 1 group by all),
+found as (select c.playlist_id, c.pos, '/m/' || coalesce(f.rel, hit.rel) as file, case when c.pos % 2 = 0 then c.title else '' end as title, c.artist, case when c.pos % 3 = 0 then c.pos else -1 end as duration from c left join f on c.place = '/m/' || f.rel left join hit on hit.playlist_id = c.playlist_id and hit.pos = c.pos)"""
 ENTRY = f"""{TRACKS},
 e as (select regexp_extract(path, '^/m/([^/]*)', 1) as playlist_id, cast(regexp_extract(path, '([0-9]+)[.]mp3', 1) as int) as pos, path, title, artist from tracks),
 found as (select playlist_id, pos, case when pos % 5 <> 3 then path end as file, case when pos % 2 = 0 then title else '' end as title, artist, case when pos % 3 = 0 then pos else -1 end as duration from e)"""
@@ -135,15 +164,15 @@ def patches(spark, sf_dir: str) -> DataFrame:
 
 def breaks_page(page):
     """Each line end of a text as a break, so that pages of the tables have broken lines."""
-    return F.concat(F.lit("<html><body><div>x<br>y</div><div>"), F.regexp_replace(F.substring(page, 1, 2000), r"\n", "<br>\n"), F.lit("</div></body></html>"))
+    return F.concat(F.lit("<html><body><div>x<br>y</div><div>"), F.regexp_replace(page, r"\n", "<br>\n"), F.lit("</div></body></html>"))
 
 
 HTML_SQL = rep(rep(rep("html", W.LINE_BREAK, "\n"), W.BLOCK_END, "\n"), W.ANY_TAG)
 for _name, _char in H.NAMED_REFERENCES.items():
-    HTML_SQL = f"replace({HTML_SQL}, {q(_name)}, {q(_char)})"
+    HTML_SQL = f"regexp_replace({HTML_SQL}, {q(_name + '?' if _name[1] != '#' else _name)}, {q(_char)}, 'g')"
 
-LRC = lambda x: F.concat(F.lit("[00:00.00] composer : x\n"), F.regexp_replace(F.regexp_replace(F.substring(x, 1, 400), "^", "[00:01.50]"), r"\n", "\n[01:02]"))
-LRC_SQL = "'[00:00.00] composer : x' || chr(10) || '[00:01.50]' || replace(substr(text, 1, 400), chr(10), chr(10) || '[01:02]')"
+LRC = lambda x: F.concat(F.lit("[00:00.00] composer : x\n"), F.regexp_replace(F.regexp_replace(x, "^", "[00:01.50]"), r"\n", "\n[01:02]"))
+LRC_SQL = "'[00:00.00] composer : x' || chr(10) || '[00:01.50]' || replace(text, chr(10), chr(10) || '[01:02]')"
 
 QUERIES = {
     "bare_titles": (lambda s, d: V.tracks(s, d).select("path", T.bare_title(F.col("title")).alias("bare")), f"with {TITLES} select path, bare from t2"),
@@ -187,10 +216,10 @@ select path, case when b is null then 'missing' else 'found' end as status, coal
         lambda s, d: read(s, d, "conversations").select("conv_id", "turn", T.hook_count(F.col("text"), F.lit("The")).cast("bigint").alias("n")),
         f"select conv_id, turn, cast((length(t) - length(replace(t, ' the ', ''))) / 5 as bigint) as n from (select conv_id, turn, ' ' || {one_space(rep('lower(text)', W.NOT_WORD, ' '))} || ' ' as t from conversations)",
     ),
-    "html_text": (lambda s, d: read(s, d, "pages").select("page_id", F.sha2(H.html_text(F.col("html"), known_only=True), 256).alias("text")), f"select page_id, sha256({trim(HTML_SQL)}) as text from pages"),
+    "html_text": (lambda s, d: read(s, d, "pages").select("page_id", F.sha2(H.html_text(F.col("html")), 256).alias("text")), f"select page_id, sha256({trim(HTML_SQL)}) as text from pages"),
     "broken_lines": (
-        lambda s, d: read(s, d, "conversations").select("conv_id", "turn", H.broken_lines(breaks_page(F.col("text")), known_only=True).alias("lines")),
-        f"""select conv_id, turn, case when len(string_split(t, chr(10))) - 1 < {W.BROKEN_LINES} then '' else array_to_string(list_transform(string_split({trim('t')}, chr(10)), lambda x: {trim('x')}), chr(10)) end as lines from (select conv_id, turn, substr(text, 1, 2000) as t from conversations)""",
+        lambda s, d: read(s, d, "conversations").select("conv_id", "turn", H.broken_lines(breaks_page(F.col("text"))).alias("lines")),
+        f"""select conv_id, turn, case when len(string_split(t, chr(10))) - 1 < {W.BROKEN_LINES} then '' else array_to_string(list_transform(string_split({trim('t')}, chr(10)), lambda x: {trim('x')}), chr(10)) end as lines from (select conv_id, turn, text as t from conversations)""",
     ),
     "lrc_words": (
         lambda s, d: read(s, d, "documents").select("doc_id", H.lrc_words(LRC(F.col("text"))).alias("w")).select("doc_id", "w.plain", "w.synced"),
@@ -207,12 +236,12 @@ select doc_id, coalesce(plain, '') as plain, case when coalesce(plain, '') = ''
         lambda s, d: PL.pls_entries(pls_text(s, d)),
         f"with {ENTRY} select playlist_id, pos, '/p/' || pos as location, case when pos % 2 = 0 then {trim('artist')} else 'old' end as title, '' as artist, case when pos % 3 = 0 and pos > 0 then pos else -1 end as duration from found where pos % 7 <> 0",
     ),
-    "suffix_resolve": (lambda s, d: resolved(s, d).select("playlist_id", "pos", "file"), f"with {ENTRY} select playlist_id, pos, file from found"),
-    "found_missing": (lambda s, d: PL.found_counts(resolved(s, d)), f"with {ENTRY} select playlist_id, count(file) as found, count(*) - count(file) as missing from found group by playlist_id"),
+    "suffix_resolve": (lambda s, d: resolved(s, d).select("playlist_id", "pos", "file"), f"with {RESOLVE} select playlist_id, pos, file from found"),
+    "found_missing": (lambda s, d: PL.found_counts(resolved(s, d)), f"with {RESOLVE} select playlist_id, count(file) as found, count(*) - count(file) as missing from found group by playlist_id"),
     "m3u_write": (
         lambda s, d: PL.write(resolved(s, d), resolved(s, d).select("playlist_id", F.concat("playlist_id", F.lit(": mix.")).alias("name")).distinct(), "m3u8", "/m/lists").select("file_name", F.sha2("content", 256).alias("content")),
-        f"""with {ENTRY}, l as (select playlist_id, pos, '#EXTINF:' || case when duration > 0 then duration else -1 end || ',' || case when artist <> '' then artist || ' - ' else '' end || case when title <> '' then title else lpad(cast(pos as varchar), 7, '0') end || chr(10) || '../' || substr(file, 4) || chr(10) as line from found where file is not null)
-select playlist_id || '- mix.m3u8' as file_name, sha256('#EXTM3U' || chr(10) || string_agg(line, '' order by pos)) as content from l group by playlist_id""",
+        f"""with {RESOLVE}, li as (select playlist_id, pos, '#EXTINF:' || case when duration > 0 then duration else -1 end || ',' || case when artist <> '' then artist || ' - ' else '' end || case when title <> '' then title else lpad(cast(pos as varchar), 7, '0') end || chr(10) || '../' || substr(file, 4) || chr(10) as line from found where file is not null)
+select playlist_id || '- mix.m3u8' as file_name, sha256('#EXTM3U' || chr(10) || string_agg(line, '' order by pos)) as content from li group by playlist_id""",
     ),
     "relative_path": (
         lambda s, d: V.tracks(s, d).select("path", PL.relative(F.col("path"), F.concat(F.lit("/m/"), F.regexp_extract("path", "^/m/([^/]*)", 1), F.lit("/LARGE"))).alias("relative")),
@@ -228,7 +257,7 @@ select playlist_id || '- mix.m3u8' as file_name, sha256('#EXTM3U' || chr(10) ||
     ),
     "fuzzy_join": (
         lambda s, d: blocked(s, d).select("path", F.col("c_pos").alias("pos"), F.round("score", 6).alias("score")),
-        None,
+        FUZZY,
     ),
 }
 
