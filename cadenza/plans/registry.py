@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import function_queries, library_queries, matching_queries
+from . import function_queries, library_queries, matching_queries, source_queries
 
-ALL = library_queries.QUERIES | matching_queries.QUERIES | function_queries.QUERIES
+ALL = library_queries.QUERIES | matching_queries.QUERIES | function_queries.QUERIES | source_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
