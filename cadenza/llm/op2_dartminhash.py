@@ -7,9 +7,10 @@ their weighted Jaccard similarity as probability. Work is in the darts, about K
 
 Links: documents whose lower-cased words give the same sequence are one class; its smallest doc_id stands for it. Classes that share a
 band of ROWS coordinates are candidates. In each bucket they are compared with one pivot, the member that meets most others; where a
-bucket then still holds several components, those outside the largest are held against all others there, first by signature, then
-exactly, in cells of BLOCK x BLOCK rows, each of which gives a forest of its links and never its pairs. A link is a Jaccard similarity of the sets of WORDS-word shingles of at least SIMILARITY. Near-duplicate
-classes are the components of the links. No bucket, partner or candidate is capped.
+bucket then still holds several components, those outside the largest are held against all others there, in cells of BLOCK x BLOCK rows:
+first by signature alone, then the rows that are close to another one in their cell get their texts and are compared exactly. A cell
+gives a forest of its links and never its pairs. A link is a Jaccard similarity of the sets of WORDS-word shingles of at least
+SIMILARITY. Near-duplicate classes are the components of the links. No bucket, partner or candidate is capped.
 
 Texts of fewer than WORDS words are one shingle. Texts without a word, null and empty ones too, link with nothing. Repeated rows of a
 doc_id share their class; rows with a null doc_id are kept, with a null class. An empty table gives no rows. Of the input's columns
@@ -36,9 +37,10 @@ K = BANDS * ROWS
 #: Signatures that agree in a smaller share of coordinates aren't verified: at a similarity of 0.8 that is 4.5 standard deviations.
 LOOSE = 0.6
 #: Rows of a block in which signatures are held against each other.
-BLOCK = 512
+BLOCK = 256
 #: Darts that are expected for a document, so that most signatures are full at once.
 DARTS = K * math.log(K) + 2 * K
+CELL = "bucket long, i int, j int, rep long, component long, left boolean, signature binary, bands array<long>"
 SIGNED = "doc_id long, same binary, bands array<long>, signature binary"
 
 
@@ -177,20 +179,68 @@ def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
 
-def alike(least: float):
-    """A mapInArrow function over sorted rows (bucket, i, j, rep, component, left, signature, bands, data): links that join components.
+class Cell:
+    """Rows (rep, component, left, signature, bands, ...) of a cell (bucket, i, j): the left ones and the right ones, as arrays."""
+
+    def __init__(self, bucket: int, rows: list):
+        self.bucket = bucket
+        self.left, self.right = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+        if self.left and self.right:
+            (self.one, self.other) = (np.frombuffer(b"".join(r[3] for r in side), "<u2").reshape(len(side), K) for side in (self.left, self.right))
+            (self.mine, self.theirs) = (np.array([r[4] for r in side], np.int64) for side in (self.left, self.right))
+            self.theirs_in = np.array([r[1] for r in self.right], np.int64)
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Places on the right that the left row i is held against, best agreement first: of another component, close by signature, and in no bucket before this one together."""
+        near = np.flatnonzero(self.theirs_in != self.left[i][1])
+        agree = (self.other[near] == self.one[i]).sum(axis=1)
+        close = agree >= LOOSE * K
+        near, agree = near[close], agree[close]
+        if len(near):
+            first = (self.theirs[near] == self.mine[i]).argmax(axis=1)
+            here = self.mine[i][first] == self.bucket
+            near = near[here][np.argsort(-agree[here], kind="stable")]
+        return near
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list]]:
+    """Cells of sorted rows (bucket, i, j, ...) and their rows."""
+    held, rows = None, []
+    for batch in batches:
+        for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (bucket, i, j) != held:
+                if rows:
+                    yield held, rows
+                held, rows = (bucket, i, j), []
+            rows.append(row)
+    if rows:
+        yield held, rows
+
+
+def with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (bucket, i, j, rep, component, left, signature, bands) those that have a candidate in their cell."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+    for held, rows in by_cell(batches):
+        cell, kept = Cell(held[0], rows), []
+        if not cell.left or not cell.right:
+            continue
+        hit = np.zeros(len(cell.right), bool)
+        for i, row in enumerate(cell.left):
+            near = cell.candidates(i)
+            if len(near):
+                kept.append((*held, *row))
+                hit[near] = True
+        kept += [(*held, *cell.right[j]) for j in np.flatnonzero(hit).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in enumerate(kinds)], names=CELL.replace(",", "").split()[::2])
 
-    Within a cell (bucket, i, j) left rows are held against right ones in the order of their signatures' agreement, unless both are
-    joined already or share a bucket before this one.
-    """
+
+def alike(least: float):
+    """A mapInArrow function over sorted rows (CELL and data): links that join components; pairs that are joined already aren't compared."""
 
     def links(bucket: int, rows: list, hashes: WordHashes, coder) -> list[tuple[int, int]]:
-        left, right = [r for r in rows if r[2]], [r for r in rows if not r[2]]
-        if not left or not right:
+        cell = Cell(bucket, rows)
+        if not cell.left or not cell.right:
             return []
-        (one, other) = (np.frombuffer(b"".join(r[3] for r in side), "<u2").reshape(len(side), K) for side in (left, right))
-        (mine, theirs) = (np.array([r[4] for r in side], np.int64) for side in (left, right))
-        theirs_in = np.array([r[1] for r in right], np.int64)
         parent: dict[int, int] = {}
         sets: dict[int, np.ndarray] = {}
 
@@ -205,43 +255,24 @@ def alike(least: float):
             return sets[row[0]]
 
         found = []
-        for i, row in enumerate(left):
-            near = np.flatnonzero(theirs_in != row[1])
-            agree = (other[near] == one[i]).sum(axis=1)
-            close = agree >= LOOSE * K
-            near, agree = near[close], agree[close]
-            if len(near):
-                first = (theirs[near] == mine[i]).argmax(axis=1)
-                here = mine[i][first] == bucket
-                near = near[here][np.argsort(-agree[here], kind="stable")]
-            for j in near.tolist():
-                a, b = root(row[1]), root(right[j][1])
+        for i, row in enumerate(cell.left):
+            for j in cell.candidates(i).tolist():
+                a, b = root(row[1]), root(cell.right[j][1])
                 if a != b:
-                    s, t = of(row), of(right[j])
+                    s, t = of(row), of(cell.right[j])
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     if common >= least * (len(s) + len(t) - common):
                         parent[a] = b
-                        found.append((row[0], right[j][0]))
+                        found.append((row[0], cell.right[j][0]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        held, rows, hashes, coder = None, [], WordHashes(), zstandard.ZstdDecompressor()
-
-        def sent() -> pa.RecordBatch:
+        hashes, coder = WordHashes(), zstandard.ZstdDecompressor()
+        for held, rows in by_cell(batches):
             found = links(held[0], rows, hashes, coder)
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, i, j) != held:
-                    if rows:
-                        yield sent()
-                    held, rows = (bucket, i, j), []
-                rows.append(row)
-        if rows:
-            yield sent()
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -276,14 +307,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = cut(shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("top")).filter("parts > 1 and n > 2").select("bucket", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.m")).alias("rest")))
     if not mixed.isEmpty():
         open_ = cut(placed.join(mixed, "bucket"))  # its members have been tried, so their texts are at hand
-        carried = reps.select(F.col("doc_id").alias("rep"), "signature", "bands").join(needed.select(F.col("doc_id").alias("rep"), "data"), "rep")
+        carried = reps.select(F.col("doc_id").alias("rep"), "signature", "bands")
         cell = lambda count: F.floor(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) * F.ceil(F.col(count) / BLOCK) / F.lit(1 << 30)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(count) / BLOCK) - 1).cast("int")))
         minor = open_.filter("component <> largest").withColumn("i", cell("rest")).withColumn("j", every("n")).withColumn("left", F.lit(True))
         major = open_.withColumn("j", cell("n")).withColumn("i", every("rest")).withColumn("left", F.lit(False))
-        cells = minor.unionByName(major).select("bucket", "i", "j", "rep", "component", "left").join(cut(carried), "rep")
-        dealt = cells.select("bucket", "i", "j", "rep", "component", "left", "signature", "bands", "data").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        links = cut(links.unionByName(dealt.mapInArrow(lean(alike(SIMILARITY)), "a long, b long")))
+        in_cells = lambda rows: rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        cells = minor.unionByName(major).select("bucket", "i", "j", "rep", "component", "left").join(carried, "rep").select(*CELL.replace(",", "").split()[::2])
+        near = cut(in_cells(cells).mapInArrow(lean(with_candidates), CELL))  # texts go where a candidate is
+        texts_of = needed.select(F.col("doc_id").alias("rep"), "data")
+        links = cut(links.unionByName(in_cells(near.join(texts_of, "rep").select(*near.columns, "data")).mapInArrow(lean(alike(SIMILARITY)), "a long, b long")))
         label = components(links)
     final = members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     nameless = texts.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("bigint").alias("class_id"))
