@@ -140,9 +140,8 @@ def test_estimates_are_unbiased():
     rng = np.random.default_rng(5)
     x = R.unit(rng.normal(size=(300, 64)))
     q = R.unit(x + 0.3 * rng.normal(size=x.shape))
-    codes, factors = R.coded(x)
-    about, error = R.estimate(q, codes, factors)
-    off = (about - q @ x.T) / error[None, :]
+    about, error = R.estimate(R.sketches(q), R.sketches(x))
+    off = (about - q @ x.T) / error
     assert abs(off.mean()) < 0.05 and 0.7 < off.std() < 1.3 and (np.abs(off) < R.CONFIDENCE).all()
 
 
