@@ -60,15 +60,13 @@ def let(value: Column, body) -> Column:
 
 
 def repeated(c: Column, step, rounds: Column) -> Column:
-    """step applied to a text until nothing changes; `rounds` bounds how often that can be, and the rounds after the last change cost little.
+    """step applied to a text until it gives null, which says that nothing is left to do; `rounds` bounds how often that can be.
 
-    A mark at the end says that nothing changes any more; a fold over structs with a lambda inside keeps Spark from planning Python functions beside it.
+    A mark at the end stops the fold: rounds after that cost little. A fold over structs with a lambda inside would keep Spark from
+    planning Python functions beside it.
     """
     mark = "\x00\x01"
-
-    def again(acc: Column, _: Column) -> Column:
-        return F.when(F.endswith(acc, F.lit(mark)), acc).when(step(acc) == acc, F.concat(acc, F.lit(mark))).otherwise(step(acc))
-
+    again = lambda acc, _: F.when(F.endswith(acc, F.lit(mark)), acc).otherwise(F.coalesce(step(acc), F.concat(acc, F.lit(mark))))
     return F.aggregate(F.sequence(F.lit(1), rounds), c, again, lambda acc: F.when(F.endswith(acc, F.lit(mark)), F.substring(acc, F.lit(1), F.length(acc) - len(mark))).otherwise(acc))
 
 
@@ -234,7 +232,7 @@ def without_translation(c: Column) -> Column:
     def step(name: Column) -> Column:
         at = F.regexp_instr(name, F.lit(rx(W.TRANSLATION)))
         rest, inside = F.substring(name, F.lit(1), at - 1), F.regexp_extract(name, rx(W.TRANSLATION), 1)
-        return F.when((at > 0) & has_non_latin(rest) & ~has_non_latin(inside), go_trim(rest)).otherwise(name)
+        return F.when((at > 0) & has_non_latin(rest) & ~has_non_latin(inside), go_trim(rest))
 
     return let(c, lambda v: repeated(v, step, count_of(v, ")]") + 1))
 
@@ -275,12 +273,8 @@ def is_edition(c: Column) -> Column:
 def strip_album(c: Column) -> Column:
     """Without watermark, disc and all edition qualifiers at the end."""
 
-    def step(value: Column) -> Column:
-        def shorter(v: Column) -> Column:
-            cuts = [F.when(before_match(v, p).isNotNull() & is_edition(F.regexp_extract(v, rx(p), 1)), go_trim(before_match(v, p))) for p in (W.TRAILING_BRACKET, W.TRAILING_DASH)]
-            return F.coalesce(*cuts, v)
-
-        return let(value, shorter)
+    def step(v: Column) -> Column:
+        return F.coalesce(*(F.when(is_edition(F.regexp_extract(v, rx(p), 1)), go_trim(before_match(v, p))) for p in (W.TRAILING_BRACKET, W.TRAILING_DASH)))
 
     return go_trim(let(go_trim(strip_disc(unwatermark(go_trim(c)))), lambda v: repeated(v, step, count_of(v, ")]}-–—") + 1)))
 

@@ -33,7 +33,7 @@ def declared_lyrics(page: Column) -> Column:
 def broken_section(page: Column) -> Column:
     """The section of a page with the most line breaks, the first of several, as markup; '' if that has too few."""
     page = T.replace_all(page, W.HIDDEN_MARKUP)
-    page = T.let(page, lambda v: T.repeated(v, lambda p: T.replace_all(p, W.EMPTY_ELEMENT), T.count_of(v, ">") + 1))
+    page = T.let(page, lambda v: T.repeated(v, lambda p: F.when(T.matches(p, W.EMPTY_ELEMENT), T.replace_all(p, W.EMPTY_ELEMENT)), T.count_of(v, ">") + 1))
     breaks = lambda p: F.size(F.regexp_extract_all(p, F.lit(T.rx(W.LINE_BREAK)), F.lit(0)))
     counted = F.transform(T.split_on(page, W.SECTION_TAG), lambda p, i: F.struct(breaks(p).alias("n"), (-i).alias("i"), p.alias("p")))
     return T.let(F.array_max(counted), lambda x: F.when(x["n"] >= W.BROKEN_LINES, x["p"]).otherwise(""))
