@@ -12,6 +12,8 @@ passes through all stages; repeated rows of a doc_id stay together.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,28 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op7_packing.pack_documents(docs)
 
 
+LOG = logging.getLogger(__name__)
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packing)]
 #: Compression, signatures and tokens have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is a Parquet table in the shared folder until the next one is written."""
+    """The last stage's rows. Each stage's result is a Parquet table in the shared folder until the next one is written.
+
+    Rows in and out of each stage are logged. If a stage fails, the tables written so far are removed.
+    """
     docs, folder = read(spark, sf_dir, "documents"), shared_folder(spark)
-    for i, (name, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
-        if i:
-            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = docs.count()
+    try:
+        for i, (name, stage) in enumerate(STAGES[:-1]):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+            after = docs.count()
+            LOG.info("%s: %d rows in, %d out", name, before, after)
+            before = after
+            if i:
+                remove(spark, f"{folder}/{STAGES[i - 1][0]}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except Exception:
+        remove(spark, folder)
+        raise
