@@ -134,6 +134,18 @@ def names_in_order(names: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
+def albums_in_order(albums: DataFrame, limit: int | None = None) -> DataFrame:
+    """Busiest first, then by name, then by owner; compilations of no owner first among equals."""
+    ordered = albums.orderBy(F.col("tracks").desc(), F.lower("name"), "owner")
+    return ordered.limit(limit) if limit else ordered
+
+
+def junk_in_order(junk: DataFrame, limit: int | None = None) -> DataFrame:
+    """Busiest first; equal ones as they come in the library, which is by their first path."""
+    ordered = junk.orderBy(F.col("tracks").desc(), "first_path")
+    return ordered.limit(limit) if limit else ordered
+
+
 def selected(tracks: DataFrame, names: DataFrame | None = None, only_missing: bool = True) -> DataFrame:
     """Tracks to look words up for: without lyrics, searchable, and by one of `names` (name), if given."""
     from .matching import attempts

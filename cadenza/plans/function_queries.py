@@ -320,4 +320,12 @@ select p_partkey, {similarity(fold('c'), fold('e'))} >= {W.NAME_SCORE} or {simil
         lambda s, d: L.names_in_order(L.artist_reduce(V.tracks(s, d)), 20).select("name", "tracks"),
         f"select name, tracks from ({library_queries.QUERIES['artist_reduce'][1]}) order by tracks desc, lower(name), name limit 20",
     ),
+    "albums_in_order": (
+        lambda s, d: L.albums_in_order(L.albums(V.tracks(s, d))[0].filter("owner is not null"), 20).select("owner", "name", "tracks"),
+        f"select owner, name, tracks from ({library_queries.QUERIES['album_reduce'][1]}) where owner is not null order by tracks desc, lower(name), owner limit 20",
+    ),
+    "junk_in_order": (
+        lambda s, d: L.junk_in_order(L.junk_albums(V.tracks(s, d)), 15).select("value", "tracks", "first_path"),
+        f"select value, tracks, first_path from ({library_queries.QUERIES['junk_albums'][1]}) order by tracks desc, first_path limit 15",
+    ),
 }

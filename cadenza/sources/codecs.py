@@ -456,9 +456,9 @@ def top_boxes(data: bytes) -> list[tuple[bytes, int, int]]:
     """Kind, place and size of the boxes of a file."""
     out, at = [], 0
     while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
         if size == 1 and at + 16 <= len(data):
-            size = struct.unpack_from(">Q", data, at + 8)[0]
+            size = int.from_bytes(data[at + 8 : at + 16])
         size = size or len(data) - at
         if size < 8:
             break

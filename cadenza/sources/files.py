@@ -1,7 +1,8 @@
 """Audio files as rows: from bytes that Spark has read, or by walking a folder with the `tags` data source; and plans written back.
 
 Every file is a track or a failure, none is lost. Reading from bytes works on any store that Spark reads, but Spark's own listing leaves out
-names that begin with `_` or `.`; the data source lists what a walk would, and needs the folder on every executor.
+names that begin with `_` or `.`, and a file has to fit into a row. The data source lists what a walk would, reads only the ranges that hold
+tags, whatever a file's size, and needs the folder on every executor.
 """
 
 from __future__ import annotations
@@ -70,9 +71,35 @@ def walk(root: str, profile: str = "desktop") -> list[str]:
     return sorted(out)
 
 
+class Ranged:
+    """A file as the codecs see bytes, of which only the slices that they ask for are read."""
+
+    def __init__(self, path: str):
+        self.path, self.size, self.file = path, os.path.getsize(path), None
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key):
+        if isinstance(key, int):
+            return self[key : key + 1][0] if key >= 0 else self[self.size + key : self.size + key + 1][0]
+        start, stop, _ = key.indices(self.size)
+        self.file.seek(start)
+        return self.file.read(max(0, stop - start))
+
+    def __enter__(self) -> Ranged:
+        self.file = open(self.path, "rb")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+
 class Slice(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files, and a folder that the task walks itself."""
+
+    def __init__(self, paths: list[str], folder: str | None = None):
+        self.paths, self.folder = paths, folder
 
 
 class TagReader(DataSourceReader):
@@ -81,15 +108,29 @@ class TagReader(DataSourceReader):
         self.per_task = int(options.get("filesPerTask", "500"))
 
     def partitions(self) -> list[Slice]:
-        paths = walk(self.root, self.profile)
-        return [Slice(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [Slice([])]
+        """The driver lists the folder itself only; a task walks each folder in it."""
+        paths, folders = [], []
+        for e in sorted(os.scandir(self.root), key=lambda e: e.path):
+            if not e.is_dir():
+                paths += [e.path] if codecs.format_of(e.name) else []
+            elif not e.is_symlink() and not e.name.startswith(".") and e.name not in SKIPPED[self.profile]:
+                folders.append(e.path)
+        return [Slice(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] + [Slice([], f) for f in folders] or [Slice([])]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        for path in partition.paths:
-            row = row_of(path, lambda p=path: open(p, "rb").read())
+        for path in partition.paths or (walk(partition.folder, self.profile) if partition.folder else ()):
+            row = ranged_row(path)
             yield tuple(row[n] for n in NAMES)
 
 
+def ranged_row(path: str) -> dict:
+    try:
+        with Ranged(path) as data:
+            return row_of(path, lambda: data)
+    except OSError as e:
+        return dict.fromkeys(NAMES) | {"path": path, "error": f"{type(e).__name__}: {e}"}
+
+
 class TagSource(DataSource):
     """spark.read.format("tags").option("profile", "desktop" or "phone").load(folder)"""
 
