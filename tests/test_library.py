@@ -21,13 +21,13 @@ def library(spark):
 
 
 def test_artist_reduction(library):
-    names = ["Juice WRLD", "juice wrld", "Juice WRLD feat. Future", "Juice WRLD & Young Thug", "JUICE WRLD", "Кино", "кино"]
+    names = ["Oda Brask", "oda brask", "Oda Brask feat. Une", "Oda Brask & Nil Kite", "ODA BRASK", "Ясень", "ясень"]
     t = library(*({"artist": n, "album": "A" if i < 3 else "B"} for i, n in enumerate(names)))
     got = {r.name: r for r in L.artist_reduce(t).collect()}
-    assert set(got) == {"Juice WRLD", "Кино"}
-    assert (got["Juice WRLD"].tracks, got["Juice WRLD"].albums, got["Juice WRLD"].sources) == (5, 2, 5)
+    assert set(got) == {"Oda Brask", "Ясень"}
+    assert (got["Oda Brask"].tracks, got["Oda Brask"].albums, got["Oda Brask"].sources) == (5, 2, 5)
     kinds = {r.value: r.kind for r in L.artist_sources(t).collect()}
-    assert kinds == {"Juice WRLD": "exact", "juice wrld": "spelling", "Juice WRLD feat. Future": "feature", "Juice WRLD & Young Thug": "separator", "JUICE WRLD": "spelling", "Кино": "exact", "кино": "spelling"}
+    assert kinds == {"Oda Brask": "exact", "oda brask": "spelling", "Oda Brask feat. Une": "feature", "Oda Brask & Nil Kite": "separator", "ODA BRASK": "spelling", "Ясень": "exact", "ясень": "spelling"}
 
 
 def test_best_spelling_is_settled(library):
@@ -59,8 +59,8 @@ def test_albums_stay_apart(library):
 def test_compilations(library):
     albums, _ = L.albums(library({"artist": "A", "album": "Now 50", "compilation": True}, {"artist": "B", "album": "Now 50", "compilation": True}))
     assert [(r.owner, r.artist, r.tracks) for r in albums.collect()] == [(None, "Various artists", 2)]
-    stray, _ = L.albums(library({"artist": "Juice WRLD", "album": "X"}, {"artist": "Juice WRLD", "album": "X"}, {"artist": "Y", "album": "X", "compilation": True}))
-    assert [(r.owner, r.artist, r.tracks) for r in stray.collect()] == [("juicewrld", "Juice WRLD", 3)]
+    stray, _ = L.albums(library({"artist": "Oda Brask", "album": "X"}, {"artist": "Oda Brask", "album": "X"}, {"artist": "Y", "album": "X", "compilation": True}))
+    assert [(r.owner, r.artist, r.tracks) for r in stray.collect()] == [("odabrask", "Oda Brask", 3)]
 
 
 def test_junk(library):
