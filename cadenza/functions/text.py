@@ -495,7 +495,8 @@ def summarise(c: Column) -> Column:
 
 
 def megabytes(c: Column) -> Column:
-    return F.format_string("%.1f MB", c / F.lit(1048576.0))
+    """Ties go to the even digit, as they are exact in binary; Java's own format rounds them up. Tenths are exact below 2^50 bytes."""
+    return F.format_string("%.1f MB", F.rint(c / F.lit(1048576.0) * 10) / 10)
 
 
 def clean_text(c: Column) -> Column:

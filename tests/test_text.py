@@ -206,3 +206,7 @@ def test_small_functions(apply):
     assert apply(T.megabytes, [(13526630,)], kinds=["bigint"]) == ["12.9 MB"]
     assert apply(T.summarise, ["a" * 60 + "\nb", " x "]) == ["a" * 48 + "…", "x"]
     assert apply(T.go_trim, ["\u00a0 x\u3000\n"]) == ["x"]
+
+
+def test_megabytes_round_ties_to_even(apply):
+    assert apply(T.megabytes, [(262144,), (786432,), (1310720,), (1835008,)], kinds=["bigint"]) == ["0.2 MB", "0.8 MB", "1.2 MB", "1.8 MB"]
