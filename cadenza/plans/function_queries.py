@@ -188,9 +188,9 @@ def links(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def itunes_lines(spark, sf_dir: str) -> DataFrame:
-    """A tab-separated export for each brand: a heading, then a line a part."""
+    """A tab-separated export for each brand: a heading, then a line a part; keys start at 0, so the heading's line comes before."""
     p = read(spark, sf_dir, "part")
-    head = p.select(F.col("p_brand").alias("playlist_id")).distinct().select("playlist_id", F.lit(0).cast("bigint").alias("pos"), F.lit("Name\tArtist\tAlbum\tDauer\tSize\tLocation").alias("line"))
+    head = p.select(F.col("p_brand").alias("playlist_id")).distinct().select("playlist_id", F.lit(-1).cast("bigint").alias("pos"), F.lit("Name\tArtist\tAlbum\tDauer\tSize\tLocation").alias("line"))
     place = F.when(F.col("p_partkey") % 6 == 0, "").otherwise(F.concat(F.lit("D:\\m\\"), "p_name"))
     return head.unionByName(p.select(F.col("p_brand").alias("playlist_id"), F.col("p_partkey").alias("pos"), F.concat_ws("\t", "p_name", "p_type", F.lit("al"), F.col("p_size").cast("string"), F.lit("1"), place).alias("line")))
 

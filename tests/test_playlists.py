@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrow as A
 from cadenza.operators import playlists as P
+from cadenza.plans import function_queries
 from cadenza.sources import files as FI
 from cadenza.sources import messages as S
 from cadenza.streaming import progress
@@ -149,3 +150,11 @@ def test_throttled_reports(spark):
     rows = [("j", i, stage, ms, done, 9) for i, (stage, ms, done) in enumerate([("a", 0, 1), ("a", 50, 2), ("a", 79, 3), ("a", 80, 4), ("a", 90, 9), ("b", 91, 1), ("b", 120, 2)])] + [("k", 9, "a", 5, 1, 9)]
     got = progress.throttled(spark.createDataFrame(rows, "job string, no int, stage string, ms bigint, done int, total int")).collect()
     assert sorted(r.no for r in got) == [0, 3, 4, 5, 9]
+
+
+def test_lines_of_an_export_have_a_place_each(spark):
+    """A heading that shares its place with a part's line is the first of them by chance only."""
+    got = function_queries.itunes_lines(spark, "/root/testdata/sf0.001")
+    assert got.groupBy("playlist_id", "pos").count().filter("count > 1").collect() == []
+    first = got.groupBy("playlist_id").agg(F.min_by("line", "pos").alias("line")).collect()
+    assert first and all(r.line.startswith("Name\t") for r in first)
