@@ -148,7 +148,8 @@ def resolve(entries: DataFrame, files: DataFrame, root: str, folder: str = "") -
 
     A file whose whole path is meant literally goes first; otherwise the longest tail of the entry's path that is known counts, if it is
     one file's or has several parts (then the first file's). A location is tried as it is, then trimmed. Both sides meet by equal
-    keys; the index is reduced to one row a key and a tail before it is joined.
+    keys; the index is reduced to one row a key and a tail before it is joined. Both sides are sorted: their sizes are estimated by those
+    of compressed files, so that either could be sent whole to the driver.
     """
     base = "" if root == "/" else root.rstrip("/")
     index = file_index(files)
@@ -157,12 +158,12 @@ def resolve(entries: DataFrame, files: DataFrame, root: str, folder: str = "") -
     exact = paths.select("playlist_id", "pos", "try", F.posexplode(literal_paths(F.col("p"), F.lit(folder))).alias("no", "full"))
     prefix = base.lower() + "/"
     exact = exact.select("playlist_id", "pos", "try", "no", path_key(F.col("full")).alias("full")).filter(F.startswith("full", F.lit(prefix)))
-    exact = exact.select("playlist_id", "pos", "try", F.col("no").alias("rank"), F.substring("full", F.lit(len(prefix) + 1), F.length("full")).alias("key")).join(index, "key").select("playlist_id", "pos", "try", F.lit(0).alias("step"), "rank", "rel")
+    exact = exact.select("playlist_id", "pos", "try", F.col("no").alias("rank"), F.substring("full", F.lit(len(prefix) + 1), F.length("full")).alias("key")).join(index.hint("merge"), "key").select("playlist_id", "pos", "try", F.lit(0).alias("step"), "rank", "rel")
     known = index.select("rel", "ord", F.explode(tails(F.split("key", "/", -1))).alias("t")).groupBy("t.tail").agg(F.min_by("rel", "ord").alias("rel"), F.count("*").alias("files"))
     wanted = paths.select("playlist_id", "pos", "try", F.explode(tails(components(path_key(F.col("p"))))).alias("t")).select("playlist_id", "pos", "try", "t.n", "t.tail")
-    near = wanted.join(known, "tail").filter("files = 1 or n > 1").select("playlist_id", "pos", "try", F.lit(1).alias("step"), (-F.col("n")).alias("rank"), "rel")
+    near = wanted.join(known.hint("merge"), "tail").filter("files = 1 or n > 1").select("playlist_id", "pos", "try", F.lit(1).alias("step"), (-F.col("n")).alias("rank"), "rel")
     found = exact.unionByName(near).groupBy("playlist_id", "pos").agg(F.min_by("rel", F.struct("try", "step", "rank")).alias("rel"))
-    return entries.join(found, ["playlist_id", "pos"], "left").withColumn("file", F.concat(F.lit(base + "/"), "rel")).drop("rel")
+    return entries.join(found.hint("merge"), ["playlist_id", "pos"], "left").withColumn("file", F.concat(F.lit(base + "/"), "rel")).drop("rel")
 
 
 def found_counts(resolved: DataFrame) -> DataFrame:
@@ -240,41 +241,68 @@ def shown_title(title: Column, file: Column) -> Column:
 TARGETS = {"android": "m3u", "itunes": "xml", "m3u8": "m3u8", "wpl": "wpl", "xspf": "xspf", "pls": "pls"}
 
 
+#: Lines of a playlist that are put together at a time.
+CHUNK = 1000
+
+
 def write(resolved: DataFrame, names: DataFrame, target: str, folder: str, windows: bool = False) -> DataFrame:
     """playlist_id, file_name and content of each playlist (names: playlist_id, name) with a found entry, for one of TARGETS.
 
-    Entries of one playlist come together in one row; a playlist is bounded by what a player can read.
+    Names meet entries before these come together, and by a sort: sizes of rows that hold many others are underestimated, and such a side
+    would be sent to the driver.
+    Entries are numbered by a sort that spills and become text one by one; texts of CHUNK entries, then of a playlist, are joined. A file's
+    text is one row, so a playlist is bounded by what a player can read.
     """
     path = relative(F.col("file"), F.lit(folder))
-    local = F.replace(path, F.lit("/"), F.lit("\\")) if windows else path
     title, artist = shown_title(F.col("title"), F.col("file")), one_line(F.coalesce("artist", F.lit("")))
     seconds = F.when(F.col("duration") > 0, F.col("duration")).otherwise(-1)
-    part = F.struct("pos", path.alias("path"), local.alias("local"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))
-    lists = resolved.filter("file is not null").groupBy("playlist_id").agg(F.array_sort(F.collect_list(part)).alias("all")).join(names, "playlist_id")
+    rows = resolved.filter("file is not null").select("playlist_id", "pos", path.alias("path"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))
+    keys = ["playlist_id", "name"]
+    rows = rows.join(names.select(*keys).distinct().hint("merge"), "playlist_id")
+    order = Window.partitionBy(*keys).orderBy("pos", "path", "title", "artist", "seconds", "url")
+    lines = rows.withColumn("no", F.row_number().over(order)).select(*keys, "no", F.floor((F.col("no") - 1) / CHUNK).alias("chunk"), entry(target, windows).alias("line"))
+    joined = lambda no, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(no, text))), lambda x: x[text]), "")
+    chunks = lines.groupBy(*keys, "chunk").agg(joined("no", "line").alias("lines"), F.max("no").cast("int").alias("n"))
+    lists = chunks.groupBy(*keys).agg(joined("chunk", "lines").alias("lines"), F.max("n").alias("n"))
     return lists.select("playlist_id", F.concat(safe_name(F.col("name")), F.lit("." + TARGETS[target])).alias("file_name"), rendered(target).alias("content"))
 
 
-def rendered(target: str) -> Column:
-    rows, name = F.col("all"), xml_escape(F.col("name"))
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    each = lambda body: F.array_join(F.transform(rows, body), "")
+def text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def entry(target: str, windows: bool) -> Column:
+    """What a file of the target says of one entry."""
+    x, i = F.col, F.col("no")
+    local = F.replace(x("path"), F.lit("/"), F.lit("\\")) if windows else x("path")
     given = lambda c, *parts: F.when(c, text(*parts)).otherwise("")
     if target == "android":
-        return text("#EXTM3U\n", each(lambda x: text(x["path"], "\n")))
+        return text(x("path"), "\n")
     if target == "m3u8":
-        return text("#EXTM3U\n", each(lambda x: text("#EXTINF:", x["seconds"], ",", given(x["artist"] != "", x["artist"], " - "), x["title"], "\n", x["local"], "\n")))
+        return text("#EXTINF:", x("seconds"), ",", given(x("artist") != "", x("artist"), " - "), x("title"), "\n", local, "\n")
+    if target == "pls":
+        return text("File", i, "=", local, "\nTitle", i, "=", x("title"), "\nLength", i, "=", x("seconds"), "\n")
+    if target == "xspf":
+        return text("    <track>\n      <location>", xml_escape(uri_path(x("path"))), "</location>\n      <title>", xml_escape(x("title")), "</title>\n", given(x("artist") != "", "      <creator>", xml_escape(x("artist")), "</creator>\n"), given(x("seconds") > 0, "      <duration>", x("seconds") * 1000, "</duration>\n"), "    </track>\n")
+    if target == "wpl":
+        return text('            <media src="', xml_escape(F.replace(x("path"), F.lit("/"), F.lit("\\"))), '"/>\n')
+    number = lambda key, value: ("\t\t\t<key>", key, "</key><integer>", value, "</integer>\n")
+    string = lambda key, value: ("\t\t\t<key>", key, "</key><string>", xml_escape(value), "</string>\n")
+    return text("\t\t<key>", i, "</key>\n\t\t<dict>\n", *number("Track ID", i), *string("Name", x("title")), given(x("artist") != "", *string("Artist", x("artist"))), given(x("seconds") > 0, *number("Total Time", x("seconds") * 1000)), *string("Location", x("url")), "\t\t</dict>\n")
+
+
+def rendered(target: str) -> Column:
+    """A file's text: the lines of its n entries with what stands before and after them."""
+    lines, n, name = F.col("lines"), F.col("n"), xml_escape(F.col("name"))
+    if target in ("android", "m3u8"):
+        return text("#EXTM3U\n", lines)
     if target == "pls":
-        return text("[playlist]\n", each(lambda x, i: text("File", i + 1, "=", x["local"], "\nTitle", i + 1, "=", x["title"], "\nLength", i + 1, "=", x["seconds"], "\n")), "NumberOfEntries=", F.size(rows), "\nVersion=2\n")
+        return text("[playlist]\n", lines, "NumberOfEntries=", n, "\nVersion=2\n")
     if target == "xspf":
-        track = lambda x: text("    <track>\n      <location>", xml_escape(uri_path(x["path"])), "</location>\n      <title>", xml_escape(x["title"]), "</title>\n", given(x["artist"] != "", "      <creator>", xml_escape(x["artist"]), "</creator>\n"), given(x["seconds"] > 0, "      <duration>", x["seconds"] * 1000, "</duration>\n"), "    </track>\n")
-        return text('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>', name, "</title>\n  <trackList>\n", each(track), "  </trackList>\n</playlist>\n")
+        return text('<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n  <title>', name, "</title>\n  <trackList>\n", lines, "  </trackList>\n</playlist>\n")
     if target == "wpl":
-        media = lambda x: text('            <media src="', xml_escape(F.replace(x["path"], F.lit("/"), F.lit("\\"))), '"/>\n')
-        head = ('<?wpl version="1.0"?>\n<smil>\n    <head>\n        <meta name="ItemCount" content="', F.size(rows), '"/>\n        <title>', name, "</title>\n    </head>\n    <body>\n        <seq>\n")
-        return text(*head, each(media), "        </seq>\n    </body>\n</smil>\n")
-    number = lambda key, value: text("\t\t\t<key>", key, "</key><integer>", value, "</integer>\n")
-    string = lambda key, value: text("\t\t\t<key>", key, "</key><string>", xml_escape(value), "</string>\n")
-    track = lambda x, i: text("\t\t<key>", i + 1, "</key>\n\t\t<dict>\n", number("Track ID", i + 1), string("Name", x["title"]), F.when(x["artist"] != "", string("Artist", x["artist"])).otherwise(""), F.when(x["seconds"] > 0, number("Total Time", x["seconds"] * 1000)).otherwise(""), string("Location", x["url"]), "\t\t</dict>\n")
-    item = lambda x, i: text("\t\t\t\t<dict><key>Track ID</key><integer>", i + 1, "</integer></dict>\n")
+        head = ('<?wpl version="1.0"?>\n<smil>\n    <head>\n        <meta name="ItemCount" content="', n, '"/>\n        <title>', name, "</title>\n    </head>\n    <body>\n        <seq>\n")
+        return text(*head, lines, "        </seq>\n    </body>\n</smil>\n")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: text("\t\t\t\t<dict><key>Track ID</key><integer>", i, "</integer></dict>\n")), "")
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE plist PUBLIC "-//Apple//DTD PLIST 1.0//EN" "http://www.apple.com/DTDs/PropertyList-1.0.dtd">\n<plist version="1.0">\n<dict>\n\t<key>Tracks</key>\n\t<dict>\n'
-    return text(head, each(track), "\t</dict>\n\t<key>Playlists</key>\n\t<array>\n\t\t<dict>\n\t\t\t<key>Name</key><string>", name, "</string>\n\t\t\t<key>Playlist Items</key>\n\t\t\t<array>\n", each(item), "\t\t\t</array>\n\t\t</dict>\n\t</array>\n</dict>\n</plist>\n")
+    return text(head, lines, "\t</dict>\n\t<key>Playlists</key>\n\t<array>\n\t\t<dict>\n\t\t\t<key>Name</key><string>", name, "</string>\n\t\t\t<key>Playlist Items</key>\n\t\t\t<array>\n", items, "\t\t\t</array>\n\t\t</dict>\n\t</array>\n</dict>\n</plist>\n")

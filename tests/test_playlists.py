@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrow as A
 from cadenza.operators import playlists as P
-from cadenza.plans import function_queries
+from cadenza.plans import function_queries, registry
 from cadenza.sources import files as FI
 from cadenza.sources import messages as S
 from cadenza.streaming import progress
@@ -158,3 +158,20 @@ def test_lines_of_an_export_have_a_place_each(spark):
     assert got.groupBy("playlist_id", "pos").count().filter("count > 1").collect() == []
     first = got.groupBy("playlist_id").agg(F.min_by("line", "pos").alias("line")).collect()
     assert first and all(r.line.startswith("Name\t") for r in first)
+
+
+def test_more_entries_than_are_put_together_at_a_time(spark):
+    listed = spark.range(2 * P.CHUNK + 5).selectExpr("'p' as playlist_id", "cast(id as int) as pos", "'t' as title", "'' as artist", "-1 as duration", "concat('/m/', id, '.mp3') as file").repartition(7)
+    got = P.write(listed, spark.createDataFrame([("p", "n")], "playlist_id string, name string"), "pls", "/m").first().content
+    want = "".join(f"File{i + 1}={i}.mp3\nTitle{i + 1}=t\nLength{i + 1}=-1\n" for i in range(2 * P.CHUNK + 5))
+    assert got == f"[playlist]\n{want}NumberOfEntries={2 * P.CHUNK + 5}\nVersion=2\n"
+
+
+#: Their lists, files and found entries are estimated as too small at any size, so that a plan with a broadcast fills the driver.
+WRITERS = ["android_write"]
+
+
+@pytest.mark.parametrize("name", WRITERS)
+def test_nothing_of_a_written_list_goes_to_the_driver(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastExchange" not in plan
