@@ -168,7 +168,7 @@ def test_more_entries_than_are_put_together_at_a_time(spark):
 
 
 #: Their lists, files and found entries are estimated as too small at any size, so that a plan with a broadcast fills the driver.
-WRITERS = ["android_write", "itunes_write", "m3u_write", "pls_write", "wpl_write"]
+WRITERS = ["android_write", "itunes_write", "m3u_write", "pls_write", "wpl_write", "xspf_write"]
 
 
 @pytest.mark.parametrize("name", WRITERS)
