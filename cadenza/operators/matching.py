@@ -110,17 +110,46 @@ def title_pairs(tries: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.filter(F.col("key") == F.get(F.array_intersect("title_keys", "c_title_keys"), F.lit(0))).select("title", "c_title")
 
 
+#: What scores depend on, of either side; and how many rows that agree in it are held together.
+ASKED = ("artist", "title", "qualifiers", "guests", "duration")
+KNOWN = ("artist", "title", "duration", "hook", "sameAlbum")
+ALIKE = 1000
+
+
+def alike(rows: DataFrame, on: list[str], names: tuple[str, ...], of: str) -> DataFrame:
+    """Rows that agree in `on` and those of `names` that there are as one, with an array of what else they have; ALIKE at most, others in further ones."""
+    by = [*on, *(n for n in names if n in rows.columns and n not in on)]
+    no = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    dealt = rows.repartition(*on).withColumn("__chunk", F.floor((no - 1) / ALIKE))
+    return dealt.groupBy(*by, "__chunk").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in by))).alias(of)).drop("__chunk")
+
+
+def scored_alike(tries: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
+    """scored() by equal `on`: each pair of names and durations is scored once, whatever the number of rows that have it, and then expanded.
+
+    Neither side is broadcast, as rows with arrays are larger than estimated.
+    """
+    left, right = query_side(alike(tries, on, ASKED, "__q")), candidate_side(alike(candidates, on, KNOWN, "__c"))
+    q_own, c_own = [c for c in left.columns if c not in (*on, "__q", "q")], [c for c in right.columns if c not in (*on, "__c", "c")]
+    right = right.select(*on, *(F.col(k).alias(f"c_{k}") for k in c_own), "__c", "c")
+    qualified = F.size(F.array_except(F.col("q.qualifiers"), F.col("c.stems"))) == 0
+    pairs = left.join(right.hint("merge"), on).withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
+    rows = pairs.withColumn("__q", F.explode("__q")).withColumn("__c", F.explode("__c"))
+    own = [F.col(k) if k in q_own else F.col(f"__q.{k}").alias(k) for k in tries.columns if k not in on]
+    known = [F.col(f"c_{k}") if k in c_own else F.col(f"__c.{k}").alias(f"c_{k}") for k in candidates.columns if k not in on]
+    return rows.select(*on, *own, *known, "score", "qualified")
+
+
 def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Attempts with the candidates that share `on` (or else a block key of the title), and their score.
 
     With block keys distinct titles meet first, and rows are joined to the pairs of titles that do; no side is compared as a whole with the other.
     """
-    left, right = query_side(tries), candidate_side(candidates)
-    right = right.select(*([F.col(k).alias(k) for k in on or []]), *(F.col(k).alias(f"c_{k}") for k in candidates.columns if k not in (on or [])), "c")
     if on:
-        pairs = left.join(right, on)
-    else:
-        pairs = left.join(title_pairs(tries, candidates), "title").join(right, "c_title")
+        return scored_alike(tries, candidates, on)
+    left, right = query_side(tries), candidate_side(candidates)
+    right = right.select(*(F.col(k).alias(f"c_{k}") for k in candidates.columns), "c")
+    pairs = left.join(title_pairs(tries, candidates), "title").join(right, "c_title")
     qualified = F.size(F.array_except(F.col("q.qualifiers"), F.col("c.stems"))) == 0
     return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
 

@@ -131,3 +131,16 @@ def test_markup(apply):
 @pytest.mark.parametrize("code,again", [(429, True), (503, True), (404, False), (200, False)])
 def test_retryable(spark, code, again):
     assert spark.range(1).select(M.retryable(F.lit(code))).first()[0] is again
+
+
+def test_rows_alike_are_scored_once(spark, monkeypatch):
+    """Every pair of rows comes out, also beyond what one array holds; the join meets distinct names only."""
+    monkeypatch.setattr(M, "ALIKE", 4)
+    q = spark.range(9).selectExpr("cast(id as string) as path", "0 as attempt", "'Oda Brask' as artist", "'Low Tide' as title", "cast(array() as array<string>) as qualifiers", "cast(array() as array<string>) as guests", "cast(if(id = 8, null, 240) as double) as duration", "1 as k")
+    c = spark.range(6).selectExpr("cast(id as int) as pos", "'Oda Brask' as artist", "if(id = 0, 'Lover', 'Low Tide') as title", "240.0D as duration", "1 as k")
+    got = M.scored(q, c, ["k"])
+    assert got.columns == ["k", "path", "attempt", "artist", "title", "qualifiers", "guests", "duration", "c_pos", "c_artist", "c_title", "c_duration", "score", "qualified"]
+    rows = got.collect()
+    assert sorted((r.path, r.c_pos) for r in rows) == [(str(p), n) for p in range(9) for n in range(6)]
+    assert all((r.score == 1) == (r.c_pos > 0) for r in rows)
+    assert {r.n for r in M.alike(q, ["k"], M.ASKED, "of").select(F.size("of").alias("n")).collect()} == {4, 1}
