@@ -154,24 +154,56 @@ def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None)
     return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
 
 
-def find_best(pairs: DataFrame) -> DataFrame:
-    """The accepted candidate of each path, or the closest one that is worth a mention.
+def choices(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, with what the searches of one attempt come to: `best`, the accepted candidate (or null), and `near`, the closest; both start with their order.
 
-    Pairs: path, attempt, score, qualified and c_round, c_source, c_pos, c_title, c_lyrics. In each search of a source only its best
-    candidate with words counts, even if these come to nothing when tidied; the first search that gives the wanted recording ends it, else
-    the highest score wins. Rounds after the first search with the first attempt only.
+    Keys tell the attempt. In each search of a source only its best candidate with words counts, even if these come to nothing when tidied;
+    a best one below the least score is none, so only candidates with that score are sorted.
     """
     searched = pairs.filter((F.col("c_round") == 0) | (F.col("attempt") == 0))
-    search = F.struct("c_round", "attempt", "c_source", "c_pos")
-    one = Window.partitionBy("path", "c_round", "attempt", "c_source").orderBy(F.col("score").desc(), "c_pos")
-    worded = searched.filter("c_lyrics <> ''").withColumn("no", F.row_number().over(one)).filter("no = 1").withColumn("words", T.tidy_lyrics(F.col("c_lyrics")))
-    good = worded.filter((F.col("score") >= W.MIN_SCORE) & (F.col("words") != ""))
-    order = F.struct(~F.col("qualified"), F.when(F.col("qualified"), F.lit(0.0)).otherwise(-F.col("score")), search)
-    best = good.groupBy("path").agg(F.min_by(F.struct("score", F.col("c_title").alias("title"), "words", F.col("c_source").alias("source")), order).alias("best"))
-    closest = searched.groupBy("path").agg(F.min_by(F.struct("score", F.col("c_title").alias("title")), F.struct(-F.col("score"), search)).alias("near"))
+    one = Window.partitionBy(*keys, "c_round", "c_source").orderBy(F.col("score").desc(), "c_pos")
+    able = searched.filter((F.col("c_lyrics") != "") & (F.col("score") >= W.MIN_SCORE))
+    worded = able.withColumn("no", F.row_number().over(one)).filter("no = 1").withColumn("words", T.tidy_lyrics(F.col("c_lyrics"))).filter("words <> ''")
+    place, named = ("c_round", "c_source", "c_pos"), ("score", F.col("c_title").alias("title"))
+    best = F.struct((~F.col("qualified")).alias("other"), F.when(F.col("qualified"), F.lit(0.0)).otherwise(-F.col("score")).alias("worse"), *place, *named, "words")
+    near = F.struct((-F.col("score")).alias("worse"), *place, *named)
+    found = worded.groupBy(*keys).agg(F.min(best).alias("best")).withColumn("near", F.lit(None).cast(searched.select(near.alias("x")).schema["x"].dataType))
+    closest = searched.groupBy(*keys).agg(F.min(near).alias("near")).withColumn("best", F.lit(None).cast(found.schema["best"].dataType))
+    return found.unionByName(closest).groupBy(*keys).agg(F.min("best").alias("best"), F.min("near").alias("near"))
+
+
+def decided(chosen: DataFrame) -> DataFrame:
+    """One row a path of the choices of its attempts (path, attempt, best, near)."""
+    first = lambda x, *order: F.min(F.when(F.col(x).isNotNull(), F.struct(*(F.col(f"{x}.{o}") for o in order), F.struct(f"{x}.c_round", "attempt", f"{x}.c_source", f"{x}.c_pos").alias("search"), F.col(x).alias("it")))).alias(x)
+    rows = chosen.groupBy("path").agg(first("best", "other", "worse"), first("near", "worse")).select("path", F.col("best.it").alias("best"), F.col("near.it").alias("near"))
     near = F.when(F.col("near.score") >= W.MENTION_SCORE, F.col("near.title"))
-    joined = closest.join(best, "path", "left")
-    return joined.select("path", F.when(F.col("best").isNotNull(), "found").otherwise("missing").alias("status"), F.coalesce("best.title", near).alias("title"), F.coalesce("best.score", "near.score").alias("score"), F.col("best.source").alias("source"), F.col("best.words").alias("lyrics"))
+    return rows.select("path", F.when(F.col("best").isNotNull(), "found").otherwise("missing").alias("status"), F.coalesce("best.title", near).alias("title"), F.coalesce("best.score", "near.score").alias("score"), F.col("best.c_source").alias("source"), F.col("best.words").alias("lyrics"))
+
+
+def find_best(pairs: DataFrame) -> DataFrame:
+    """The accepted candidate of each path, or the closest one that is worth a mention.
+
+    Pairs: path, attempt, score, qualified and c_round, c_source, c_pos, c_title, c_lyrics. The first search that gives the wanted recording
+    ends it, else the highest score wins. Rounds after the first search with the first attempt only.
+    """
+    return decided(choices(pairs, ["path", "attempt"]))
+
+
+def best_of(tries: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
+    """find_best(scored(tries, candidates, on)) without its pairs of rows.
+
+    Attempts that agree in all that a score depends on come to one choice, and of candidates of a search that agree in it only the first
+    with words and the first without can be chosen. So these meet, and choices are given to the attempts that they hold for.
+    """
+    form = F.struct(*on, *(n for n in ASKED if n in tries.columns and n not in on), (F.col("attempt") == 0).alias("first"))
+    asked = tries.select("*", form.alias("form"))
+    once = asked.select(*on, *(n for n in ASKED if n in tries.columns and n not in on), F.when(F.col("attempt") == 0, 0).otherwise(1).alias("attempt"), "form").distinct()
+    by = list(dict.fromkeys([*on, *(n for n in KNOWN if n in candidates.columns), "round", "source"]))
+    rest = [c for c in candidates.columns if c not in by]
+    worded = F.coalesce(F.col("lyrics") != "", F.lit(False))
+    known = candidates.withColumn("worded", worded).groupBy(*by, "worded").agg(F.min_by(F.struct(*rest), "pos").alias("it")).select(*by, "it.*").select(*candidates.columns)
+    chosen = choices(scored(once, known, on), [*on, "form", "attempt"]).drop("attempt", *on)
+    return decided(asked.select("path", "attempt", "form").join(chosen.hint("merge"), "form"))
 
 
 def opened(pairs: DataFrame, rule: str) -> DataFrame:

@@ -203,7 +203,7 @@ QUERIES = {
     ),
     "match_score": (lambda s, d: match_pairs(s, d).select("path", F.col("c_pos").alias("pos"), F.round("score", 6).alias("score"), "qualified"), f"with {SIDES} select path, pos, round(score, 6) as score, qualified from scored"),
     "find_best": (
-        lambda s, d: M.find_best(match_pairs(s, d)).select("path", "status", "title", F.round("score", 6).alias("score"), "source"),
+        lambda s, d: M.best_of(tries(s, d), V.candidates(s, d), ["brand", "size"]).select("path", "status", "title", F.round("score", 6).alias("score"), "source"),
         f"""with {SIDES},
 w as (select *, row_number() over (partition by path, round, source order by score desc, pos) as no, {tidy('lyrics')} as words from scored where lyrics <> ''),
 good as (select * from w where no = 1 and score >= {W.MIN_SCORE} and words <> ''),

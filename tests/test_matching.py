@@ -144,3 +144,14 @@ def test_rows_alike_are_scored_once(spark, monkeypatch):
     assert sorted((r.path, r.c_pos) for r in rows) == [(str(p), n) for p in range(9) for n in range(6)]
     assert all((r.score == 1) == (r.c_pos > 0) for r in rows)
     assert {r.n for r in M.alike(q, ["k"], M.ASKED, "of").select(F.size("of").alias("n")).collect()} == {4, 1}
+
+
+def test_best_of_names_agrees_with_best_of_pairs(spark):
+    """Attempts that are alike and several of one path, unknown durations, candidates without words and in later rounds."""
+    q = spark.range(24).selectExpr("cast(id div 2 as string) as path", "cast(id % 2 as int) as attempt", "if(id % 3 = 0, 'Oda Brask', 'Mira Vant') as artist", "if(id % 4 < 2, 'Low Tide', 'Undertow (Studio Session)') as title", "if(id % 4 < 2, cast(array() as array<string>), array('session')) as qualifiers", "cast(array() as array<string>) as guests", "cast(if(id % 5 = 0, null, 240) as double) as duration", "id % 2 as k")
+    words = f"if(id % 4 = 0, '', if(id % 7 = 0, 'la', '{WORDS}'))"
+    c = spark.range(60).selectExpr("cast(id % 2 as int) as round", "if(id % 3 = 0, 'a', 'b') as source", "cast(60 - id as int) as pos", "if(id % 3 = 0, 'Oda Brask', 'Mira Vant') as artist", "case id % 5 when 0 then 'Low Tide' when 1 then 'Undertow' when 2 then 'Lover' else 'Undertow (Session)' end as title", f"{words} as lyrics", "240.0D as duration", "(id div 2) % 2 as k")
+    key = lambda rows: sorted((r.path, r.status, r.title, r.score, r.source, r.lyrics) for r in rows.collect())
+    got = M.best_of(q, c, ["k"])
+    want = key(M.find_best(M.scored(q, c, ["k"])))
+    assert len(want) == 12 and {w[1] for w in want} >= {"found"} and key(got) == want
