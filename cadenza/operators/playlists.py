@@ -5,6 +5,9 @@ entries: (playlist_id, pos, location, title, artist, duration; -1 unknown). file
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,11 +152,13 @@ def resolve(entries: DataFrame, files: DataFrame, root: str, folder: str = "") -
     A file whose whole path is meant literally goes first; otherwise the longest tail of the entry's path that is known counts, if it is
     one file's or has several parts (then the first file's). A location is tried as it is, then trimmed. Both sides meet by equal
     keys; the index is reduced to one row a key and a tail before it is joined. Both sides are sorted: their sizes are estimated by those
-    of compressed files, so that either could be sent whole to the driver.
+    of compressed files, so that either could be sent whole to the driver. What an entry may mean is dealt by entry before it is reduced:
+    a task that joins tails has few of an entry, and would sort them once more for nothing.
     """
     base = "" if root == "/" else root.rstrip("/")
     index = file_index(files)
-    tries = entries.select("playlist_id", "pos", F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("try"), F.col("location").alias("l")), F.struct(F.lit(1).alias("try"), T.go_trim(F.col("location")).alias("l"))))).alias("t"))
+    said, trimmed = F.struct(F.lit(0).alias("try"), F.col("location").alias("l")), F.struct(F.lit(1).alias("try"), T.go_trim(F.col("location")).alias("l"))
+    tries = entries.select("playlist_id", "pos", F.explode(F.when(said["l"] == trimmed["l"], F.array(said)).otherwise(F.array(said, trimmed))).alias("t"))
     paths = tries.select("playlist_id", "pos", "t.try", path_from_location(F.col("t.l")).alias("p")).filter("p <> ''")
     exact = paths.select("playlist_id", "pos", "try", F.posexplode(literal_paths(F.col("p"), F.lit(folder))).alias("no", "full"))
     prefix = base.lower() + "/"
@@ -162,7 +167,7 @@ def resolve(entries: DataFrame, files: DataFrame, root: str, folder: str = "") -
     known = index.select("rel", "ord", F.explode(tails(F.split("key", "/", -1))).alias("t")).groupBy("t.tail").agg(F.min_by("rel", "ord").alias("rel"), F.count("*").alias("files"))
     wanted = paths.select("playlist_id", "pos", "try", F.explode(tails(components(path_key(F.col("p"))))).alias("t")).select("playlist_id", "pos", "try", "t.n", "t.tail")
     near = wanted.join(known.hint("merge"), "tail").filter("files = 1 or n > 1").select("playlist_id", "pos", "try", F.lit(1).alias("step"), (-F.col("n")).alias("rank"), "rel")
-    found = exact.unionByName(near).groupBy("playlist_id", "pos").agg(F.min_by("rel", F.struct("try", "step", "rank")).alias("rel"))
+    found = exact.unionByName(near).repartition("playlist_id", "pos").groupBy("playlist_id", "pos").agg(F.min_by("rel", F.struct("try", "step", "rank")).alias("rel"))
     return entries.join(found.hint("merge"), ["playlist_id", "pos"], "left").withColumn("file", F.concat(F.lit(base + "/"), "rel")).drop("rel")
 
 
@@ -245,25 +250,46 @@ TARGETS = {"android": "m3u", "itunes": "xml", "m3u8": "m3u8", "wpl": "wpl", "xsp
 CHUNK = 1000
 
 
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(playlist_id, name, lines, n) of ordered (playlist_id, named, name, line), where a list's names stand before its entries; one list is held at a time."""
+    at, names, texts, pending, n, kind = None, [], [], [], 0, None
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        lines = "".join([*texts, *pending]) if n else ""
+        for name in names if n else ():
+            yield pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([name], pa.string()), pa.array([lines], pa.string()), pa.array([n], pa.int32())], names=["playlist_id", "name", "lines", "n"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for which, named, name, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if which != at:
+                yield from ended()
+                at, names, texts, pending, n = which, [], [], [], 0
+            if named:
+                names.append(name)
+            elif names:
+                n += 1
+                pending.append(str(n).join(line))
+                if len(pending) == CHUNK:
+                    texts.append("".join(pending))
+                    pending = []
+    yield from ended()
+
+
 def write(resolved: DataFrame, names: DataFrame, target: str, folder: str, windows: bool = False) -> DataFrame:
     """playlist_id, file_name and content of each playlist (names: playlist_id, name) with a found entry, for one of TARGETS.
 
-    Names meet entries before these come together, and by a sort: sizes of rows that hold many others are underestimated, and such a side
-    would be sent to the driver.
-    Entries are numbered by a sort that spills and become text one by one; texts of CHUNK entries, then of a playlist, are joined. A file's
-    text is one row, so a playlist is bounded by what a player can read.
+    Names stand before the entries of their list, and one sort that spills brings both in order; entries become text after it, one by one,
+    and a task puts together one list at a time. A file's text is one row, so a playlist is bounded by what a player can read.
     """
     path = relative(F.col("file"), F.lit(folder))
     title, artist = shown_title(F.col("title"), F.col("file")), one_line(F.coalesce("artist", F.lit("")))
     seconds = F.when(F.col("duration") > 0, F.col("duration")).otherwise(-1)
-    rows = resolved.filter("file is not null").select("playlist_id", "pos", path.alias("path"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))
-    keys = ["playlist_id", "name"]
-    rows = rows.join(names.select(*keys).distinct().hint("merge"), "playlist_id")
-    order = Window.partitionBy(*keys).orderBy("pos", "path", "title", "artist", "seconds", "url")
-    lines = rows.withColumn("no", F.row_number().over(order)).select(*keys, "no", F.floor((F.col("no") - 1) / CHUNK).alias("chunk"), entry(target, windows).alias("line"))
-    joined = lambda no, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(no, text))), lambda x: x[text]), "")
-    chunks = lines.groupBy(*keys, "chunk").agg(joined("no", "line").alias("lines"), F.max("no").cast("int").alias("n"))
-    lists = chunks.groupBy(*keys).agg(joined("chunk", "lines").alias("lines"), F.max("n").alias("n"))
+    rows = resolved.filter("file is not null").select("playlist_id", F.lit(False).alias("named"), "pos", path.alias("path"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))
+    rows = rows.unionByName(names.select("playlist_id", "name", F.lit(True).alias("named")).distinct(), allowMissingColumns=True).filter("playlist_id is not null")
+    ordered = rows.repartition("playlist_id").sortWithinPartitions("playlist_id", F.desc("named"), "pos", "path", "title", "artist", "seconds", "url")
+    kind = rows.schema["playlist_id"].dataType.simpleString()
+    lists = ordered.select("playlist_id", "named", "name", F.when(~F.col("named"), entry(target, windows)).alias("line")).mapInArrow(put_together, f"playlist_id {kind}, name string, lines string, n int")
     return lists.select("playlist_id", F.concat(safe_name(F.col("name")), F.lit("." + TARGETS[target])).alias("file_name"), rendered(target).alias("content"))
 
 
@@ -271,24 +297,36 @@ def text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+#: Where an entry's text has its number, which is known when the list is put together.
+NUMBER = object()
+
+
+def numbered(*parts: object) -> Column:
+    """A text as what stands before, between and after its numbers."""
+    pieces: list[list] = [[]]
+    for p in parts:
+        pieces.append([]) if p is NUMBER else pieces[-1].append(p)
+    return F.array(*(text(*p) for p in pieces))
+
+
 def entry(target: str, windows: bool) -> Column:
-    """What a file of the target says of one entry."""
-    x, i = F.col, F.col("no")
+    """What a file of the target says of one entry, as `numbered` gives it."""
+    x, i = F.col, NUMBER
     local = F.replace(x("path"), F.lit("/"), F.lit("\\")) if windows else x("path")
     given = lambda c, *parts: F.when(c, text(*parts)).otherwise("")
     if target == "android":
-        return text(x("path"), "\n")
+        return numbered(x("path"), "\n")
     if target == "m3u8":
-        return text("#EXTINF:", x("seconds"), ",", given(x("artist") != "", x("artist"), " - "), x("title"), "\n", local, "\n")
+        return numbered("#EXTINF:", x("seconds"), ",", given(x("artist") != "", x("artist"), " - "), x("title"), "\n", local, "\n")
     if target == "pls":
-        return text("File", i, "=", local, "\nTitle", i, "=", x("title"), "\nLength", i, "=", x("seconds"), "\n")
+        return numbered("File", i, "=", local, "\nTitle", i, "=", x("title"), "\nLength", i, "=", x("seconds"), "\n")
     if target == "xspf":
-        return text("    <track>\n      <location>", xml_escape(uri_path(x("path"))), "</location>\n      <title>", xml_escape(x("title")), "</title>\n", given(x("artist") != "", "      <creator>", xml_escape(x("artist")), "</creator>\n"), given(x("seconds") > 0, "      <duration>", x("seconds") * 1000, "</duration>\n"), "    </track>\n")
+        return numbered("    <track>\n      <location>", xml_escape(uri_path(x("path"))), "</location>\n      <title>", xml_escape(x("title")), "</title>\n", given(x("artist") != "", "      <creator>", xml_escape(x("artist")), "</creator>\n"), given(x("seconds") > 0, "      <duration>", x("seconds") * 1000, "</duration>\n"), "    </track>\n")
     if target == "wpl":
-        return text('            <media src="', xml_escape(F.replace(x("path"), F.lit("/"), F.lit("\\"))), '"/>\n')
+        return numbered('            <media src="', xml_escape(F.replace(x("path"), F.lit("/"), F.lit("\\"))), '"/>\n')
     number = lambda key, value: ("\t\t\t<key>", key, "</key><integer>", value, "</integer>\n")
     string = lambda key, value: ("\t\t\t<key>", key, "</key><string>", xml_escape(value), "</string>\n")
-    return text("\t\t<key>", i, "</key>\n\t\t<dict>\n", *number("Track ID", i), *string("Name", x("title")), given(x("artist") != "", *string("Artist", x("artist"))), given(x("seconds") > 0, *number("Total Time", x("seconds") * 1000)), *string("Location", x("url")), "\t\t</dict>\n")
+    return numbered("\t\t<key>", i, "</key>\n\t\t<dict>\n", *number("Track ID", i), *string("Name", x("title")), given(x("artist") != "", *string("Artist", x("artist"))), given(x("seconds") > 0, *number("Total Time", x("seconds") * 1000)), *string("Location", x("url")), "\t\t</dict>\n")
 
 
 def rendered(target: str) -> Column:

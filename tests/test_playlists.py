@@ -2,6 +2,7 @@
 
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,41 @@ WRITERS = ["android_write", "itunes_write", "m3u_write", "pls_write", "wpl_write
 def test_nothing_of_a_written_list_goes_to_the_driver(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastExchange" not in plan
+
+
+#: Their lists are put together one at a time: an aggregate would hold those of a task all at once.
+ONE_LIST_AT_A_TIME = ["itunes_write"]
+
+
+@pytest.mark.parametrize("name", ONE_LIST_AT_A_TIME)
+def test_a_task_holds_one_written_list(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan
+
+
+def test_lists_are_put_together_as_they_end():
+    seen = []
+
+    def batches():
+        for i, rows in enumerate([[("p", True, "a"), ("p", True, "b"), ("p", False, None)], [("p", False, None), ("q", False, None), ("r", True, None)], [("r", False, None)], [("s", True, "empty")]]):
+            seen.append(i)
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [None if r[1] else [f"{r[0]}<", ">"] for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string())))], names=["playlist_id", "named", "name", "line"])
+
+    got = [(len(seen), *(c[0].as_py() for c in b.columns)) for b in P.put_together(batches())]
+    assert got == [(2, "p", "a", "p<1>p<2>", 2), (2, "p", "b", "p<1>p<2>", 2), (4, "r", None, "r<1>", 1)]
+
+
+def test_lists_without_a_name_or_an_entry_are_not_written(spark):
+    listed = spark.createDataFrame([(i, p, "t", "", -1, "/m/x.mp3") for p, i in ((1, 1), (0, 1), (0, 2), (0, None))], "playlist_id bigint, pos int, title string, artist string, duration int, file string")
+    got = P.write(listed, spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (3, "c"), (None, "d")], "playlist_id int, name string"), "pls", "/m")
+    lines = lambda *no: "".join(f"File{i}=x.mp3\nTitle{i}=t\nLength{i}=-1\n" for i in no)
+    assert sorted(map(tuple, got.collect())) == [(1, n, f"[playlist]\n{lines(1, 2)}NumberOfEntries=2\nVersion=2\n") for n in ("a.pls", "b.pls")]
+
+
+def test_a_location_without_blanks_around_it_is_tried_once(spark):
+    listed = entries(spark, "/music/x/one.mp3", " /music/x/one.mp3", "x/one.mp3　")
+    found = P.resolve(listed, index(spark), "/music")
+    assert [r.file for r in found.orderBy("pos").collect()] == ["/music/x/one.mp3"] * 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "RepartitionByExpression [playlist_id" in plan
