@@ -179,7 +179,7 @@ def test_nothing_of_a_written_list_goes_to_the_driver(spark, name):
 
 
 #: Their lists are put together one at a time: an aggregate would hold those of a task all at once.
-ONE_LIST_AT_A_TIME = ["itunes_write", "m3u_write", "pls_write", "wpl_write"]
+ONE_LIST_AT_A_TIME = ["itunes_write", "m3u_write", "pls_write", "wpl_write", "xspf_write"]
 
 
 @pytest.mark.parametrize("name", ONE_LIST_AT_A_TIME)
