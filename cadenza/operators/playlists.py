@@ -94,8 +94,8 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def path_key(c: Column) -> Column:
-    """How paths are compared: composed and in lower case."""
-    return F.lower(A.nfc(c))
+    """How paths are compared: composed and in lower case. To be selected as a column before it is used."""
+    return F.lower(A.nfc_once(c))
 
 
 def is_windows_path(c: Column) -> Column:
@@ -165,7 +165,7 @@ def resolve(entries: DataFrame, files: DataFrame, root: str, folder: str = "") -
     exact = exact.select("playlist_id", "pos", "try", "no", path_key(F.col("full")).alias("full")).filter(F.startswith("full", F.lit(prefix)))
     exact = exact.select("playlist_id", "pos", "try", F.col("no").alias("rank"), F.substring("full", F.lit(len(prefix) + 1), F.length("full")).alias("key")).join(index.hint("merge"), "key").select("playlist_id", "pos", "try", F.lit(0).alias("step"), "rank", "rel")
     known = index.select("rel", "ord", F.explode(tails(F.split("key", "/", -1))).alias("t")).groupBy("t.tail").agg(F.min_by("rel", "ord").alias("rel"), F.count("*").alias("files"))
-    wanted = paths.select("playlist_id", "pos", "try", F.explode(tails(components(path_key(F.col("p"))))).alias("t")).select("playlist_id", "pos", "try", "t.n", "t.tail")
+    wanted = paths.select("playlist_id", "pos", "try", path_key(F.col("p")).alias("k")).select("playlist_id", "pos", "try", F.explode(tails(components(F.col("k")))).alias("t")).select("playlist_id", "pos", "try", "t.n", "t.tail")
     near = wanted.join(known.hint("merge"), "tail").filter("files = 1 or n > 1").select("playlist_id", "pos", "try", F.lit(1).alias("step"), (-F.col("n")).alias("rank"), "rel")
     found = exact.unionByName(near).repartition("playlist_id", "pos").groupBy("playlist_id", "pos").agg(F.min_by("rel", F.struct("try", "step", "rank")).alias("rel"))
     return entries.join(found.hint("merge"), ["playlist_id", "pos"], "left").withColumn("file", F.concat(F.lit(base + "/"), "rel")).drop("rel")

@@ -214,3 +214,9 @@ def test_a_location_without_blanks_around_it_is_tried_once(spark):
     assert [r.file for r in found.orderBy("pos").collect()] == ["/music/x/one.mp3"] * 3
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and "RepartitionByExpression [playlist_id" in plan
+
+
+def test_a_path_is_composed_once(spark):
+    """A function of Python that Spark may repeat is computed below a filter and above it, by a worker for each."""
+    plan = P.resolve(entries(spark, "x"), index(spark), "/music")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [nfc") == 4
