@@ -5,6 +5,7 @@ entries: (playlist_id, pos, location, title, artist, duration; -1 unknown). file
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -189,8 +190,8 @@ def playlist_ids(files: DataFrame, database: DataFrame) -> DataFrame:
 # Writing ----------------------------------------------------------------------
 
 
-def relative(file: Column, folder: Column) -> Column:
-    """The path of a file as seen from a folder, both absolute."""
+def relative(file: Column, folder: Column | str) -> Column:
+    """The path of a file as seen from a folder, both absolute; a folder that is given as text is composed here, not for each row."""
     names = lambda c: F.filter(F.split(c, "/", -1), lambda p: p != "")
 
     def steps(x: Column) -> Column:
@@ -201,7 +202,8 @@ def relative(file: Column, folder: Column) -> Column:
         common = F.when(stop > 0, stop - 1).otherwise(shared)
         return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(base) - common), F.slice(target, common + 1, F.greatest(F.size(target), F.lit(1)))), "/")
 
-    return T.let(F.struct(names(A.nfc(file)).alias("t"), names(A.nfc(folder)).alias("b")), steps)
+    base = F.lit(unicodedata.normalize("NFC", folder)) if isinstance(folder, str) else A.nfc(folder)
+    return T.let(F.struct(names(A.nfc(file)).alias("t"), names(base).alias("b")), steps)
 
 
 def one_line(c: Column) -> Column:
@@ -282,7 +284,7 @@ def write(resolved: DataFrame, names: DataFrame, target: str, folder: str, windo
     Names stand before the entries of their list, and one sort that spills brings both in order; entries become text after it, one by one,
     and a task puts together one list at a time. A file's text is one row, so a playlist is bounded by what a player can read.
     """
-    path = relative(F.col("file"), F.lit(folder))
+    path = relative(F.col("file"), folder)
     title, artist = shown_title(F.col("title"), F.col("file")), one_line(F.coalesce("artist", F.lit("")))
     seconds = F.when(F.col("duration") > 0, F.col("duration")).otherwise(-1)
     rows = resolved.filter("file is not null").select("playlist_id", F.lit(False).alias("named"), "pos", path.alias("path"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))

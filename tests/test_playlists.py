@@ -220,3 +220,10 @@ def test_a_path_is_composed_once(spark):
     """A function of Python that Spark may repeat is computed below a filter and above it, by a worker for each."""
     plan = P.resolve(entries(spark, "x"), index(spark), "/music")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [nfc") == 4
+
+
+def test_a_folder_is_composed_once_not_for_each_row(spark):
+    folder = "/m/é"
+    assert spark.range(1).select(P.relative(F.lit(f"{folder}/a.mp3"), unicodedata.normalize("NFD", folder)).alias("p")).first().p == "a.mp3"
+    plan = registry.queries()["pls_write"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "nfc(file" in plan and "nfc(/m/lists" not in plan
