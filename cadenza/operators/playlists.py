@@ -248,6 +248,10 @@ def shown_title(title: Column, file: Column) -> Column:
 TARGETS = {"android": "m3u", "itunes": "xml", "m3u8": "m3u8", "wpl": "wpl", "xspf": "xspf", "pls": "pls"}
 
 
+#: What of an entry is sorted for a target, if it isn't everything. Entries of one place stand in the order of all of it, for any target alike.
+SAID = {"android": ["path"], "wpl": ["path"]}
+
+
 #: Lines of a playlist that are put together at a time.
 CHUNK = 1000
 
@@ -284,12 +288,12 @@ def write(resolved: DataFrame, names: DataFrame, target: str, folder: str, windo
     Names stand before the entries of their list, and one sort that spills brings both in order; entries become text after it, one by one,
     and a task puts together one list at a time. A file's text is one row, so a playlist is bounded by what a player can read.
     """
-    path = relative(F.col("file"), folder)
-    title, artist = shown_title(F.col("title"), F.col("file")), one_line(F.coalesce("artist", F.lit("")))
     seconds = F.when(F.col("duration") > 0, F.col("duration")).otherwise(-1)
-    rows = resolved.filter("file is not null").select("playlist_id", F.lit(False).alias("named"), "pos", path.alias("path"), title.alias("title"), artist.alias("artist"), seconds.alias("seconds"), file_url(F.col("file"), windows).alias("url"))
+    told = {"path": relative(F.col("file"), folder), "title": shown_title(F.col("title"), F.col("file")), "artist": one_line(F.coalesce("artist", F.lit(""))), "seconds": seconds, "url": file_url(F.col("file"), windows)}
+    said = SAID.get(target, [*told])
+    rows = resolved.filter("file is not null").select("playlist_id", F.lit(False).alias("named"), "pos", *(told[x].alias(x) for x in said))
     rows = rows.unionByName(names.select("playlist_id", "name", F.lit(True).alias("named")).distinct(), allowMissingColumns=True).filter("playlist_id is not null")
-    ordered = rows.repartition("playlist_id").sortWithinPartitions("playlist_id", F.desc("named"), "pos", "path", "title", "artist", "seconds", "url")
+    ordered = rows.repartition("playlist_id").sortWithinPartitions("playlist_id", F.desc("named"), "pos", *said)
     kind = rows.schema["playlist_id"].dataType.simpleString()
     lists = ordered.select("playlist_id", "named", "name", F.when(~F.col("named"), entry(target, windows)).alias("line")).mapInArrow(put_together, f"playlist_id {kind}, name string, lines string, n int")
     return lists.select("playlist_id", F.concat(safe_name(F.col("name")), F.lit("." + TARGETS[target])).alias("file_name"), rendered(target).alias("content"))

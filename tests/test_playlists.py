@@ -227,3 +227,13 @@ def test_a_folder_is_composed_once_not_for_each_row(spark):
     assert spark.range(1).select(P.relative(F.lit(f"{folder}/a.mp3"), unicodedata.normalize("NFD", folder)).alias("p")).first().p == "a.mp3"
     plan = registry.queries()["pls_write"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "nfc(file" in plan and "nfc(/m/lists" not in plan
+
+
+def sorted_by(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    order = next(x for x in plan.splitlines() if "Sort [playlist_id" in x and "named#" in x)
+    return [x for x in ("path", "title", "artist", "seconds", "url") if f"{x}#" in order]
+
+
+def test_a_list_of_paths_sorts_nothing_but_paths(spark):
+    assert sorted_by(spark, "wpl_write") == ["path"]
