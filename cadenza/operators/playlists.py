@@ -248,8 +248,8 @@ def shown_title(title: Column, file: Column) -> Column:
 TARGETS = {"android": "m3u", "itunes": "xml", "m3u8": "m3u8", "wpl": "wpl", "xspf": "xspf", "pls": "pls"}
 
 
-#: What of an entry is sorted for a target, if it isn't everything. Entries of one place stand in the order of all of it, for any target alike.
-SAID = {"android": ["path"], "wpl": ["path"]}
+#: What of an entry is sorted for a target, if it isn't everything but the URL. Entries of one place stand in the order of all of it, for any target alike.
+SAID = {"android": ["path"], "wpl": ["path"], "itunes": ["path", "title", "artist", "seconds", "url"]}
 
 
 #: Lines of a playlist that are put together at a time.
@@ -290,7 +290,7 @@ def write(resolved: DataFrame, names: DataFrame, target: str, folder: str, windo
     """
     seconds = F.when(F.col("duration") > 0, F.col("duration")).otherwise(-1)
     told = {"path": relative(F.col("file"), folder), "title": shown_title(F.col("title"), F.col("file")), "artist": one_line(F.coalesce("artist", F.lit(""))), "seconds": seconds, "url": file_url(F.col("file"), windows)}
-    said = SAID.get(target, [*told])
+    said = SAID.get(target, [x for x in told if x != "url"])
     rows = resolved.filter("file is not null").select("playlist_id", F.lit(False).alias("named"), "pos", *(told[x].alias(x) for x in said))
     rows = rows.unionByName(names.select("playlist_id", "name", F.lit(True).alias("named")).distinct(), allowMissingColumns=True).filter("playlist_id is not null")
     ordered = rows.repartition("playlist_id").sortWithinPartitions("playlist_id", F.desc("named"), "pos", *said)

@@ -237,3 +237,8 @@ def sorted_by(spark, name):
 
 def test_a_list_of_paths_sorts_nothing_but_paths(spark):
     assert sorted_by(spark, "wpl_write") == ["path"]
+
+
+@pytest.mark.parametrize("name", ["xspf_write", "itunes_write"])
+def test_urls_are_made_where_they_are_written(spark, name):
+    assert ("url" in sorted_by(spark, name)) == (name == "itunes_write")
