@@ -406,9 +406,13 @@ def before_studio_words(title: Column) -> Column:
 # Similarity -------------------------------------------------------------------
 
 
+def as_bytes(c: Column) -> Column:
+    """A text with a character for each of its UTF-8 bytes."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
 def byte_levenshtein(a: Column, b: Column) -> Column:
     """Edit distance over UTF-8 bytes."""
-    as_bytes = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
     return F.levenshtein(as_bytes(a), as_bytes(b))
 
 
@@ -418,6 +422,12 @@ def folded_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), far)))
 
 
+def bytes_similarity(a: Column, b: Column) -> Column:
+    """folded_similarity of texts that went through as_bytes, which then happens once for each text, not for each pair."""
+    far = 1 - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b))
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), far)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     return let(F.struct(fold(a).alias("a"), fold(b).alias("b")), lambda x: folded_similarity(x.a, x.b))
 
@@ -429,7 +439,7 @@ def words_overlap(left: Column, right: Column) -> Column:
         return F.when(F.size(x.s) == 0, 0.0).otherwise(F.size(F.filter(x.s, lambda w: F.array_contains(x.l, w))).cast("double") / F.size(x.s))
 
     swap = F.size(left) > F.size(right)
-    return let(F.struct(F.when(swap, right).otherwise(left).alias("s"), F.when(swap, left).otherwise(right).alias("l")), share)
+    return F.when(~F.arrays_overlap(left, right), 0.0).otherwise(let(F.struct(F.when(swap, right).otherwise(left).alias("s"), F.when(swap, left).otherwise(right).alias("l")), share))
 
 
 def word_overlap(a: Column, b: Column) -> Column:

@@ -55,14 +55,15 @@ def attempts(tracks: DataFrame) -> DataFrame:
 
 
 def side(artist: str, title: str, extra: dict[str, Column] | None = None) -> Column:
-    """What a score needs of one side's names."""
+    """What a score needs of one side's names; folded names are as bytes."""
     a, t = F.col(artist), F.col(title)
+    folded = lambda c: T.as_bytes(T.fold(c))
     parts = {
-        "clean": T.fold(T.clean_title(t)),
-        "bare": T.fold(T.bare_title(t)),
+        "clean": folded(T.clean_title(t)),
+        "bare": folded(T.bare_title(t)),
         "title_words": T.long_words(t),
-        "artist": T.fold(a),
-        "lead": T.fold(T.lead_artist(a)),
+        "artist": folded(a),
+        "lead": folded(T.lead_artist(a)),
         "artist_words": T.long_words(a),
         **(extra or {}),
     }
@@ -70,10 +71,11 @@ def side(artist: str, title: str, extra: dict[str, Column] | None = None) -> Col
 
 
 def query_side(rows: DataFrame, name: str = "q") -> DataFrame:
-    """rows with a struct of the attempt's names, its qualifiers, guests and duration (null: unknown)."""
-    guests = F.transform("guests", lambda g: F.struct(T.fold(g).alias("name"), T.long_words(g).alias("words")))
-    duration = F.col("duration") if "duration" in rows.columns else F.lit(None).cast("double")
-    return rows.withColumn(name, side("artist", "title", {"qualifiers": F.col("qualifiers"), "guests": guests, "duration": duration}))
+    """rows with a struct of the attempt's names, its qualifiers (those of its title, where there is no such column), guests and duration (null: unknown)."""
+    given = lambda c, other: F.col(c) if c in rows.columns else other
+    guests = F.transform(given("guests", F.array().cast(T.STRINGS)), lambda g: F.struct(T.as_bytes(T.fold(g)).alias("name"), T.long_words(g).alias("words")))
+    extra = {"qualifiers": given("qualifiers", T.qualifiers(F.col("title"))), "guests": guests, "duration": given("duration", F.lit(None).cast("double"))}
+    return rows.withColumn(name, side("artist", "title", extra))
 
 
 def candidate_side(rows: DataFrame, name: str = "c") -> DataFrame:
@@ -84,20 +86,42 @@ def candidate_side(rows: DataFrame, name: str = "c") -> DataFrame:
     return rows.withColumn(name, side("artist", "title", {"stems": stems, "duration": duration, "hook": flag("hook"), "same_album": flag("sameAlbum")}))
 
 
+def title_score(q: Column, c: Column) -> Column:
+    """How close the titles are, 0 to 1; arguments as for score. What reads the same without its additions isn't compared again."""
+    same = (q["bare"] == q["clean"]) & (c["bare"] == c["clean"])
+    bare = F.when(same, 0.0).otherwise(T.bytes_similarity(q["bare"], c["bare"]))
+    return F.greatest(T.bytes_similarity(q["clean"], c["clean"]), 0.95 * bare, 0.9 * T.words_overlap(q["title_words"], c["title_words"]))
+
+
+def artist_score(q: Column, c: Column) -> Column:
+    """How close a candidate's artist is to the attempt's or to one of its guests, 0 to 1; arguments as for score."""
+    same = (q["lead"] == q["artist"]) & (c["lead"] == c["artist"])
+    lead = F.when(same, 0.0).otherwise(T.bytes_similarity(q["lead"], c["lead"]))
+    own = F.greatest(T.bytes_similarity(q["artist"], c["artist"]), lead, 0.9 * T.words_overlap(q["artist_words"], c["artist_words"]))
+    guests = F.transform(q["guests"], lambda g: F.greatest(0.95 * T.bytes_similarity(g["name"], c["artist"]), 0.9 * T.words_overlap(g["words"], c["artist_words"])))
+    return F.greatest(own, F.coalesce(F.array_max(guests), F.lit(0.0)))
+
+
 def score(q: Column, c: Column) -> Column:
     """How well a candidate matches an attempt, 0 to 1; arguments are the structs of query_side and candidate_side."""
-    title = F.greatest(T.folded_similarity(q["clean"], c["clean"]), 0.95 * T.folded_similarity(q["bare"], c["bare"]), 0.9 * T.words_overlap(q["title_words"], c["title_words"]))
-    own = F.greatest(T.folded_similarity(q["artist"], c["artist"]), T.folded_similarity(q["lead"], c["lead"]), 0.9 * T.words_overlap(q["artist_words"], c["artist_words"]))
-    guests = F.transform(q["guests"], lambda g: F.greatest(0.95 * T.folded_similarity(g["name"], c["artist"]), 0.9 * T.words_overlap(g["words"], c["artist_words"])))
-    artist = F.greatest(own, F.coalesce(F.array_max(guests), F.lit(0.0)), F.when(c["same_album"], 0.85).otherwise(0.0))
+    return weighed(q, c, title_score(q, c), artist_score(q, c))
+
+
+def weighed(q: Column, c: Column, title: Column, artist: Column) -> Column:
+    """score() from those of title and artist, by what the source has checked, by recording and length."""
+    artist = F.greatest(artist, F.when(c["same_album"], 0.85).otherwise(0.0))
     title = F.greatest(title, F.when(c["hook"], 0.85).otherwise(0.0))
-    held = F.size(F.array_except(q["qualifiers"], c["stems"])) == 0
-    recording = F.when(F.size(q["qualifiers"]) == 0, 0.0).when(held, 0.04).otherwise(-0.08)
+    recording = F.when(F.size(q["qualifiers"]) == 0, 0.0).when(holds(q, c), 0.04).otherwise(-0.08)
     gap = F.abs(q["duration"] - c["duration"])
     length = F.when((q["duration"] > 0) & (c["duration"] > 0), F.when(gap <= 3, 0.06).when(gap > 20, -0.15).otherwise(0.0)).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * title + 0.4 * artist + recording + length))
 
 
+def holds(q: Column, c: Column) -> Column:
+    """Whether a candidate has all qualifiers that are asked for; arguments as for score."""
+    return F.size(F.array_except(q["qualifiers"], c["stems"])) == 0
+
+
 def block_keys(title: Column) -> Column:
     """Candidates are searched by a shared word of three characters or more, or by the first three characters of the folded title."""
     return F.array_distinct(F.concat(T.long_words(title), F.array(F.concat(F.lit("#"), F.substring(T.fold(title), 1, 3)))))
@@ -114,6 +138,8 @@ def title_pairs(tries: DataFrame, candidates: DataFrame) -> DataFrame:
 ASKED = ("artist", "title", "qualifiers", "guests", "duration")
 KNOWN = ("artist", "title", "duration", "hook", "sameAlbum")
 ALIKE = 1000
+#: How many names of candidates are held together.
+NAMES = 200
 
 
 def alike(rows: DataFrame, on: list[str], names: tuple[str, ...], of: str) -> DataFrame:
@@ -132,8 +158,7 @@ def scored_alike(tries: DataFrame, candidates: DataFrame, on: list[str]) -> Data
     left, right = query_side(alike(tries, on, ASKED, "__q")), candidate_side(alike(candidates, on, KNOWN, "__c"))
     q_own, c_own = [c for c in left.columns if c not in (*on, "__q", "q")], [c for c in right.columns if c not in (*on, "__c", "c")]
     right = right.select(*on, *(F.col(k).alias(f"c_{k}") for k in c_own), "__c", "c")
-    qualified = F.size(F.array_except(F.col("q.qualifiers"), F.col("c.stems"))) == 0
-    pairs = left.join(right.hint("merge"), on).withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
+    pairs = left.join(right.hint("merge"), on).withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
     rows = pairs.withColumn("__q", F.explode("__q")).withColumn("__c", F.explode("__c"))
     own = [F.col(k) if k in q_own else F.col(f"__q.{k}").alias(k) for k in tries.columns if k not in on]
     known = [F.col(f"c_{k}") if k in c_own else F.col(f"__c.{k}").alias(f"c_{k}") for k in candidates.columns if k not in on]
@@ -150,8 +175,7 @@ def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None)
     left, right = query_side(tries), candidate_side(candidates)
     right = right.select(*(F.col(k).alias(f"c_{k}") for k in candidates.columns), "c")
     pairs = left.join(title_pairs(tries, candidates), "title").join(right, "c_title")
-    qualified = F.size(F.array_except(F.col("q.qualifiers"), F.col("c.stems"))) == 0
-    return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", qualified).drop("q", "c")
+    return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
 
 
 def choices(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,21 +213,67 @@ def find_best(pairs: DataFrame) -> DataFrame:
     return decided(choices(pairs, ["path", "attempt"]))
 
 
+def firsts(rows: Column, of: tuple[str, ...]) -> Column:
+    """The smallest of an array's structs for each value of their first fields, which are named."""
+    other = lambda x, y: ~reduce(lambda a, b: a & b, (x[n].eqNullSafe(y[n]) for n in of))
+    return T.let(F.array_sort(rows), lambda s: F.filter(s, lambda x, i: (i == 0) | other(x, F.get(s, i - 1))))
+
+
+def offered(candidates: DataFrame, on: list[str]) -> DataFrame:
+    """on, names, titles, artists: what candidates' names are scored by, at most NAMES a row; titles and artists are distinct, names have their places there.
+
+    A name has `offers`, the first candidate of each search with words and without, and the first place of all of them (`place`) and of those in round 0 (`early`).
+    """
+    own = ("round", "source", "pos", "lyrics")
+    rows = alike(candidates.select(*dict.fromkeys([*on, *(n for n in KNOWN if n in candidates.columns), *own])), on, KNOWN, "__c")
+    of = lambda x, n: F.col(n) if n in rows.columns else x[n]
+    offer = lambda x: F.struct(of(x, "round").alias("round"), of(x, "source").alias("source"), F.coalesce(of(x, "lyrics") != "", F.lit(False)).alias("worded"), of(x, "pos").alias("pos"), of(x, "lyrics").alias("lyrics"))
+    first = lambda some: F.array_min(F.transform(some, lambda o: F.struct(o["round"].alias("c_round"), o["source"].alias("c_source"), o["pos"].alias("c_pos"))))
+    named = F.struct("c", "title", "offers", first(F.col("offers")).alias("place"), first(F.filter("offers", lambda o: o["round"] == 0)).alias("early"))
+    no = F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0)))
+    dealt = candidate_side(rows).withColumn("offers", firsts(F.transform("__c", offer), ("round", "source", "worded"))).select(*on, named.alias("name"), F.floor((no - 1) / NAMES).alias("__block"))
+    held = dealt.groupBy(*on, "__block").agg(F.collect_list("name").alias("names"))
+    title = lambda n: F.struct(*(n["c"][x].alias(x) for x in ("clean", "bare", "title_words")))
+    artist = lambda n: F.struct(*(n["c"][x].alias(x) for x in ("artist", "lead", "artist_words")))
+    parts = held.select(*on, "names", F.array_distinct(F.transform("names", title)).alias("titles"), F.array_distinct(F.transform("names", artist)).alias("artists"))
+    at = lambda some, x: (F.array_position(F.col(some), x) - 1).cast("int")
+    rest = lambda n: F.struct(*(n["c"][x].alias(x) for x in ("stems", "duration", "hook", "same_album")))
+    name = lambda n: F.struct(rest(n).alias("c"), at("titles", title(n)).alias("t"), at("artists", artist(n)).alias("a"), *(n[x].alias(x) for x in ("title", "offers", "place", "early")))
+    return parts.select(*on, F.transform("names", name).alias("names"), "titles", "artists")
+
+
 def best_of(tries: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """find_best(scored(tries, candidates, on)) without its pairs of rows.
 
     Attempts that agree in all that a score depends on come to one choice, and of candidates of a search that agree in it only the first
-    with words and the first without can be chosen. So these meet, and choices are given to the attempts that they hold for.
+    with words and the first without can be chosen. Names of candidates meet an attempt's in arrays: each title and each artist there is
+    compared once, and only what can be chosen leaves the row.
     """
-    form = F.struct(*on, *(n for n in ASKED if n in tries.columns and n not in on), (F.col("attempt") == 0).alias("first"))
-    asked = tries.select("*", form.alias("form"))
-    once = asked.select(*on, *(n for n in ASKED if n in tries.columns and n not in on), F.when(F.col("attempt") == 0, 0).otherwise(1).alias("attempt"), "form").distinct()
-    by = list(dict.fromkeys([*on, *(n for n in KNOWN if n in candidates.columns), "round", "source"]))
-    rest = [c for c in candidates.columns if c not in by]
-    worded = F.coalesce(F.col("lyrics") != "", F.lit(False))
-    known = candidates.withColumn("worded", worded).groupBy(*by, "worded").agg(F.min_by(F.struct(*rest), "pos").alias("it")).select(*by, "it.*").select(*candidates.columns)
-    chosen = choices(scored(once, known, on), [*on, "form", "attempt"]).drop("attempt", *on)
-    return decided(asked.select("path", "attempt", "form").join(chosen.hint("merge"), "form"))
+    asked = tries.select(*dict.fromkeys([*on, *(n for n in ASKED if n in tries.columns), "path", "attempt"]), (F.col("attempt") == 0).alias("first"))
+    left = query_side(alike(asked, on, (*ASKED, "first"), "__q")).select(*on, "q", "first", "__q")
+    q, place, search = F.col("q"), ("c_round", "c_source", "c_pos"), ("c_round", "c_source")
+
+    def scores(parts: Column) -> Column:
+        of = lambda n: weighed(q, n["c"], F.get(parts["titles"], n["t"]), F.get(parts["artists"], n["a"]))
+        return F.transform("names", lambda n: F.struct(of(n).alias("score"), F.when(F.col("first"), n["place"]).otherwise(n["early"]).alias("at"), n.alias("name")))
+
+    def chosen(names: Column) -> Column:
+        placed = F.filter(names, lambda x: x["at"].isNotNull())
+        near = lambda x: F.struct((-x["score"]).alias("worse"), *(x["at"][p].alias(p) for p in place), x["score"].alias("score"), x["name"]["title"].alias("title"))
+        able = lambda o: o["worded"] & (F.col("first") | (o["round"] == 0))
+        one = lambda x, o: F.struct(o["round"].alias("c_round"), o["source"].alias("c_source"), (-x["score"]).alias("worse"), o["pos"].alias("c_pos"), x["score"].alias("score"), x["name"]["title"].alias("title"), holds(q, x["name"]["c"]).alias("qualified"), o["lyrics"].alias("lyrics"))
+        good = F.transform(F.filter(names, lambda x: x["score"] >= W.MIN_SCORE), lambda x: F.transform(F.filter(x["name"]["offers"], able), lambda o: one(x, o)))
+        nearest = T.let(F.array_max(F.transform(placed, lambda x: x["score"])), lambda most: F.array_min(F.transform(F.filter(placed, lambda x: x["score"] == most), near)))
+        return F.struct(nearest.alias("near"), firsts(F.flatten(good), search).alias("good"))
+
+    def best(x: Column) -> Column:
+        return F.struct((~x["qualified"]).alias("other"), F.when(x["qualified"], F.lit(0.0)).otherwise(-x["score"]).alias("worse"), *(x[p].alias(p) for p in place), x["score"].alias("score"), x["title"].alias("title"), T.tidy_lyrics(x["lyrics"]).alias("words"))
+
+    parts = F.struct(F.transform("titles", lambda c: title_score(q, c)).alias("titles"), F.transform("artists", lambda c: artist_score(q, c)).alias("artists"))
+    met = left.join(offered(candidates, on).hint("merge"), on).select(*on, "q", "first", "__q", T.let(parts, lambda p: T.let(scores(p), chosen)).alias("it"))
+    both = met.groupBy(*on, "q", "first", "__q").agg(F.min("it.near").alias("near"), F.flatten(F.collect_list("it.good")).alias("good")).filter("near is not null")
+    worded = F.filter(F.transform(firsts(F.col("good"), search), best), lambda x: x["words"] != "")
+    return decided(both.select("near", F.array_min(worded).alias("best"), "__q").withColumn("a", F.explode("__q")).select("a.path", "a.attempt", "best", "near"))
 
 
 def opened(pairs: DataFrame, rule: str) -> DataFrame:

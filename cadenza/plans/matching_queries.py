@@ -73,8 +73,7 @@ def tries(spark, sf_dir: str) -> DataFrame:
     """One search for each track with an artist, as it is tagged, with what it is joined to candidates by."""
     t = V.tracks(spark, sf_dir).filter("artist <> ''")
     number = F.regexp_extract("path", r"([0-9]+)\.mp3", 1).cast("int")
-    none = F.array().cast(T.STRINGS)
-    return t.select("path", F.lit(0).alias("attempt"), "artist", "title", T.qualifiers(F.col("title")).alias("qualifiers"), none.alias("guests"), (100 + number % 40).cast("double").alias("duration"), F.regexp_extract("path", "^/m/([^/]*)", 1).alias("brand"), F.col("trackNo").alias("size"))
+    return t.select("path", F.lit(0).alias("attempt"), "artist", "title", (100 + number % 40).cast("double").alias("duration"), F.regexp_extract("path", "^/m/([^/]*)", 1).alias("brand"), F.col("trackNo").alias("size"))
 
 
 def match_pairs(spark, sf_dir: str) -> DataFrame:

@@ -155,3 +155,18 @@ def test_best_of_names_agrees_with_best_of_pairs(spark):
     got = M.best_of(q, c, ["k"])
     want = key(M.find_best(M.scored(q, c, ["k"])))
     assert len(want) == 12 and {w[1] for w in want} >= {"found"} and key(got) == want
+
+
+def test_best_of_scores_a_pair_of_names_once(spark, monkeypatch):
+    """One join, one comparison of titles, artists and guests each in the whole plan; qualifiers are read from titles where they aren't given; several rows of names."""
+    monkeypatch.setattr(M, "NAMES", 3)
+    monkeypatch.setattr(M, "ALIKE", 4)
+    q = spark.range(20).selectExpr("cast(id as string) as path", "cast(id % 2 as int) as attempt", "'Oda Brask' as artist", "if(id % 4 < 2, 'Low Tide', 'Undertow (Studio Session)') as title", "id % 3 as k")
+    c = spark.range(90).selectExpr("cast(id % 2 as int) as round", "if(id % 4 = 0, 'a', 'b') as source", "cast(id * 7 % 90 as int) as pos", "if(id % 3 = 0, 'Oda Brask', 'Mira Vant') as artist", "case id % 5 when 0 then 'Low Tide' when 1 then concat('Under', id) when 2 then 'Lover' else 'Undertow (Session)' end as title", f"if(id % 7 = 0, '', '{WORDS}') as lyrics", "id div 3 % 3 as k")
+    best = M.best_of(q, c, ["k"])
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 5 and plan.count("Join ") == 1
+    key = lambda rows: sorted((r.path, r.status, r.title, r.score, r.source, r.lyrics) for r in rows.collect())
+    asked = q.withColumn("qualifiers", F.when(F.col("title") == "Low Tide", F.array().cast("array<string>")).otherwise(F.array(F.lit("studio"), F.lit("session")))).withColumn("guests", F.array().cast("array<string>"))
+    want = key(M.find_best(M.scored(asked, c, ["k"])))
+    assert len(want) == 20 and key(best) == want
