@@ -150,32 +150,35 @@ def alike(rows: DataFrame, on: list[str], names: tuple[str, ...], of: str) -> Da
     return dealt.groupBy(*by, "__chunk").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in by))).alias(of)).drop("__chunk")
 
 
-def scored_alike(tries: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
+def scored_alike(tries: DataFrame, candidates: DataFrame, on: list[str], digits: int | None = None) -> DataFrame:
     """scored() by equal `on`: each pair of names and durations is scored once, whatever the number of rows that have it, and then expanded.
 
-    Neither side is broadcast, as rows with arrays are larger than estimated.
+    Scores are rounded before that too, as rounding takes longer than all else that a row costs. Neither side is broadcast, as rows with arrays are larger than estimated.
     """
     left, right = query_side(alike(tries, on, ASKED, "__q")), candidate_side(alike(candidates, on, KNOWN, "__c"))
     q_own, c_own = [c for c in left.columns if c not in (*on, "__q", "q")], [c for c in right.columns if c not in (*on, "__c", "c")]
     right = right.select(*on, *(F.col(k).alias(f"c_{k}") for k in c_own), "__c", "c")
-    pairs = left.join(right.hint("merge"), on).withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
+    worth = score(F.col("q"), F.col("c"))
+    worth = worth if digits is None else F.round(worth, digits)
+    pairs = left.join(right.hint("merge"), on).withColumn("score", worth).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
     rows = pairs.withColumn("__q", F.explode("__q")).withColumn("__c", F.explode("__c"))
     own = [F.col(k) if k in q_own else F.col(f"__q.{k}").alias(k) for k in tries.columns if k not in on]
     known = [F.col(f"c_{k}") if k in c_own else F.col(f"__c.{k}").alias(f"c_{k}") for k in candidates.columns if k not in on]
     return rows.select(*on, *own, *known, "score", "qualified")
 
 
-def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Attempts with the candidates that share `on` (or else a block key of the title), and their score.
+def scored(tries: DataFrame, candidates: DataFrame, on: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Attempts with the candidates that share `on` (or else a block key of the title), and their score, rounded to `digits` if given.
 
     With block keys distinct titles meet first, and rows are joined to the pairs of titles that do; no side is compared as a whole with the other.
     """
     if on:
-        return scored_alike(tries, candidates, on)
+        return scored_alike(tries, candidates, on, digits)
     left, right = query_side(tries), candidate_side(candidates)
     right = right.select(*(F.col(k).alias(f"c_{k}") for k in candidates.columns), "c")
     pairs = left.join(title_pairs(tries, candidates), "title").join(right, "c_title")
-    return pairs.withColumn("score", score(F.col("q"), F.col("c"))).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
+    worth = score(F.col("q"), F.col("c"))
+    return pairs.withColumn("score", worth if digits is None else F.round(worth, digits)).withColumn("qualified", holds(F.col("q"), F.col("c"))).drop("q", "c")
 
 
 def choices(pairs: DataFrame, keys: list[str]) -> DataFrame:

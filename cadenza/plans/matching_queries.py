@@ -77,7 +77,7 @@ def tries(spark, sf_dir: str) -> DataFrame:
 
 
 def match_pairs(spark, sf_dir: str) -> DataFrame:
-    return M.scored(tries(spark, sf_dir), V.candidates(spark, sf_dir), ["brand", "size"])
+    return M.scored(tries(spark, sf_dir), V.candidates(spark, sf_dir), ["brand", "size"], digits=6)
 
 
 def entries_of(spark, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ QUERIES = {
         lambda s, d: match_names(s, d).select("p_partkey", T.word_overlap(F.concat("p_name", F.lit(" small red old")), F.concat("b", F.lit(" "), "p_name")).alias("overlap")),
         f"select p_partkey, {overlap(long_words("p_name || ' small red old'"), long_words('p_type || p_brand || ' + q(' ') + ' || p_name'))} as overlap from part",
     ),
-    "match_score": (lambda s, d: match_pairs(s, d).select("path", F.col("c_pos").alias("pos"), F.round("score", 6).alias("score"), "qualified"), f"with {SIDES} select path, pos, round(score, 6) as score, qualified from scored"),
+    "match_score": (lambda s, d: match_pairs(s, d).select("path", F.col("c_pos").alias("pos"), "score", "qualified"), f"with {SIDES} select path, pos, round(score, 6) as score, qualified from scored"),
     "find_best": (
         lambda s, d: M.best_of(tries(s, d), V.candidates(s, d), ["brand", "size"]).select("path", "status", "title", F.round("score", 6).alias("score"), "source"),
         f"""with {SIDES},

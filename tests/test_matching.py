@@ -170,3 +170,16 @@ def test_best_of_scores_a_pair_of_names_once(spark, monkeypatch):
     asked = q.withColumn("qualifiers", F.when(F.col("title") == "Low Tide", F.array().cast("array<string>")).otherwise(F.array(F.lit("studio"), F.lit("session")))).withColumn("guests", F.array().cast("array<string>"))
     want = key(M.find_best(M.scored(asked, c, ["k"])))
     assert len(want) == 20 and key(best) == want
+
+
+def test_scores_are_rounded_before_rows_are_expanded(spark):
+    """Rounding a score takes longer than all else that an expanded row costs; nothing but copying is left above the expansion."""
+    from cadenza.plans import matching_queries as Q
+
+    plan = Q.QUERIES["match_score"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan[: plan.rindex("Generate ")], plan[plan.rindex("Generate ") :]
+    assert "round(" not in above and below.count("round(") == 1 and below.count("levenshtein(") == 5
+    q = spark.sql("select 'p' as path, 0 as attempt, 'Oda Brask' as artist, 'Low Tide' as title, 1 as k")
+    c = spark.range(9).selectExpr("cast(id as int) as pos", "'Oda Brask' as artist", "concat('Low Ti', id) as title", "1 as k")
+    exact, rounded = ({r.c_pos: r.score for r in M.scored(q, c, ["k"], n).collect()} for n in (None, 3))
+    assert len(exact) == 9 and rounded == {p: round(s, 3) for p, s in exact.items()} != exact
